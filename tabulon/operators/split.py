@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.coercion import quoted
 from tabulon.functions.hashing import order_key, row_fingerprint
+from tabulon.session import settle
 
 SEED = 42
 ROWS_PER_BUCKET = 1_000_000
@@ -30,11 +31,11 @@ def numbered(
 ) -> DataFrame:
     """Adds ``_row`` (1-based, by md5 order inside the group) and ``_total`` (group size).
 
-    Without a key the whole row is the key; only equal rows can then tie.
+    The key has to identify a row.  Without one the whole row is the key.
     """
     digits = _digits(df.count() if rows is None else rows)
-    keys = [quoted(k) for k in key] if key else list(row_fingerprint(df))
-    marked = df.withColumn("_key", order_key(seed, *keys)).withColumn("_bucket", F.substring("_key", 1, digits))
+    marked = df.withColumn("_key", order_key(seed, *[quoted(k) for k in key])) if key else _salted(df, seed)
+    marked = marked.withColumn("_bucket", F.substring("_key", 1, digits))
     groups = [F.coalesce(quoted(b).cast("string"), F.lit("\u0000")).alias(f"_by{k}") for k, b in enumerate(by)]
     names = [f"_by{k}" for k in range(len(by))]
     marked = marked.select("*", *groups)
@@ -54,6 +55,16 @@ def numbered(
     )
 
 
+def _salted(df: DataFrame, seed: int) -> DataFrame:
+    """Whole-row key plus a salt, written out once so that it never changes again.
+
+    The salt spreads the copies of a row that a third of the table repeats over
+    all buckets; copies are interchangeable, so which one lands where is moot.
+    """
+    salt = F.floor(F.rand(seed) * (1 << 20))
+    return settle(df.withColumn("_key", order_key(seed, *row_fingerprint(df), salt)))
+
+
 def _test_rows(test_size: float, stratified: bool):
     share = F.col("_total") * F.lit(test_size)
     return F.round(share) if stratified else F.ceil(share)

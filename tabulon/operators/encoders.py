@@ -111,6 +111,7 @@ class CategoryEncoder(ColumnStage, Estimator):
     @keyword_only
     def __init__(self, *, inputCols=None, low=10, high=1000):
         super().__init__()
+        self._setDefault(low=10, high=1000)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> FittedCategories:
@@ -149,6 +150,7 @@ class HashEncoder(ColumnStage, Transformer):
     @keyword_only
     def __init__(self, *, inputCols=None, buckets=HASH_BUCKETS):
         super().__init__()
+        self._setDefault(buckets=HASH_BUCKETS)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:

@@ -77,6 +77,7 @@ class FeatureEngineer(ColumnStage, Estimator):
     @keyword_only
     def __init__(self, *, inputCols=None, dates=True, pairs=False, max_interactions=5):
         super().__init__()
+        self._setDefault(dates=True, pairs=False, max_interactions=5)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> FittedFeatures:

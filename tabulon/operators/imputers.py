@@ -40,6 +40,7 @@ class ConstantImputer(ColumnStage, Transformer):
     @keyword_only
     def __init__(self, *, inputCols=None, fill="missing"):
         super().__init__()
+        self._setDefault(fill="missing")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:

@@ -129,6 +129,7 @@ class OutlierClipper(ColumnStage, Estimator):
     @keyword_only
     def __init__(self, *, inputCols=None, method="iqr", threshold=1.5, z_threshold=3.0, clip_outliers=True):
         super().__init__()
+        self._setDefault(method="iqr", threshold=1.5, z_threshold=3.0, clip_outliers=True)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> FittedOutlierClipper:

@@ -105,6 +105,7 @@ class AutoScaler(ColumnStage, Estimator):
     @keyword_only
     def __init__(self, *, inputCols=None, method=""):
         super().__init__()
+        self._setDefault(method="")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> FittedScaler:

@@ -77,6 +77,7 @@ class FeatureSelector(ColumnStage, Estimator):
     @keyword_only
     def __init__(self, *, inputCols=None, problem_type=CLASSIFICATION, max_features=0, threshold=0.9, labelCol=""):
         super().__init__()
+        self._setDefault(problem_type=CLASSIFICATION, max_features=0, threshold=0.9, labelCol="")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> FittedSelection:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from registered import views as v
 from tabulon.operators import cells, eda, inference, profile, quantiles
+from tabulon.plans.training import target_extent
+from tabulon.session import small_table
 
 REGISTERED = {}
 
@@ -129,9 +131,7 @@ def a11(spark, sf):
     names = [(k, n) for k, n, _ in v.named("lineitem", v.NUMERIC)]
     found = quantiles.quantiles(df, {n: F.col(n) for _, n in names}, (0.25, 0.5, 0.75), builtin_cells=0)
     rows = [(k, n, *[float(q) for q in found[n]]) for k, n in names]
-    return rounded(
-        quantiles.small_table(spark, rows, "ordinal int, column string, q25 double, q50 double, q75 double"), 4
-    )
+    return rounded(small_table(spark, rows, "ordinal int, column string, q25 double, q50 double, q75 double"), 4)
 
 
 def _top_sql(source, columns, k):
@@ -352,8 +352,6 @@ def a30(spark, sf):
     "SELECT max(o_totalprice) - min(o_totalprice) AS target_range, max(abs(o_totalprice)) AS target_scale FROM orders",
 )
 def a37(spark, sf):
-    from tabulon.plans.training import target_extent
-
     return target_extent(v.table(spark, sf, "orders"), "o_totalprice")
 
 

@@ -252,3 +252,24 @@ def typed_sql(source: str) -> str:
             WHEN distinct_count < 0.1 * "rows" OR distinct_count < 20 THEN 'categorical'
             ELSE 'text' END AS detected_type
         FROM ({profile_sql(source)})"""
+
+
+def verdict_sql(source: str) -> str:
+    """SQL for the column verdicts: drop, hash encode and the warnings joined by `` | ``."""
+    leaders = "\nUNION ALL\n".join(
+        f"""SELECT {k} AS ordinal, (SELECT coalesce(CAST({n} AS VARCHAR), 'nan') FROM {source} GROUP BY {n} ORDER BY count(*) DESC LIMIT 1) AS leader"""
+        for k, n, _ in named(source)
+    )
+    return f"""
+        SELECT *, concat_ws(' | ',
+            CASE WHEN missing_pct > 50 THEN "column" || printf(': %.1f%% missing values - RECOMMEND DROPPING', missing_pct)
+                 WHEN missing_pct > 30 THEN "column" || printf(': %.1f%% missing values - consider dropping', missing_pct) END,
+            CASE WHEN top_pct > 95 THEN "column" || printf(': %.1f%% same value (''%s'') - RECOMMEND DROPPING', top_pct, leader)
+                 WHEN top_pct > 85 THEN "column" || printf(': %.1f%% same value (''%s'') - low variance', top_pct, leader) END,
+            CASE WHEN should_hash_encode THEN "column" || printf(': %d unique categories - RECOMMEND HASH ENCODING', distinct_count)
+                 WHEN spark_type = 'string' AND NOT should_drop AND distinct_count > 50 AND distinct_count > 0.5 * "rows"
+                 THEN "column" || printf(': %d unique categories - consider hash encoding', distinct_count) END,
+            CASE WHEN spark_type = 'string' AND NOT should_drop AND conversion_rate > 0.2 AND conversion_rate < 0.8
+                 THEN "column" || printf(': Mixed numeric/text content (%.1f%% numeric)', conversion_rate * 100) END) AS warnings
+        FROM (SELECT *, spark_type = 'string' AND NOT should_drop AND distinct_count > 100 AND distinct_count > 0.8 * "rows" AS should_hash_encode
+            FROM (SELECT p.*, leader, missing_pct > 50 OR top_pct > 95 AS should_drop FROM ({typed_sql(source)}) p JOIN ({leaders}) USING (ordinal)))"""

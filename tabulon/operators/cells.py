@@ -93,14 +93,28 @@ def cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(ordinal, i, d, s, n)``: every distinct value of every column, nulls included."""
-    return cells(df, columns).groupBy(*CELL_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    """``(ordinal, i, d, s, n)``: every distinct value of every column, nulls included.
+
+    The ordinal is declared non-null, so that joins on it add no filter of their
+    own below the aggregation and all readers share one shuffle.
+    """
+    long = cells(df, columns).withColumn("ordinal", F.coalesce("ordinal", F.lit(-1)))
+    return long.groupBy(*CELL_KEYS).agg(F.count(F.lit(1)).alias("n"))
 
 
 def is_missing() -> Column:
     return F.col("i").isNull() & F.col("d").isNull() & F.col("s").isNull()
 
 
+def counted(condition: Column) -> Column:
+    """A filter on value counts that stays above the aggregation.
+
+    Pushed below, it would make the shuffle differ from the one the other
+    readers of the same counts use, and the source would be read again.
+    """
+    return F.when(F.col("n") > 0, condition)
+
+
 def display(df: DataFrame) -> Column:
     """The text of a cell, given the column types of ``df``."""
     def ordinals(kind) -> list[int]:
@@ -182,9 +196,9 @@ def sample_values(
 
 def _ranked(df, columns, ordered, k, counts) -> DataFrame:
     wanted = [df.columns.index(c) for c in columns]
-    source = value_counts(df, columns) if counts is None else counts.where(F.col("ordinal").isin(wanted))
+    source = value_counts(df, columns) if counts is None else counts.where(counted(F.col("ordinal").isin(wanted)))
     ranked = (
-        source.where(~is_missing())
+        source.where(counted(~is_missing()))
         .withColumn("value", display(df))
         .withColumn("rank", F.row_number().over(ordered))
         .where(F.col("rank") <= k)

@@ -68,6 +68,9 @@ def column_verdicts(df: DataFrame, counts: DataFrame | None = None) -> DataFrame
     hash_it = kept_text & (F.col("distinct_count") > 100) & (ratio > 0.8)
     name, rate = F.col("column"), F.col("conversion_rate")
 
+    def percent(x):
+        return F.format_number(x, 1)  # rounds the exact binary value, as printf does
+
     def said(pattern: str, *parts):
         return F.format_string("Column '%s': " + pattern, name, *parts)
 
@@ -75,17 +78,17 @@ def column_verdicts(df: DataFrame, counts: DataFrame | None = None) -> DataFrame
         F.array(
             F.when(
                 F.col("missing_pct") > 50,
-                said("%.1f%% missing values - RECOMMEND DROPPING", F.col("missing_pct")),
+                said("%s%% missing values - RECOMMEND DROPPING", percent(F.col("missing_pct"))),
             ).when(
                 F.col("missing_pct") > 30,
-                said("%.1f%% missing values - consider dropping", F.col("missing_pct")),
+                said("%s%% missing values - consider dropping", percent(F.col("missing_pct"))),
             ),
             F.when(
                 F.col("top_pct") > 95,
-                said("%.1f%% same value ('%s') - RECOMMEND DROPPING", F.col("top_pct"), F.col("leader")),
+                said("%s%% same value ('%s') - RECOMMEND DROPPING", percent(F.col("top_pct")), F.col("leader")),
             ).when(
                 F.col("top_pct") > 85,
-                said("%.1f%% same value ('%s') - low variance", F.col("top_pct"), F.col("leader")),
+                said("%s%% same value ('%s') - low variance", percent(F.col("top_pct")), F.col("leader")),
             ),
             F.when(
                 hash_it,
@@ -96,7 +99,7 @@ def column_verdicts(df: DataFrame, counts: DataFrame | None = None) -> DataFrame
             ),
             F.when(
                 kept_text & (rate > 0.2) & (rate < 0.8),
-                said("Mixed numeric/text content (%.1f%% numeric)", rate * 100),
+                said("Mixed numeric/text content (%s%% numeric)", percent(rate * 100)),
             ),
         )
     )

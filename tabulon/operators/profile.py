@@ -19,6 +19,7 @@ from tabulon.functions.coercion import (
 from tabulon.functions.grading import cardinality_class, column_issues, share
 from tabulon.functions.hashing import row_fingerprint
 from tabulon.operators.cells import (
+    counted,
     is_digest,
     is_missing,
     key_is_numeric,
@@ -112,8 +113,8 @@ def column_counts(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     )
     mixed = rated.where((F.col("conversion_rate") >= 0.5) & (F.col("conversion_rate") < 0.8))
     words = (
-        source.join(F.broadcast(mixed.select("ordinal")), "ordinal", "left_semi")
-        .where(F.col("s").isNotNull() & ~key_is_numeric(F.col("s")))
+        source.join(F.broadcast(mixed.select("ordinal")), "ordinal")  # one row per mixed column
+        .where(counted(F.col("s").isNotNull() & ~key_is_numeric(F.col("s"))))
         .withColumn("word", F.when(is_digest(F.col("s")), F.col("s")).otherwise(F.lower(F.trim("s"))))
         .groupBy("ordinal")
         .agg(

@@ -1 +1,338 @@
+"""Fitted column steps, feature selection, splits and folds."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
+
+from registered import views as v
+from registered.profiles import _LINKED, _LINKED_COLUMNS, _corr_sql, _linked, rounded
+from tabulon.operators import selection, split
+from tabulon.operators.encoders import CategoryEncoder, HashEncoder, category_counts, encoding_routes
+from tabulon.operators.engineering import FeatureEngineer
+from tabulon.operators.imputers import ConstantImputer, MedianImputer
+from tabulon.operators.outliers import OutlierClipper
+from tabulon.operators.scalers import MINMAX, ROBUST, STANDARD, AutoScaler, scaling_report
+from tabulon.plans.preparation import prepare
+from tabulon.session import small_table
+
 REGISTERED = {}
+
+
+def register(name, sql):
+    def keep(fn):
+        REGISTERED[name] = (fn, sql)
+        return fn
+
+    return keep
+
+
+_FENCE = f"""(SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, mean - 3 * sd AS zlo, mean + 3 * sd AS zhi FROM
+    (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3, avg(price) AS mean, stddev_samp(price) AS sd
+     FROM {v.SQL_ORDERS_OUTLIER}))"""
+
+
+def _treated(spark, sf, **options):
+    df = v.orders_outlier(spark, sf)
+    fitted = OutlierClipper(inputCols=["price"], **options).fit(df)
+    return fitted.transform(df).select("o_orderkey", F.round("price", 4).alias("price"))
+
+
+@register(
+    "m01_outlier_clip",
+    f"SELECT o_orderkey, round(greatest(least(price, hi), lo), 4) AS price FROM {v.SQL_ORDERS_OUTLIER}, {_FENCE}",
+)
+def m01(spark, sf):
+    return _treated(spark, sf)
+
+
+@register(
+    "m01_outlier_zscore_to_null",
+    f"SELECT o_orderkey, round(CASE WHEN price BETWEEN zlo AND zhi THEN price END, 4) AS price FROM {v.SQL_ORDERS_OUTLIER}, {_FENCE}",
+)
+def m01_zscore(spark, sf):
+    return _treated(spark, sf, method="zscore", clip_outliers=False)
+
+
+@register(
+    "m01_outlier_both",
+    f"SELECT o_orderkey, round(greatest(least(price, hi), lo), 4) AS price FROM {v.SQL_ORDERS_OUTLIER}, {_FENCE}",
+)
+def m01_both(spark, sf):
+    return _treated(spark, sf, method="both")
+
+
+@register(
+    "m02_median_imputer",
+    f"""SELECT event_id, round(coalesce(value, (SELECT median(value) FROM {v.SQL_EVENTS_MISSING})), 6) AS value,
+        coalesce(CAST(user_id AS DOUBLE), (SELECT median(user_id) FROM {v.SQL_EVENTS_MISSING})) AS user_id
+        FROM {v.SQL_EVENTS_MISSING}""",
+)
+def m02(spark, sf):
+    df = v.events_missing(spark, sf)
+    fitted = MedianImputer(inputCols=["value", "user_id"]).fit(df)
+    return rounded(fitted.transform(df).drop("event_type"))
+
+
+@register(
+    "m03_constant_imputer", f"SELECT event_id, coalesce(event_type, 'missing') AS event_type FROM {v.SQL_EVENTS_MISSING}"
+)
+def m03(spark, sf):
+    df = v.events_missing(spark, sf).select("event_id", "event_type")
+    return ConstantImputer(inputCols=["event_type"]).transform(df)
+
+
+def _scaling_sql(source, columns):
+    """The chosen method of columns with more than 5000 values."""
+    parts = []
+    for k, c in columns:
+        parts.append(f"""
+            SELECT CAST({k} AS INTEGER) AS ordinal, '{c}' AS "column", CASE WHEN beyond * 100.0 / n > 10 THEN 'RobustScaler'
+                WHEN (lo >= 0 AND hi <= 1) OR hi - lo < 10 THEN 'MinMaxScaler' WHEN abs(skew) < 1 THEN 'StandardScaler' ELSE 'RobustScaler' END AS method,
+                lo, hi, mean, sd, med, q1, q3
+            FROM (SELECT count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS beyond, any_value(s) AS st FROM {source},
+                    (SELECT CAST(quantile_cont({c}, 0.25) AS DOUBLE) AS q1, CAST(quantile_cont({c}, 0.75) AS DOUBLE) AS q3, 1 AS s FROM {source})),
+                 (SELECT count({c}) AS n, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, avg({c}) AS mean, stddev_pop({c}) AS sd,
+                    CAST(median({c}) AS DOUBLE) AS med, CAST(quantile_cont({c}, 0.25) AS DOUBLE) AS q1, CAST(quantile_cont({c}, 0.75) AS DOUBLE) AS q3,
+                    (avg(CAST({c} AS DOUBLE)^3) - 3 * avg({c}) * avg(CAST({c} AS DOUBLE)^2) + 2 * avg({c})^3) / pow(var_pop({c}), 1.5) AS skew FROM {source})""")
+    return f"""SELECT ordinal, "column", method,
+        round(CASE method WHEN 'StandardScaler' THEN mean WHEN 'MinMaxScaler' THEN lo ELSE med END, 4) AS center,
+        round(CASE method WHEN 'StandardScaler' THEN sd WHEN 'MinMaxScaler' THEN hi - lo ELSE q3 - q1 END, 4) AS scale
+        FROM ({' UNION ALL '.join(parts)})"""
+
+
+_SCALED = [(k, n) for k, n, _ in v.named("lineitem", v.NUMERIC)]
+
+
+@register("m04_scaler_choice", _scaling_sql("lineitem", _SCALED))
+def m04(spark, sf):
+    return rounded(scaling_report(v.table(spark, sf, "lineitem"), [n for _, n in _SCALED]), 4)
+
+
+@register("m04_scaler_choice_skewed", _scaling_sql("events", [(4, "value"), (2, "user_id")]))
+def m04_events(spark, sf):
+    return rounded(scaling_report(v.table(spark, sf, "events"), ["value", "user_id"]), 4)
+
+
+def _scaled(spark, sf, method):
+    df = v.table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.lit(3.0).alias("same"))
+    return rounded(AutoScaler(inputCols=["c_acctbal", "same"], method=method).fit(df).transform(df))
+
+
+@register(
+    "m05_standard_scaler",
+    """SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer), 6) AS c_acctbal,
+        CAST(0 AS DOUBLE) AS same FROM customer""",
+)
+def m05(spark, sf):
+    return _scaled(spark, sf, STANDARD)
+
+
+@register(
+    "m06_minmax_scaler",
+    """SELECT c_custkey, round((c_acctbal - (SELECT min(c_acctbal) FROM customer)) / (SELECT max(c_acctbal) - min(c_acctbal) FROM customer), 6) AS c_acctbal,
+        CAST(0 AS DOUBLE) AS same FROM customer""",
+)
+def m06(spark, sf):
+    return _scaled(spark, sf, MINMAX)
+
+
+@register(
+    "m07_robust_scaler",
+    """SELECT c_custkey, round((c_acctbal - (SELECT median(c_acctbal) FROM customer))
+        / (SELECT quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) FROM customer), 6) AS c_acctbal,
+        CAST(0 AS DOUBLE) AS same FROM customer""",
+)
+def m07(spark, sf):
+    return _scaled(spark, sf, ROBUST)
+
+
+@register(
+    "m08_encoding_routes",
+    """SELECT "column", cardinality, CASE WHEN cardinality <= 10 THEN 'OneHot' WHEN cardinality <= 1000 THEN 'Frequency' ELSE 'Hash' END AS route
+       FROM (SELECT 'c_name' AS "column", count(DISTINCT c_name) AS cardinality FROM customer UNION ALL
+             SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) FROM customer UNION ALL
+             SELECT 'c_nationkey', count(DISTINCT c_nationkey) FROM customer)""",
+)
+def m08(spark, sf):
+    return encoding_routes(category_counts(v.table(spark, sf, "customer"), ["c_name", "c_mktsegment", "c_nationkey"]))
+
+
+@register(
+    "m09_one_hot",
+    """SELECT event_id, CAST(event_type = 'error' AS DOUBLE) AS event_type_error, CAST(event_type = 'purchase' AS DOUBLE) AS event_type_purchase,
+        CAST(event_type = 'signup' AS DOUBLE) AS event_type_signup, CAST(event_type = 'view' AS DOUBLE) AS event_type_view FROM events""",
+)
+def m09(spark, sf):
+    df = v.table(spark, sf, "events").select("event_id", "event_type")
+    return CategoryEncoder(inputCols=["event_type"]).fit(df).transform(df).drop("event_type")
+
+
+@register(
+    "m10_frequency",
+    f"""SELECT event_id, CAST(n AS DOUBLE) AS event_type_freq FROM (SELECT event_id, coalesce(event_type, 'missing') AS t FROM {v.SQL_EVENTS_MISSING})
+        JOIN (SELECT coalesce(event_type, 'missing') AS t, count(*) AS n FROM {v.SQL_EVENTS_MISSING} GROUP BY 1) USING (t)""",
+)
+def m10(spark, sf):
+    df = v.events_missing(spark, sf).select("event_id", "event_type")
+    steps = Pipeline(stages=[ConstantImputer(inputCols=["event_type"]), CategoryEncoder(inputCols=["event_type"], low=2)])
+    return steps.fit(df).transform(df).drop("event_type")
+
+
+@register(
+    "m11_hash_buckets",
+    """SELECT c_mktsegment, CAST(count(*) AS DOUBLE) AS marks, CAST(1 AS BIGINT) AS buckets FROM customer GROUP BY c_mktsegment""",
+)
+def m11(spark, sf):
+    """Every row marks one bucket, and a value always the same one."""
+    df = HashEncoder(inputCols=["c_mktsegment"]).transform(v.table(spark, sf, "customer"))
+    marks = [F.col(f"c_mktsegment_hash_{b}") for b in range(32)]
+    used = sum(((F.max(m) > 0).cast("bigint") for m in marks), F.lit(0).cast("bigint"))
+    return df.groupBy("c_mktsegment").agg(F.sum(sum(marks, F.lit(0.0))).alias("marks"), used.alias("buckets"))
+
+
+@register(
+    "m12_feature_engineer",
+    """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month,
+        CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_dayofweek,
+        CAST(hour(o_orderdate) AS INTEGER) AS o_orderdate_hour, CAST(isodow(o_orderdate) >= 6 AS INTEGER) AS o_orderdate_is_weekend,
+        CAST(quarter(o_orderdate) AS INTEGER) AS o_orderdate_quarter, round(o_custkey * o_totalprice, 2) AS o_custkey_x_o_totalprice,
+        round(o_custkey / o_totalprice, 6) AS o_custkey_div_o_totalprice FROM orders""",
+)
+def m12(spark, sf):
+    df = v.table(spark, sf, "orders")
+    fitted = FeatureEngineer(inputCols=["o_custkey", "o_totalprice", "o_orderdate"], pairs=True).fit(df)
+    made = fitted.transform(df).select("o_orderkey", *fitted.feature_names())
+    return made.withColumns(
+        {
+            "o_custkey_x_o_totalprice": F.round("o_custkey_x_o_totalprice", 2),
+            "o_custkey_div_o_totalprice": F.round("o_custkey_div_o_totalprice", 6),
+        }
+    )
+
+
+_WEAK = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@register(
+    "m13_low_variance",
+    "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS "column" FROM (SELECT var_pop({c}) AS x FROM lineitem) WHERE x <= 0.01""" for c in _WEAK
+    ),
+)
+def m13(spark, sf):
+    gone = selection.low_variance(v.table(spark, sf, "lineitem"), _WEAK)
+    return small_table(spark, [(c,) for c in gone], "column string")
+
+
+@register(
+    "m14_correlation_filter",
+    f'SELECT DISTINCT col2 AS "column" FROM ({_corr_sql(_LINKED, _LINKED_COLUMNS)}) WHERE i < j AND abs(correlation) > 0.7',
+)
+def m14(spark, sf):
+    gone = selection.correlated(_linked(spark, sf), _LINKED_COLUMNS, 0.7)
+    return small_table(spark, [(c,) for c in gone], "column string")
+
+
+def _wide(spark, sf):
+    df = v.table(spark, sf, "documents").join(v.table(spark, sf, "labels"), "doc_id")
+    df = df.withColumn("label", F.col("quality").cast("double"))
+    hashed = HashEncoder(inputCols=["lang", "source", "text"])
+    encoded = CategoryEncoder(inputCols=["lang", "source"]).fit(df)
+    names = ["doc_id", "n_chars", *hashed.feature_names(), *encoded.feature_names()]
+    return encoded.transform(hashed.transform(df)).select(*names, "label"), names
+
+
+@register("m15_m16_model_selection", None)
+def m15(spark, sf):
+    """Over a hundred features: variance, correlation and forest importance in turn."""
+    df, names = _wide(spark, sf)
+    fitted = selection.selector_for(names, "classification", "label").fit(df)
+    rows = [
+        *[(n, "selected") for n in fitted.state["selected"]],
+        *[(n, k) for k in ("removed_constant", "removed_correlated", "removed_by_model") for n in fitted.state[k]],
+    ]
+    return small_table(spark, rows, "feature string, outcome string")
+
+
+_ORDER = "md5('42|' || {k}), {k}"
+
+
+def _ranked_sql(source, key, by=""):
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""(SELECT *, row_number() OVER ({part} ORDER BY {_ORDER.replace('{k}', key)}) AS rn, count(*) OVER ({part}) AS total FROM {source})"""
+
+
+@register(
+    "m17_plain_split",
+    f"SELECT o_orderkey, rn <= ceil(total * CAST(0.2 AS DOUBLE)) AS is_test FROM {_ranked_sql('orders', 'o_orderkey')}",
+)
+def m17(spark, sf):
+    return split.split(v.table(spark, sf, "orders"), 0.2, ["o_orderkey"]).select("o_orderkey", "is_test")
+
+
+@register(
+    "w02_stratified_split",
+    f"""SELECT event_id, event_type, rn <= round(total * CAST(0.3 AS DOUBLE)) AS is_test,
+        CAST(CASE WHEN rn <= round(total * CAST(0.3 AS DOUBLE)) THEN rn ELSE rn - round(total * CAST(0.3 AS DOUBLE)) END AS BIGINT) AS position
+        FROM {_ranked_sql('events', 'event_id', 'event_type')}""",
+)
+def w02(spark, sf):
+    df = split.split(v.table(spark, sf, "events"), 0.3, ["event_id"], stratify="event_type")
+    return df.select("event_id", "event_type", "is_test", "position")
+
+
+@register(
+    "w03_stratified_folds",
+    f"SELECT event_id, event_type, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM {_ranked_sql('events', 'event_id', 'event_type')}",
+)
+def w03(spark, sf):
+    return split.folds(v.table(spark, sf, "events"), 5, ["event_id"], "event_type").select("event_id", "event_type", "fold")
+
+
+@register(
+    "w03_plain_folds",
+    f"SELECT p_partkey, CAST((rn - 1) % 4 AS INTEGER) AS fold FROM {_ranked_sql('part', 'p_partkey')}",
+)
+def w03_plain(spark, sf):
+    return split.folds(v.table(spark, sf, "part"), 4, ["p_partkey"]).select("p_partkey", "fold")
+
+
+@register(
+    "m18_whole_row_split",
+    """SELECT l_returnflag, count(*) AS "rows", CAST(round(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS test_rows FROM lineitem GROUP BY l_returnflag""",
+)
+def m18_whole_row(spark, sf):
+    """Without a key; copies of a row spread over both sides, the class sizes stay exact."""
+    df = split.split(v.lineitem_terms(spark, sf), 0.2, stratify="l_returnflag")
+    return df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"))
+
+
+_DATE_NAMES = ", ".join(
+    f"('o_orderdate_{p}')" for p in ("year", "month", "day", "dayofweek", "hour", "is_weekend", "quarter")
+)
+
+
+@register(
+    "m19_feature_names",
+    f"""SELECT f AS feature FROM (VALUES ('o_orderkey'), ('o_custkey'), {_DATE_NAMES}) t(f) UNION ALL
+        SELECT 'o_orderstatus_' || o_orderstatus FROM orders WHERE o_orderstatus > (SELECT min(o_orderstatus) FROM orders) GROUP BY o_orderstatus UNION ALL
+        SELECT 'o_orderpriority_' || o_orderpriority FROM orders WHERE o_orderpriority > (SELECT min(o_orderpriority) FROM orders) GROUP BY o_orderpriority""",
+)
+def m19(spark, sf):
+    made = prepare(v.table(spark, sf, "orders"), "o_totalprice", key=["o_orderkey"])
+    return small_table(spark, [(n,) for n in made.feature_names], "feature string")
+
+
+@register(
+    "m18_full_preparation",
+    """SELECT label, CAST(count(*) AS BIGINT) AS "rows", CAST(round(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS test_rows,
+        CAST(7 AS BIGINT) AS width FROM (SELECT CAST(quality AS DOUBLE) AS label FROM labels) GROUP BY label""",
+)
+def m18(spark, sf):
+    df = v.table(spark, sf, "documents").drop("text").join(v.table(spark, sf, "labels"), "doc_id")
+    made = prepare(df, "quality", "classification", key=["doc_id"])
+    sides = made.train.withColumn("t", F.lit(0)).unionByName(made.test.withColumn("t", F.lit(1)))
+    return sides.groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("t").alias("test_rows"), F.lit(len(made.feature_names)).cast("bigint").alias("width")
+    )

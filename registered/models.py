@@ -1 +1,393 @@
+"""Metrics, models, leaderboards, stored models and predictions."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from registered import views as v
+from registered.features import _ranked_sql
+from registered.profiles import rounded
+from tabulon.operators import metrics, split
+from tabulon.plans import mixed, prediction, training
+from tabulon.plans.preparation import prepare
+from tabulon.session import scratch_path, small_table
+from tabulon.sources import registry
+
 REGISTERED = {}
+
+
+def register(name, sql):
+    def keep(fn):
+        REGISTERED[name] = (fn, sql)
+        return fn
+
+    return keep
+
+
+def _binary_sql(label, prediction):
+    return f"""SELECT round(avg(CAST({label} = {prediction} AS DOUBLE)), 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall,
+        round(2 * p * r / (p + r), 6) AS f1_score FROM {v.SQL_LINEITEM_PREDICTED}, (SELECT
+            count(*) FILTER (WHERE {label} = 1 AND {prediction} = 1) / count(*) FILTER (WHERE {prediction} = 1) AS p,
+            count(*) FILTER (WHERE {label} = 1 AND {prediction} = 1) / count(*) FILTER (WHERE {label} = 1) AS r
+            FROM {v.SQL_LINEITEM_PREDICTED}) GROUP BY p, r"""
+
+
+@register("a31_binary_metrics", _binary_sql("label", "prediction"))
+def a31(spark, sf):
+    return rounded(metrics.classification_metrics(v.lineitem_predicted(spark, sf)))
+
+
+@register(
+    "a31_multiclass_metrics",
+    f"""WITH c AS (SELECT label3 AS l, prediction3 AS p, count(*) AS n FROM {v.SQL_LINEITEM_PREDICTED} GROUP BY 1, 2),
+        k AS (SELECT x.l AS k, (SELECT sum(n) FROM c WHERE c.l = x.l) AS s, (SELECT sum(n) FROM c WHERE c.p = x.l) AS q,
+            (SELECT sum(n) FROM c WHERE c.l = x.l AND c.p = x.l) AS h FROM (SELECT DISTINCT l FROM c) x)
+        SELECT round(sum(h) / sum(s), 6) AS accuracy, round(sum(h / q * s) / sum(s), 6) AS precision, round(sum(h / s * s) / sum(s), 6) AS recall,
+            round(sum(2 * h / (s + q) * s) / sum(s), 6) AS f1_score FROM k""",
+)
+def a31_multi(spark, sf):
+    return rounded(metrics.classification_metrics(v.lineitem_predicted(spark, sf), "label3", "prediction3"))
+
+
+def _auc_sql(positive, score="score"):
+    return f"""SELECT (sum(r) FILTER (WHERE y) - CAST(p AS DOUBLE) * (p + 1) / 2) / (CAST(p AS DOUBLE) * q) AS a FROM (
+        SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r,
+            count(*) FILTER (WHERE y) OVER () AS p, count(*) FILTER (WHERE NOT y) OVER () AS q
+        FROM (SELECT {positive} AS y, {score} AS s FROM {v.SQL_LINEITEM_PREDICTED})) GROUP BY p, q"""
+
+
+@register("a32_roc_auc", f"SELECT round(a, 6) AS roc_auc FROM ({_auc_sql('label = 1')})")
+def a32(spark, sf):
+    return rounded(metrics.roc_auc_binary(v.lineitem_predicted(spark, sf)))
+
+
+@register("w04_auc_of_distinct_scores", f"SELECT round(a, 6) AS roc_auc FROM ({_auc_sql('label = 1', 'y')})")
+def w04(spark, sf):
+    return rounded(metrics.roc_auc_binary(v.lineitem_predicted(spark, sf), "label", "y"))
+
+
+_SCORES3 = ("score", "y", "yhat")
+
+
+@register(
+    "a32_roc_auc_one_vs_rest",
+    "SELECT round(avg(a), 6) AS roc_auc FROM ("
+    + " UNION ALL ".join(_auc_sql(f"label3 = {k}", s) for k, s in enumerate(_SCORES3))
+    + ")",
+)
+def a32_multi(spark, sf):
+    df = v.lineitem_predicted(spark, sf).select("label3", F.array(*_SCORES3).alias("scores"))
+    return rounded(metrics.roc_auc_one_vs_rest(df, "label3", "scores", 3))
+
+
+@register(
+    "a33_regression_metrics",
+    f"""SELECT round(1 - sum((y - yhat)^2) / sum((y - m)^2), 6) AS r2_score, round(avg((y - yhat)^2), 2) AS mean_squared_error,
+        round(avg(abs(y - yhat)), 4) AS mean_absolute_error, round(sqrt(avg((y - yhat)^2)), 4) AS root_mean_squared_error
+        FROM {v.SQL_LINEITEM_PREDICTED}, (SELECT avg(y) AS m FROM {v.SQL_LINEITEM_PREDICTED})""",
+)
+def a33(spark, sf):
+    found = metrics.regression_metrics(v.lineitem_predicted(spark, sf), "y", "yhat")
+    return found.select(
+        F.round("r2_score", 6).alias("r2_score"), F.round("mean_squared_error", 2).alias("mean_squared_error"),
+        F.round("mean_absolute_error", 4).alias("mean_absolute_error"),
+        F.round("root_mean_squared_error", 4).alias("root_mean_squared_error"),
+    )
+
+
+@register(
+    "a34_fold_summary",
+    """SELECT round(avg(s), 6) AS cv_mean, round(stddev_pop(s), 6) AS cv_std FROM (SELECT l_linenumber, avg(CAST((l_returnflag = 'R') = (l_tax > 0.04) AS DOUBLE)) AS s
+       FROM lineitem GROUP BY l_linenumber)""",
+)
+def a34(spark, sf):
+    df = v.table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").alias("fold"),
+        (F.col("l_returnflag") == "R").cast("double").alias("label"),
+        (F.col("l_tax") > 0.04).cast("double").alias("prediction"),
+    )
+    return rounded(metrics.fold_summary(training.fold_scores(df, "classification")))
+
+
+@register(
+    "a35_confusion_matrix",
+    f"""SELECT label3 AS label, count(*) FILTER (WHERE prediction3 = 0) AS "0", count(*) FILTER (WHERE prediction3 = 1) AS "1",
+        count(*) FILTER (WHERE prediction3 = 2) AS "2" FROM {v.SQL_LINEITEM_PREDICTED} GROUP BY label3""",
+)
+def a35(spark, sf):
+    return metrics.confusion_matrix(v.lineitem_predicted(spark, sf), [0, 1, 2], "label3", "prediction3")
+
+
+def _rules(spark, sf):
+    """Three rules for l_returnflag = 'R' as candidates of a leaderboard."""
+    df = v.table(spark, sf, "lineitem")
+    hit = (F.col("l_returnflag") == "R").cast("int")
+    rules = [("tax", F.col("l_tax") > 0.04), ("discount", F.col("l_discount") > 0.08), ("quantity", F.col("l_quantity") < 10)]
+    scores = df.agg(*[F.avg((hit == r.cast("int")).cast("double")).alias(n) for n, r in rules])
+    return scores.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(k).alias("candidate"), F.lit(n).alias("model_name"), F.create_map(F.lit("accuracy"), F.col(n)).alias("metrics"))
+                    for k, (n, _) in enumerate(rules)
+                ]
+            )
+        )
+    )
+
+
+_RULES_SQL = """(SELECT 0 AS candidate, 'tax' AS model_name, avg(CAST((l_returnflag = 'R') = (l_tax > 0.04) AS DOUBLE)) AS s FROM lineitem UNION ALL
+    SELECT 1, 'discount', avg(CAST((l_returnflag = 'R') = (l_discount > 0.08) AS DOUBLE)) FROM lineitem UNION ALL
+    SELECT 2, 'quantity', avg(CAST((l_returnflag = 'R') = (l_quantity < 10) AS DOUBLE)) FROM lineitem)"""
+
+
+@register(
+    "m29_w05_best_model",
+    f"SELECT model_name, row_number() OVER (ORDER BY s DESC, candidate) = 1 AS is_best FROM {_RULES_SQL}",
+)
+def m29(spark, sf):
+    return training.best_model(_rules(spark, sf), "classification").select("model_name", "is_best")
+
+
+@register("t08_model_comparison", f"SELECT model_name, round(s, 6) AS score FROM {_RULES_SQL}")
+def t08(spark, sf):
+    return rounded(training.comparison(_rules(spark, sf), "classification"))
+
+
+def _linear(df, inputs, label):
+    pack = VectorAssembler(inputCols=inputs, outputCol="features")
+    return Pipeline(stages=[pack, LinearRegression(solver="normal", labelCol=label)]).fit(df)
+
+
+_LINE = """SELECT regr_slope(o_totalprice, o_custkey) AS b, regr_intercept(o_totalprice, o_custkey) AS a FROM orders"""
+
+
+@register(
+    "m21_linear_regression",
+    "SELECT round(regr_slope(p_retailprice, p_partkey), 6) AS slope, round(regr_intercept(p_retailprice, p_partkey), 4) AS intercept FROM part",
+)
+def m21(spark, sf):
+    model = _linear(v.table(spark, sf, "part"), ["p_partkey"], "p_retailprice").stages[-1]
+    return rounded(
+        small_table(spark, [(float(model.coefficients[0]), round(float(model.intercept), 4))], "slope double, intercept double")
+    )
+
+
+@register(
+    "s06_s07_stored_model",
+    f"SELECT o_orderkey, round(a + b * o_custkey, 2) AS prediction FROM orders, ({_LINE})",
+)
+def s06(spark, sf):
+    df = v.table(spark, sf, "orders")
+    root = scratch_path(spark, "models")
+    kept = registry.save_model(
+        spark, root, _linear(df, ["o_custkey"], "o_totalprice"), {"problem_type": "regression", "best_model_name": "Linear Regression"}
+    )
+    return prediction.predict(spark, kept, df, root).select("o_orderkey", F.round("prediction", 2).alias("prediction"))
+
+
+
+@register(
+    "m25_svm_exclusion",
+    """SELECT name, CASE WHEN s > 1e8 OR r > 1e9 THEN 'SVM excluded due to extreme target scale (max: ' || printf('%.2e', s) || ')' END AS warning FROM (
+        SELECT 'o_totalprice' AS name, max(abs(o_totalprice)) AS s, max(o_totalprice) - min(o_totalprice) AS r FROM orders UNION ALL
+        SELECT 'in cents', max(abs(o_totalprice * 1000)), max(o_totalprice * 1000) - min(o_totalprice * 1000) FROM orders)""",
+)
+def m25(spark, sf):
+    df = v.table(spark, sf, "orders")
+    rows = [
+        ("o_totalprice", training.svm_warning(df, "o_totalprice")),
+        ("in cents", training.svm_warning(df.select((F.col("o_totalprice") * 1000).alias("y")), "y")),
+    ]
+    return small_table(spark, rows, "name string, warning string")
+
+
+_FOLDED = f"""(SELECT o_totalprice AS y, o_custkey AS x, (rn - 1) % 5 AS fold FROM {_ranked_sql('orders', 'o_orderkey')})"""
+
+
+@register(
+    "m27_cross_validation",
+    "\nUNION ALL\n".join(
+        f"""SELECT CAST({k} AS INTEGER) AS fold, round(1 - sum((y - a - b * x)^2) / (var_pop(y) * count(*)), 6) AS score FROM {_FOLDED},
+            (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM {_FOLDED} WHERE fold <> {k}) WHERE fold = {k}"""
+        for k in range(5)
+    ),
+)
+def m27(spark, sf):
+    dealt = split.folds(v.table(spark, sf, "orders"), 5, ["o_orderkey"])
+    packed = VectorAssembler(inputCols=["o_custkey"], outputCol="features").transform(dealt)
+    data = packed.select("features", F.col("o_totalprice").alias("label"), "fold")
+    makers = training.candidates("regression", ["Linear Regression"])
+    scores, _ = training.cross_validate(makers["Linear Regression"], data, "regression", 0, 5, data.count())
+    return rounded(scores)
+
+
+_MIXED_SPLIT = f"""(SELECT *, {v.number('raw')} AS x, rn <= ceil(total * CAST(0.2 AS DOUBLE)) AS is_test
+    FROM {_ranked_sql(v.SQL_EVENTS_MIXED, 'event_id')})"""
+
+
+@register(
+    "m33_mixed_strategies",
+    f"""WITH d AS (SELECT value AS y, x IS NULL AS bad, is_test, coalesce(x, (SELECT median(x) FROM {_MIXED_SPLIT} WHERE NOT is_test)) AS x FROM {_MIXED_SPLIT}),
+        plain AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d WHERE NOT is_test),
+        good AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d WHERE NOT is_test AND NOT bad),
+        rest AS (SELECT avg(y) AS m FROM d WHERE NOT is_test AND bad)
+        SELECT 'one-hot' AS strategy, (SELECT count(DISTINCT raw) FROM {v.SQL_EVENTS_MIXED}) AS features, CAST(NULL AS DOUBLE) AS r2 UNION ALL
+        SELECT 'clean numeric', 1, round(1 - sum((y - a - b * x)^2) / (var_pop(y) * count(*)), 6) FROM d, plain WHERE is_test UNION ALL
+        SELECT 'numeric + error flag', 2, round(1 - sum((y - CASE WHEN bad THEN m ELSE a + b * x END)^2) / (var_pop(y) * count(*)), 6)
+            FROM d, good, rest WHERE is_test""",
+)
+def m33(spark, sf):
+    return rounded(mixed.compare_mixed_strategies(v.events_mixed(spark, sf), "raw", "value", key=["event_id"]))
+
+
+def _labelled(spark, sf):
+    return v.table(spark, sf, "documents").drop("text").join(v.table(spark, sf, "labels"), "doc_id")
+
+
+def _prepared(spark, sf):
+    return prepare(_labelled(spark, sf), "quality", "classification", key=["doc_id"])
+
+
+def _fitted(spark, sf, name):
+    """Test rows scored by one candidate."""
+    made = _prepared(spark, sf)
+    maker = training.candidates("classification", [name])[name]
+    model = maker(made.train.count(), len(made.labels)).fit(made.train)
+    return model, made
+
+
+@register("m20_logistic_regression", None)
+def m20(spark, sf):
+    model, made = _fitted(spark, sf, "Logistic Regression")
+    return model.transform(made.test).select("label", "prediction", vector_to_array("probability")[1].alias("p"))
+
+
+@register("m22_random_forest", None)
+def m22(spark, sf):
+    model, made = _fitted(spark, sf, "Random Forest")
+    return model.transform(made.test).select("label", "prediction", vector_to_array("probability")[1].alias("p"))
+
+
+@register("m23_boosted_trees", None)
+def m23(spark, sf):
+    model, made = _fitted(spark, sf, "LightGBM")
+    return model.transform(made.test).select("label", "prediction", vector_to_array("probability")[1].alias("p"))
+
+
+@register("m24_support_vectors", None)
+def m24(spark, sf):
+    model, made = _fitted(spark, sf, "SVM")
+    return model.transform(made.test).select("label", "prediction", vector_to_array("rawPrediction")[1].alias("margin"))
+
+
+@register("m26_multiclass_models", None)
+def m26(spark, sf):
+    """A text target with three classes, remapped once for every candidate."""
+    df = v.table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice", "p_type")
+    made = prepare(df, "p_type", key=["p_partkey"])
+    return training.train_models(made, 3, ["Logistic Regression"]).leaderboard.drop("training_time")
+
+
+@register("m28_m30_leaderboard", None)
+def m28(spark, sf):
+    """Two candidates and one that cannot be fitted: it is recorded and skipped."""
+    makers = training.candidates("classification", ["Logistic Regression", "Random Forest"])
+    makers["broken"] = lambda *_: LinearRegression(featuresCol="no_such_column")
+    done = training.train_models(_prepared(spark, sf), 3, makers=makers)
+    failed = done.errors.select(
+        "model_name", F.lit(None).cast("map<string,double>").alias("metrics"), F.lit(False).alias("is_best"), "error_type"
+    )
+    return done.leaderboard.drop("training_time").withColumn("error_type", F.lit(None).cast("string")).unionByName(failed)
+
+
+def _regressed(spark, sf):
+    df = v.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+    made = prepare(df, "p_retailprice", key=["p_partkey"])
+    return made, training.train_models(made, 3, ["Linear Regression", "SVM"])
+
+
+@register("m31_predictions", None)
+def m31(spark, sf):
+    made, done = _regressed(spark, sf)
+    root = scratch_path(spark, "models")
+    kept = registry.save_model(spark, root, done.best_model, training.metadata_of(spark, made, done))
+    return prediction.predict(spark, kept, v.table(spark, sf, "part"), root).select("p_partkey", "p_brand", "prediction")
+
+
+@register("m32_t04_importance", None)
+def m32(spark, sf):
+    """Absolute coefficients, the largest 15."""
+    made, done = _regressed(spark, sf)
+    return prediction.feature_importance(spark, done.best_model, made.feature_names, top=15)
+
+
+@register(
+    "a36_j05_coefficients",
+    """SELECT 'o_custkey' AS feature, round(abs(regr_slope(o_totalprice, o_custkey)), 6) AS importance FROM orders""",
+)
+def a36(spark, sf):
+    model: PipelineModel = _linear(v.table(spark, sf, "orders"), ["o_custkey"], "o_totalprice")
+    return rounded(prediction.feature_importance(spark, model, ["o_custkey"]))
+
+
+@register("a36_multiclass_importance", None)
+def a36_multi(spark, sf):
+    """Mean absolute coefficient over the classes."""
+    df = v.table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_type")
+    made = prepare(df, "p_type", key=["p_partkey"])
+    maker = training.candidates("classification", ["Logistic Regression"])["Logistic Regression"]
+    model = maker(made.train.count(), len(made.labels)).fit(made.train)
+    return prediction.feature_importance(spark, PipelineModel([model]), made.feature_names)
+
+
+def _stored(spark, sf):
+    """Two stored models of the orders, the second newer."""
+    df = v.table(spark, sf, "orders")
+    root = scratch_path(spark, "models")
+    for k, column in enumerate(("o_custkey", "o_orderkey")):
+        model = _linear(df, [column], "o_totalprice")
+        error = model.transform(df).agg(F.avg(F.abs(F.col("o_totalprice") - F.col("prediction")))).first()[0]
+        registry.save_model(
+            spark,
+            root,
+            model,
+            {
+                "training_id": f"by_{column}", "problem_type": "regression", "best_model_name": "Linear Regression",
+                "feature_names": [column], "timestamp": float(k + 1), "original_columns": {"numerical": [column]},
+                "model_performances": [
+                    {"model_name": "Linear Regression", "metrics": {"mean_absolute_error": round(error, 2)}, "training_time": 0.0, "is_best": True}
+                ],
+            },
+        )
+    return root
+
+
+@register(
+    "s08_t05_model_list",
+    """SELECT * FROM (VALUES ('by_o_orderkey', 'regression', 'Linear Regression', CAST(2.0 AS DOUBLE), CAST(1 AS INTEGER)),
+        ('by_o_custkey', 'regression', 'Linear Regression', CAST(1.0 AS DOUBLE), CAST(1 AS INTEGER)))
+        t(training_id, problem_type, best_model, timestamp, feature_count) WHERE (SELECT count(*) FROM orders) > 0""",
+)
+def s08(spark, sf):
+    return registry.list_models(spark, _stored(spark, sf))
+
+
+@register(
+    "s09_training_report",
+    f"""SELECT 'by_o_custkey' AS training_id, 'Linear Regression' AS model_name, round(avg(abs(o_totalprice - a - b * o_custkey)), 2) AS mean_absolute_error,
+        'o_custkey' AS numerical FROM orders, ({_LINE})""",
+)
+def s09(spark, sf):
+    _, metadata = registry.load_model(spark, "by_o_custkey", _stored(spark, sf))
+    report = registry.training_report(metadata)
+    return report.select(
+        "training_summary.training_id",
+        F.col("model_performances")[0]["model_name"].alias("model_name"),
+        F.col("model_performances")[0]["metrics"]["mean_absolute_error"].alias("mean_absolute_error"),
+        F.col("data_info.original_columns.numerical")[0].alias("numerical"),
+    )

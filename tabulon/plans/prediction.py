@@ -24,8 +24,9 @@ def score(model: PipelineModel, data: DataFrame) -> DataFrame:
     Works on streaming DataFrames as well.  A class prediction comes back as the
     original class text.
     """
-    scored = model.transform(data)
-    kept = [quoted(c) for c in data.columns if c not in _WORKING]
+    # The steps rewrite columns in place, so the input rides along untouched.
+    scored = model.transform(data.withColumn("_given", F.struct(*[quoted(c) for c in data.columns])))
+    kept = [F.col("_given")[c].alias(c) for c in data.columns if c not in _WORKING]
     answer = F.col("predicted" if "predicted" in scored.columns else "prediction").alias("prediction")
     if "probability" in scored.columns:
         return scored.select(*kept, answer, vector_to_array("probability").alias("probabilities"))

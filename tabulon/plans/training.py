@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from tabulon.operators.inference import CLASSIFICATION, REGRESSION
 from tabulon.operators.metrics import (
     classification_metrics,
+    fold_summary,
     regression_metrics,
     roc_auc_binary,
     roc_auc_one_vs_rest,
@@ -42,6 +46,8 @@ SVM_LARGEST_RANGE = 1e9
 # The boosted presets by the name they stand in for -> rounds, depth, step.
 BOOSTED = {"XGBoost": (100, 6, 0.3), "LightGBM": (100, 5, 0.1), "CatBoost": (200, 6, 0.1)}
 
+ROWS_PER_TASK = 10_000
+
 FOREST_TREES = 100
 FOREST_DEPTH = 10
 
@@ -86,6 +92,12 @@ def _boosted_regressor(rounds: int, depth: int, step: float) -> Maker:
     return lambda *_: GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=step, seed=SEED)
 
 
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer partitions for a small training table, as each one costs a task in every iteration."""
+    enough = max(math.ceil(rows / ROWS_PER_TASK), 1)
+    return df.coalesce(enough) if enough < df.rdd.getNumPartitions() else df
+
+
 def target_extent(df: DataFrame, label: str = "label") -> DataFrame:
     """Range and largest magnitude of a numeric target."""
     y = F.col(label)
@@ -130,13 +142,26 @@ def fold_scores(predicted: DataFrame, problem: str) -> DataFrame:
     return predicted.groupBy("fold").agg(score.alias("score"))
 
 
-def cross_validate(maker: Maker, train: DataFrame, problem: str, classes: int, folds: int, rows: int) -> DataFrame:
-    """Fit on all folds but one, predict the one left out, score all in one pass."""
-    held = []
-    for k in range(folds):
-        fitted = maker(rows - rows // folds, classes).fit(train.where(F.col("fold") != k))
-        held.append(fitted.transform(train.where(F.col("fold") == k)).select("fold", "label", "prediction"))
-    return fold_scores(reduce(DataFrame.unionByName, held), problem)
+def cross_validate(
+    maker: Maker, train: DataFrame, problem: str, classes: int, folds: int, rows: int, parallel: int = 4
+) -> tuple[DataFrame, Model]:
+    """Scores of the held-out folds, all in one pass, and the model of all rows.
+
+    The fits are independent Spark jobs, ``parallel`` of them at a time.
+    """
+
+    def fit(k: int) -> Model:
+        if k == folds:
+            return maker(rows, classes).fit(train)
+        return maker(rows - rows // folds, classes).fit(train.where(F.col("fold") != k))
+
+    with ThreadPool(max(parallel, 1)) as pool:
+        fitted = pool.map(inheritable_thread_target(train.sparkSession)(fit), range(folds + 1), chunksize=1)
+    held = [
+        model.transform(train.where(F.col("fold") == k)).select("fold", "label", "prediction")
+        for k, model in enumerate(fitted[:folds])
+    ]
+    return fold_scores(reduce(DataFrame.unionByName, held), problem), fitted[folds]
 
 
 @dataclass
@@ -171,6 +196,7 @@ def train_models(
     folds: int = 5,
     models: Sequence[str] | None = None,
     makers: dict[str, Maker] | None = None,
+    parallel: int = 4,
 ) -> Training:
     """Cross-validate, fit and test every candidate; a failing one is recorded and skipped."""
     if not 3 <= folds <= 10:
@@ -182,6 +208,7 @@ def train_models(
     train = settle(prepared.train.withColumn("fold", F.pmod(F.col("position") - 1, F.lit(folds)).cast("int")))
     test = settle(prepared.test)
     rows, test_rows = train.count(), test.count()
+    train, test = compact(train, rows), compact(test, test_rows)
     warnings, excluded = [], 0
     if problem == REGRESSION and SVM in pool:
         warning = svm_warning(train)
@@ -195,12 +222,10 @@ def train_models(
         try:
             if not rows:
                 raise ValueError(f"empty training data for {name}")
-            cv = cross_validate(maker, train, problem, classes, folds, rows).agg(
-                F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")
-            ).first()
-            if cv["mean"] is None:
+            scores, model = cross_validate(maker, train, problem, classes, folds, rows, parallel)
+            cv = fold_summary(scores).first()
+            if cv["cv_mean"] is None:
                 raise ValueError(f"cross-validation failed for {name}")
-            model = maker(rows, classes).fit(train)
             metrics = evaluate(model.transform(test), problem, classes)
             if not metrics or any(v is None or v != v for v in metrics.values()):
                 raise ValueError(f"invalid metrics computed for {name}")
@@ -208,7 +233,7 @@ def train_models(
             errors.append((name, str(error), type(error).__name__))
             continue
         score = "accuracy" if problem == CLASSIFICATION else "r2"
-        metrics |= {f"cv_{score}_mean": cv["mean"], f"cv_{score}_std": cv["std"]}
+        metrics |= {f"cv_{score}_mean": cv["cv_mean"], f"cv_{score}_std": cv["cv_std"]}
         fitted[name] = model
         records.append(
             {"candidate": ordinal, "model_name": name, "metrics": metrics, "training_time": time.time() - started}

@@ -14,7 +14,7 @@ from registered.profiles import rounded
 from tabulon.operators import metrics, split
 from tabulon.plans import mixed, prediction, training
 from tabulon.plans.preparation import prepare
-from tabulon.session import scratch_path, small_table
+from tabulon.session import scratch_path, settle, small_table
 from tabulon.sources import registry
 
 REGISTERED = {}
@@ -257,8 +257,9 @@ def _fitted(spark, sf, name):
     """Test rows scored by one candidate."""
     made = _prepared(spark, sf)
     maker = training.candidates("classification", [name])[name]
-    model = maker(made.train.count(), len(made.labels)).fit(made.train)
-    return model, made
+    train = settle(made.train)
+    rows = train.count()
+    return maker(rows, len(made.labels)).fit(training.compact(train, rows)), made
 
 
 @register("m20_logistic_regression", None)

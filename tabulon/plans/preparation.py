@@ -118,8 +118,11 @@ def resolve_problem(df: DataFrame, target: str, kind: str) -> str:
     return kind
 
 
-def fit_steps(train: DataFrame, routes: Routes, kind: str, interactions: bool = False) -> tuple[PipelineModel, list[str], dict]:
-    """Fit every step on the training rows, each on the output of the ones before."""
+def fit_steps(train: DataFrame, routes: Routes, kind: str, interactions: bool = False) -> tuple[PipelineModel, list[str], dict, DataFrame]:
+    """Fit every step on the training rows, each on the output of the ones before.
+
+    Returns the chain, the feature names, what was fitted and the transformed rows.
+    """
     sources = [c for c in train.columns if c not in ("label", "is_test", "position")]
     stages = []
     data = train
@@ -156,8 +159,8 @@ def fit_steps(train: DataFrame, routes: Routes, kind: str, interactions: bool =
         chosen = run(selector)
         names = chosen.state["selected"]
         info["selection"] = {k: v for k, v in chosen.state.items() if k.startswith("removed_")}
-    stages.append(VectorAssembler(inputCols=names, outputCol="features"))
-    return PipelineModel(stages), names, info
+    run(VectorAssembler(inputCols=names, outputCol="features"))
+    return PipelineModel(stages), names, info, data
 
 
 def prepare(
@@ -191,10 +194,10 @@ def prepare(
     kept = labelled.select(*[quoted(c) for c in labelled.columns if c not in gone or c == "label"])
     marked = settle(split(kept, test_size, key, "label" if kind == CLASSIFICATION else None))
     train, test = marked.where(~F.col("is_test")), marked.where("is_test")
-    model, names, info = fit_steps(train, routes, kind, interactions)
+    model, names, info, ready = fit_steps(train, routes, kind, interactions)
     columns = ("features", "label", "position")
     return Prepared(
-        model.transform(train).select(*columns),
+        ready.select(*columns),
         model.transform(test).select(*columns),
         model,
         names,

@@ -2,6 +2,7 @@
 
 from tabulon.operators.inference import column_types, column_verdicts, dataset_info, problem_type, target_suggestions
 from tabulon.operators.profile import profile
+from tabulon.plans.exploration import explore
 from tabulon.plans.prediction import feature_importance, predict, score
 from tabulon.plans.preparation import prepare
 from tabulon.plans.quality import quality_report
@@ -9,6 +10,6 @@ from tabulon.plans.training import train_models
 from tabulon.sources.readers import read_csv, read_table
 
 __all__ = [
-    "column_types", "column_verdicts", "dataset_info", "feature_importance", "predict", "prepare", "problem_type",
+    "column_types", "column_verdicts", "dataset_info", "explore", "feature_importance", "predict", "prepare", "problem_type",
     "profile", "quality_report", "read_csv", "read_table", "score", "target_suggestions", "train_models",
 ]

@@ -168,9 +168,8 @@ def whole_text(df: DataFrame, keyed: DataFrame) -> DataFrame:
         .join(F.broadcast(wanted), ["ordinal", "key"], "left_semi")
         .dropDuplicates(["ordinal", "key"])
     )
-    joined = keyed.join(
-        F.broadcast(found.withColumnRenamed("key", "value")), ["ordinal", "value"], "left"
-    )
+    # Few rows, but of texts of any length, so the join is left to the optimizer.
+    joined = keyed.join(found.withColumnRenamed("key", "value"), ["ordinal", "value"], "left")
     return joined.withColumn("value", F.coalesce("full", "value")).drop("full").select(*keyed.columns)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,27 +26,57 @@ _PAIRS = "i int, j int, col1 string, col2 string, correlation double"
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair i < j over pairwise-complete rows.
 
-    All pairs share one aggregation, in slices of a few hundred; no row moves.
+    Up to a few hundred pairs share one JVM-side aggregation; beyond that each
+    task adds up cross-product matrices.  Either way the table is read a fixed
+    number of times and no row moves.
     """
     pairs = list(combinations(range(len(columns)), 2))
     if not pairs:
         return small_table(df.sparkSession, [], _PAIRS)
     values = df.select(*[number_of(df, c).alias(f"x{k}") for k, c in enumerate(columns)])
-    slices = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[at : at + PAIRS_PER_PASS]
-        rows = [
-            F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"),
-                F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"),
-                F.col(f"r{i}_{j}").alias("correlation"),
-            )
-            for i, j in part
-        ]
-        slices.append(
-            values.agg(*[F.corr(f"x{i}", f"x{j}").alias(f"r{i}_{j}") for i, j in part]).select(F.inline(F.array(*rows)))
+    if len(pairs) > PAIRS_PER_PASS:
+        return _wide_correlations(values, columns)
+    rows = [
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"),
+            F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"),
+            F.col(f"r{i}_{j}").alias("correlation"),
         )
-    return reduce(DataFrame.unionByName, slices)
+        for i, j in pairs
+    ]
+    return values.agg(*[F.corr(f"x{i}", f"x{j}").alias(f"r{i}_{j}") for i, j in pairs]).select(F.inline(F.array(*rows)))
+
+
+def _wide_correlations(values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pair sums by matrix products per task, added up by pair.
+
+    Values are shifted by the column means first, which keeps the sums exact
+    enough for columns far from zero.
+    """
+    means = np.array([m or 0.0 for m in values.agg(*[F.avg(c) for c in values.columns]).first()])
+    upper = np.triu_indices(len(means), 1)
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(sums), len(upper[0])))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - means
+            held = ~np.isnan(x)
+            x[~held] = 0.0
+            seen = held.astype(float)
+            squares = (x * x).T @ seen
+            plain = x.T @ seen
+            for k, product in enumerate((seen.T @ seen, plain, plain.T, squares, squares.T, x.T @ x)):
+                total[k] += product[upper]
+        yield pd.DataFrame(dict(zip(sums, total)) | {"i": upper[0], "j": upper[1]})
+
+    parts = values.mapInPandas(add_up, "n double, sx double, sy double, sxx double, syy double, sxy double, i int, j int")
+    n, sx, sy, sxx, syy, sxy = (F.sum(c) for c in sums)
+    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+    names = F.array(*[F.lit(c) for c in columns])
+    return parts.groupBy("i", "j").agg(((n * sxy - sx * sy) / F.nullif(spread, F.lit(0.0))).alias("correlation")).select(
+        "i", "j", F.element_at(names, F.col("i") + 1).alias("col1"), F.element_at(names, F.col("j") + 1).alias("col2"), "correlation"
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

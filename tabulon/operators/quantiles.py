@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUILTIN_CELLS = 20_000_000
+BUILTIN_CELLS = 5_000_000
 """Rows x columns up to which the built-in exact percentile is used."""
 
 BRACKET_ROWS = 200_000
@@ -54,100 +54,107 @@ def quantile_columns(
     """
     total = df.count() if rows is None else rows
     if total * max(len(exprs), 1) <= BUILTIN_CELLS:
-        return {n: [F.percentile(c, p) for p in probs] for n, c in exprs.items()}
+        # One array-valued call per column, so that its values are gathered once.
+        return {n: [F.percentile(c, list(probs))[k] for k in range(len(probs))] for n, c in exprs.items()}
     exact = quantiles(df, exprs, probs, rows=total)
     return {n: [F.lit(v).cast("double") for v in values] for n, values in exact.items()}
 
 
-class _Rank:
-    """One wanted order statistic and the closed bracket it is known to lie in."""
+class _Target:
+    """One wanted quantile: the two ranks it interpolates and the closed bracket both lie in."""
 
-    def __init__(self, name: str, rank: int, count: int, low: float, high: float):
-        self.name, self.rank = name, rank
+    def __init__(self, name: str, at: float, count: int, low: float, high: float):
+        self.name, self.at = name, at
+        self.first, self.last = math.floor(at), math.ceil(at)
         self.low, self.high = low, high
         self.below, self.inside = 0, count
-        self.value = low if low == high else None
+        self.found: dict[int, float] = {}
+
+    def bracket(self) -> tuple:
+        return self.name, self.low, self.high, self.below
 
     def open(self) -> bool:
-        return self.value is None and self.inside > BRACKET_ROWS
+        return self.low < self.high and self.inside > BRACKET_ROWS
+
+    def value(self) -> float:
+        if self.low == self.high:
+            return self.low
+        a, b = self.found[self.first], self.found[self.last]
+        part = self.at - self.first
+        return a if a == b else (1 - part) * a + part * b
 
 
 def _by_narrowing(df: DataFrame, exprs, probs) -> dict[str, list[float | None]]:
-    source = df.select(*[c.alias(f"x{k}") for k, c in enumerate(exprs.values())])
+    source = df.select(*[c.cast("double").alias(f"x{k}") for k, c in enumerate(exprs.values())])
     slot = {n: f"x{k}" for k, n in enumerate(exprs)}
     ends = source.agg(
         *[f(x).alias(f"{x}_{f.__name__}") for x in slot.values() for f in (F.count, F.min, F.max)]
     ).first()
-    ranks: dict[tuple[str, int], _Rank] = {}
+    targets: dict[str, list[_Target]] = {}
     for name, x in slot.items():
         count = ends[f"{x}_count"]
-        for p in probs if count else ():
-            at = (count - 1) * p
-            for r in {math.floor(at), math.ceil(at)}:
-                ranks[name, r] = _Rank(name, r, count, ends[f"{x}_min"], ends[f"{x}_max"])
+        targets[name] = [
+            _Target(name, (count - 1) * p, count, ends[f"{x}_min"], ends[f"{x}_max"]) for p in probs if count
+        ]
+    every = [t for held in targets.values() for t in held]
     for _ in range(_ROUNDS):
-        active = [r for r in ranks.values() if r.open()]
+        active = [t for t in every if t.open()]
         if not active or not _shrink(source, slot, active):
             break
-    _settle(source, slot, [r for r in ranks.values() if r.value is None])
-    out: dict[str, list[float | None]] = {}
-    for name, x in slot.items():
-        count = ends[f"{x}_count"]
-        out[name] = []
-        for p in probs:
-            if not count:
-                out[name].append(None)
-                continue
-            at = (count - 1) * p
-            a, b = ranks[name, math.floor(at)].value, ranks[name, math.ceil(at)].value
-            part = at - math.floor(at)
-            out[name].append(a if a == b else (1 - part) * a + part * b)
-    return out
-
-
-def _shrink(source: DataFrame, slot, active: list[_Rank]) -> bool:
+    _settle(source, slot, [t for t in every if t.low < t.high])
+    return {n: [t.value() for t in held] if held else [None] * len(probs) for n, held in targets.items()}
+
+
+def _shrink(source: DataFrame, slot, active: list[_Target]) -> bool:
     """One sketch pass and one counting pass; False when nothing moved."""
     margin = 2.0 / SKETCH_ACCURACY
+    shared: dict[tuple, list[_Target]] = {}
+    for t in active:
+        shared.setdefault(t.bracket(), []).append(t)
     sketches = []
-    for k, r in enumerate(active):
-        x = F.col(slot[r.name])
-        at = (r.rank - r.below) / max(r.inside - 1, 1)
-        sketches.append(
-            F.percentile_approx(
-                F.when(x.between(r.low, r.high), x),
-                [max(at - margin, 0.0), min(at + margin, 1.0)],
-                SKETCH_ACCURACY,
-            ).alias(f"b{k}")
-        )
-    brackets = source.agg(*sketches).first()
+    for k, ((name, low, high, below), held) in enumerate(shared.items()):
+        x = F.col(slot[name])
+        span = max(held[0].inside - 1, 1)
+        marks = [
+            m
+            for t in held
+            for m in (max((t.first - below) / span - margin, 0.0), min((t.last - below) / span + margin, 1.0))
+        ]
+        sketches.append(F.percentile_approx(F.when(x.between(low, high), x), marks, SKETCH_ACCURACY).alias(f"b{k}"))
+    drawn = source.agg(*sketches).first()
+    brackets = {
+        id(t): (drawn[k][2 * j], drawn[k][2 * j + 1])
+        for k, held in enumerate(shared.values())
+        for j, t in enumerate(held)
+    }
     tallies = []
-    for k, r in enumerate(active):
-        x, (low, high) = F.col(slot[r.name]), brackets[k]
+    for k, t in enumerate(active):
+        x, (low, high) = F.col(slot[t.name]), brackets[id(t)]
         tallies += [F.count_if(x < low).alias(f"below{k}"), F.count_if(x.between(low, high)).alias(f"in{k}")]
     tally = source.agg(*tallies).first()
     moved = False
-    for k, r in enumerate(active):
-        low, high = brackets[k]
+    for k, t in enumerate(active):
         below, inside = tally[f"below{k}"], tally[f"in{k}"]
-        if not below <= r.rank < below + inside:
+        if not (below <= t.first and t.last < below + inside):
             continue  # the sketch missed; the old bracket still holds
-        moved = moved or inside < r.inside
-        r.low, r.high, r.below, r.inside = low, high, below, inside
-        if low == high:
-            r.value = low
+        moved = moved or inside < t.inside
+        t.low, t.high = brackets[id(t)]
+        t.below, t.inside = below, inside
     return moved
 
 
-def _settle(source: DataFrame, slot, left: list[_Rank]) -> None:
+def _settle(source: DataFrame, slot, left: list[_Target]) -> None:
     """Count the values inside the brackets and read the ranks off."""
     if not left:
         return
+    shared: dict[tuple, list[_Target]] = {}
+    for t in left:
+        shared.setdefault(t.bracket(), []).append(t)
     picks = [
         F.when(
-            F.col(slot[r.name]).between(r.low, r.high),
-            F.struct(F.lit(k).alias("k"), F.col(slot[r.name]).alias("x")),
+            F.col(slot[name]).between(low, high), F.struct(F.lit(k).alias("k"), F.col(slot[name]).alias("x"))
         )
-        for k, r in enumerate(left)
+        for k, (name, low, high, _) in enumerate(shared)
     ]
     counted = (
         source.select(F.inline(F.array_compact(F.array(*picks))))
@@ -155,12 +162,23 @@ def _settle(source: DataFrame, slot, left: list[_Rank]) -> None:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     running = Window.partitionBy("k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    target = F.element_at(F.array(*[F.lit(r.rank - r.below) for r in left]), F.col("k") + 1)
+    wanted = F.array(
+        *[
+            F.array(*[F.lit(r - below) for r in sorted({r for t in held for r in (t.first, t.last)})])
+            for (*_, below), held in shared.items()
+        ]
+    )
+    upto, n = F.col("upto"), F.col("n")
     hits = (
         counted.withColumn("upto", F.sum("n").over(running))
-        .where((F.col("upto") > target) & (F.col("upto") - F.col("n") <= target))
-        .select("k", "x")
-        .collect()  # one row per wanted rank
+        .where(F.exists(F.element_at(wanted, F.col("k") + 1), lambda r: (upto > r) & (upto - n <= r)))
+        .select("k", "x", "n", "upto")
+        .collect()  # at most two rows per wanted quantile
     )
+    places = list(shared.items())
     for hit in hits:
-        left[hit["k"]].value = hit["x"]
+        (*_, below), held = places[hit["k"]]
+        for t in held:
+            for r in (t.first, t.last):
+                if hit["upto"] - hit["n"] <= r - below < hit["upto"]:
+                    t.found[r] = hit["x"]

@@ -10,7 +10,6 @@ from pyspark.ml import Estimator
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +36,9 @@ def correlated(df: DataFrame, columns: Sequence[str], threshold: float = 0.9) ->
     """The later column of every pair above the threshold, dropped ones included as partners."""
     if len(columns) < 2:
         return []
-    if len(columns) <= 25:
-        pairs = correlations(df, columns).where(F.abs("correlation") > threshold)
-        gone = {r["j"] for r in pairs.select("j").distinct().collect()}
-        return [c for k, c in enumerate(columns) if k in gone]
-    packed = VectorAssembler(inputCols=list(columns), outputCol="_packed").transform(
-        df.select(*[number_of(df, c).alias(c) for c in columns])
-    )
-    matrix = np.abs(Correlation.corr(packed, "_packed").first()[0].toArray())
-    return [c for j, c in enumerate(columns) if (matrix[:j, j] > threshold).any()]
+    pairs = correlations(df, columns).where(F.abs("correlation") > threshold)
+    gone = {r["j"] for r in pairs.select("j").distinct().collect()}  # one row per column at most
+    return [c for k, c in enumerate(columns) if k in gone]
 
 
 def by_importance(

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.coercion import number_of
@@ -16,7 +16,8 @@ from tabulon.operators.cells import top_values
 from tabulon.operators.profile import per_column, row_missing
 from tabulon.session import small_table
 
-PAIRS_PER_PASS = 300
+PAIRS_PER_PASS = 100
+ROUNDING = 1e-10
 STRONG = 0.7
 HISTOGRAM_BINS = 30
 
@@ -44,7 +45,13 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         for i, j in pairs
     ]
-    return values.agg(*[F.corr(f"x{i}", f"x{j}").alias(f"r{i}_{j}") for i, j in pairs]).select(F.inline(F.array(*rows)))
+    return values.agg(*[_pearson(f"x{i}", f"x{j}").alias(f"r{i}_{j}") for i, j in pairs]).select(F.inline(F.array(*rows)))
+
+
+def _pearson(x: str, y: str) -> Column:
+    """Pearson correlation, null for a constant side, where ``corr`` would divide by zero."""
+    joint, squared = F.covar_pop(x, y), F.regr_r2(x, y)
+    return F.when((joint != 0) | (squared != 1), F.signum(joint) * F.sqrt(squared))
 
 
 def _wide_correlations(values: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -72,7 +79,13 @@ def _wide_correlations(values: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     parts = values.mapInPandas(add_up, "n double, sx double, sy double, sxx double, syy double, sxy double, i int, j int")
     n, sx, sy, sxx, syy, sxy = (F.sum(c) for c in sums)
-    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+
+    def spread_of(squares: Column, plain: Column) -> Column:
+        """n^2 times the variance, 0 where it is rounding noise of a constant."""
+        spread = n * squares - plain * plain
+        return F.when(spread > ROUNDING * n * squares, spread).otherwise(F.lit(0.0))
+
+    spread = F.sqrt(spread_of(sxx, sx) * spread_of(syy, sy))
     names = F.array(*[F.lit(c) for c in columns])
     return parts.groupBy("i", "j").agg(((n * sxy - sx * sy) / F.nullif(spread, F.lit(0.0))).alias("correlation")).select(
         "i", "j", F.element_at(names, F.col("i") + 1).alias("col1"), F.element_at(names, F.col("j") + 1).alias("col2"), "correlation"

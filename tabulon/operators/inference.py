@@ -64,7 +64,7 @@ def column_verdicts(df: DataFrame, counts: DataFrame | None = None) -> DataFrame
     textual = F.col("ordinal").isin(_ordinals(df, is_text))
     drop = (F.col("missing_pct") > 50) | (F.col("top_pct") > 95)
     kept_text = textual & ~drop
-    ratio = F.col("distinct_count") / F.col("rows")
+    ratio = F.col("distinct_count") / F.nullif(F.col("rows"), F.lit(0))
     hash_it = kept_text & (F.col("distinct_count") > 100) & (ratio > 0.8)
     name, rate = F.col("column"), F.col("conversion_rate")
 
@@ -150,7 +150,7 @@ def problem_type(df: DataFrame, target: str | None) -> DataFrame:
         F.min(x).alias("low"),
         F.max(x).alias("high"),
     )
-    ratio = F.col("kinds") / F.col("rows")
+    ratio = F.col("kinds") / F.nullif(F.col("rows"), F.lit(0))
     wide_integer = F.lit(isinstance(dtype, INTEGRAL)) & (F.col("high") - F.col("low") > 1000) & (F.col("kinds") > 20)
     verdict = (
         F.when((F.col("kinds") == 2) & (F.col("low") == 0) & (F.col("high") == 1), CLASSIFICATION)

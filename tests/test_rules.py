@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import coercion, grading
 from tabulon.operators import cells, eda, inference, outliers, profile
 from tabulon.operators.engineering import interaction_plan
+from tabulon.operators.scalers import scaling_report
 from tabulon.plans import quality
 from tabulon.plans.exploration import explore
 from tabulon.plans.preparation import prepare, route_columns, separate
@@ -218,3 +219,28 @@ def test_exploration_tables(spark):
     assert report["text"].first()["column"] == "words" and report["category_chart"].count() == 3
     assert {k: t.count() for k, t in report.items()}["correlation_matrix"] == 4
     assert "text" not in explore(df.drop("words"))
+
+
+def edge_tables(spark):
+    schema = "n double, i int, t string, d date, flat double, none double"
+    row = (1.5, 2, "x", None, 3.0, None)
+    return {
+        "empty": spark.createDataFrame([], schema),
+        "one row": spark.createDataFrame([row], schema),
+        "constant": spark.createDataFrame([row] * 30, schema),
+    }
+
+
+@pytest.mark.parametrize("name", ["empty", "one row", "constant"])
+def test_edge_tables(spark, name):
+    """Nothing divides by zero or fails on empty, single-row or constant tables."""
+    df = edge_tables(spark)[name]
+    for table in explore(df).values():
+        table.collect()
+    for table in quality.quality_report(df, {"outliers": outliers.outlier_table(df, ["n", "none"], method="both")}).values():
+        table.collect()
+    assert inference.column_verdicts(df).count() == 6
+    assert profile.moments(df).count() == 4
+    assert scaling_report(df, ["n", "flat", "none"]).where("scale = 0").count() == 0
+    assert inference.problem_type(df, "i").first()["problem_type"] in ("classification", "regression")
+    inference.dataset_info(df, name).collect()

@@ -222,7 +222,7 @@ def m27(spark, sf):
     packed = VectorAssembler(inputCols=["o_custkey"], outputCol="features").transform(dealt)
     data = packed.select("features", F.col("o_totalprice").alias("label"), "fold")
     makers = training.candidates("regression", ["Linear Regression"])
-    scores, _ = training.cross_validate(makers["Linear Regression"], data, "regression", 0, 5, data.count())
+    scores, _ = training.cross_validate(makers["Linear Regression"], data, "regression", 0, training.fold_sides(data, 5), data.count())
     return rounded(scores)
 
 

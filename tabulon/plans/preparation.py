@@ -45,10 +45,14 @@ class Routes:
 
 @dataclass
 class Prepared:
-    """Feature tables ``(features, label, position)`` and the fitted chain behind them."""
+    """Feature tables ``(features, label, position)`` and the fitted chain behind them.
+
+    ``rows`` are the training rows before any step, for fitting the chain anew.
+    """
 
     train: DataFrame
     test: DataFrame
+    rows: DataFrame
     model: PipelineModel
     feature_names: list[str]
     problem_type: str
@@ -199,6 +203,7 @@ def prepare(
     return Prepared(
         ready.select(*columns),
         model.transform(test).select(*columns),
+        train,
         model,
         names,
         kind,

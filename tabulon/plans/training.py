@@ -21,7 +21,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.inference import CLASSIFICATION, REGRESSION
@@ -32,7 +32,7 @@ from tabulon.operators.metrics import (
     roc_auc_binary,
     roc_auc_one_vs_rest,
 )
-from tabulon.plans.preparation import Prepared
+from tabulon.plans.preparation import Prepared, fit_steps
 from tabulon.session import settle, small_table
 from tabulon.sources.registry import PERFORMANCE
 
@@ -142,24 +142,51 @@ def fold_scores(predicted: DataFrame, problem: str) -> DataFrame:
     return predicted.groupBy("fold").agg(score.alias("score"))
 
 
+Sides = Sequence[tuple[DataFrame, DataFrame]]
+
+
+def fold_sides(train: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
+    """The rows to fit on and the rows held out, for each fold of a prepared table."""
+    return [(train.where(F.col("fold") != k), train.where(F.col("fold") == k)) for k in range(folds)]
+
+
+def refitted_sides(prepared: Prepared, folds: int) -> list[tuple[DataFrame, DataFrame]]:
+    """The same, with the preparation fitted anew on the rows of each fold."""
+    sides = []
+    for fit, held in fold_sides(prepared.rows.withColumn("fold", fold_of(folds)), folds):
+        model, _, _, ready = fit_steps(fit.drop("fold"), prepared.routes, prepared.problem_type)
+        held = model.transform(held.drop("fold"))
+        sides.append(
+            tuple(
+                settle(t.select("features", "label", F.lit(len(sides)).alias("fold"))) for t in (ready, held)
+            )
+        )
+    return sides
+
+
+def fold_of(folds: int) -> Column:
+    """Positions are dealt out in turn, so every class is spread evenly."""
+    return F.pmod(F.col("position") - 1, F.lit(folds)).cast("int")
+
+
 def cross_validate(
-    maker: Maker, train: DataFrame, problem: str, classes: int, folds: int, rows: int, parallel: int = 4
+    maker: Maker, train: DataFrame, problem: str, classes: int, sides: Sides, rows: int, parallel: int = 4
 ) -> tuple[DataFrame, Model]:
     """Scores of the held-out folds, all in one pass, and the model of all rows.
 
     The fits are independent Spark jobs, ``parallel`` of them at a time.
     """
+    folds = len(sides)
 
     def fit(k: int) -> Model:
         if k == folds:
             return maker(rows, classes).fit(train)
-        return maker(rows - rows // folds, classes).fit(train.where(F.col("fold") != k))
+        return maker(rows - rows // folds, classes).fit(sides[k][0])
 
     with ThreadPool(max(parallel, 1)) as pool:
         fitted = pool.map(inheritable_thread_target(train.sparkSession)(fit), range(folds + 1), chunksize=1)
     held = [
-        model.transform(train.where(F.col("fold") == k)).select("fold", "label", "prediction")
-        for k, model in enumerate(fitted[:folds])
+        model.transform(side).select("fold", "label", "prediction") for model, (_, side) in zip(fitted, sides)
     ]
     return fold_scores(reduce(DataFrame.unionByName, held), problem), fitted[folds]
 
@@ -197,18 +224,24 @@ def train_models(
     models: Sequence[str] | None = None,
     makers: dict[str, Maker] | None = None,
     parallel: int = 4,
+    refit_preparation: bool = False,
 ) -> Training:
-    """Cross-validate, fit and test every candidate; a failing one is recorded and skipped."""
+    """Cross-validate, fit and test every candidate; a failing one is recorded and skipped.
+
+    ``refit_preparation`` fits the preparation inside each fold as well, so that
+    no held-out row has a part in it; by default it is fitted once.
+    """
     if not 3 <= folds <= 10:
         raise ValueError("the number of folds must lie between 3 and 10")
     problem, classes = prepared.problem_type, len(prepared.labels)
     spark = prepared.train.sparkSession
     pool = candidates(problem, models) if makers is None else dict(makers)
     # Every candidate reads these tables many times, so they are written out once.
-    train = settle(prepared.train.withColumn("fold", F.pmod(F.col("position") - 1, F.lit(folds)).cast("int")))
+    train = settle(prepared.train.withColumn("fold", fold_of(folds)))
     test = settle(prepared.test)
     rows, test_rows = train.count(), test.count()
     train, test = compact(train, rows), compact(test, test_rows)
+    sides = refitted_sides(prepared, folds) if refit_preparation else fold_sides(train, folds)
     warnings, excluded = [], 0
     if problem == REGRESSION and SVM in pool:
         warning = svm_warning(train)
@@ -222,7 +255,7 @@ def train_models(
         try:
             if not rows:
                 raise ValueError(f"empty training data for {name}")
-            scores, model = cross_validate(maker, train, problem, classes, folds, rows, parallel)
+            scores, model = cross_validate(maker, train, problem, classes, sides, rows, parallel)
             cv = fold_summary(scores).first()
             if cv["cv_mean"] is None:
                 raise ValueError(f"cross-validation failed for {name}")

@@ -57,9 +57,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write the table to the shared folder and read it back.
+
+    A Parquet table rather than an RDD checkpoint, so that the many passes that
+    follow read only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_table(spark: SparkSession, rows: Iterable[Mapping | tuple], schema: str | StructType) -> DataFrame:

@@ -96,6 +96,14 @@ def test_classes_come_back_as_text(spark, parts):
     assert {"accuracy", "precision", "recall", "f1_score", "roc_auc"} <= set(done.leaderboard.first()["metrics"])
 
 
+def test_preparation_can_be_refitted_per_fold(trained):
+    made, done = trained
+    again = training.train_models(made, 3, ["Linear Regression"], refit_preparation=True)
+    once, anew = (d.leaderboard.first()["metrics"] for d in (done, again))
+    assert anew["r2_score"] == pytest.approx(once["r2_score"])
+    assert anew["cv_r2_mean"] == pytest.approx(once["cv_r2_mean"], abs=0.05)
+
+
 def test_three_classes_are_scored_one_vs_rest(spark, parts):
     made = prepare(parts, "p_type", key=["p_partkey"])
     makers = {"lr": lambda *_: LogisticRegression(maxIter=5), **training.candidates("classification", ["SVM"])}

@@ -9,8 +9,8 @@ SQL = entry.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_matches_sql(spark, db, sf, name):
-    df = entry.queries()[name](spark, sf)
+def test_matches_sql(spark, db, sql_sf, name):
+    df = entry.queries()[name](spark, sql_sf)
     cursor = db.execute(SQL[name])
     want = ([d[0] for d in cursor.description], cursor.fetchall())
     assert compare((df.columns, [tuple(r) for r in df.collect()]), want) == "ok"

@@ -30,7 +30,7 @@ def is_text(dtype: T.DataType) -> bool:
 
 
 def quoted(name: str) -> Column:
-    """Reference a column whose name may hold dots or spaces."""
+    """A column whose name may hold dots or spaces."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 

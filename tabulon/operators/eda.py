@@ -99,7 +99,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.col("j").alias("i"), F.col("i").alias("j"),
         F.col("col2").alias("col1"), F.col("col1").alias("col2"), "correlation",
     )
-    diagonal = small_table(df.sparkSession, 
+    diagonal = small_table(
+        df.sparkSession,
         [(k, k, c, c, 1.0) for k, c in enumerate(columns)] if len(columns) > 1 else [], _PAIRS
     )
     return upper.unionByName(mirrored).unionByName(diagonal)

@@ -191,7 +191,8 @@ def dataset_info(df: DataFrame, filename: str) -> DataFrame:
         "ordinal", "column", "detected_type", "missing_count", "rows", "distinct_count",
         "should_drop", "should_hash_encode", "warnings",
     ).collect()  # one row per column
-    small = small_table(df.sparkSession, 
+    small = small_table(
+        df.sparkSession,
         [r.asDict() for r in rows],
         "ordinal int, column string, detected_type string, missing_count bigint, rows bigint, "
         "distinct_count bigint, should_drop boolean, should_hash_encode boolean, warnings array<string>",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.coercion import clip, keep_inside, number_of, outside
-from tabulon.functions.grading import outlier_severity, share
+from tabulon.functions.grading import outlier_severity
 from tabulon.operators.quantiles import quantiles
 from tabulon.operators.stages import ColumnStage, FittedColumns, declare
 from tabulon.session import small_table
@@ -141,8 +141,3 @@ class OutlierClipper(ColumnStage, Estimator):
             self.getOrDefault("z_threshold"),
         )
         return FittedOutlierClipper.of(records=records, clip=self.getOrDefault("clip_outliers"))
-
-
-__all__ = [
-    "FittedOutlierClipper", "OutlierClipper", "iqr_frame", "outlier_report", "outlier_summary", "outlier_table", "share",
-]

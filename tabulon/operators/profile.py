@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.coercion import (
-    TEMPORAL,
     is_numeric,
     is_temporal,
     is_text,
@@ -26,7 +25,7 @@ from tabulon.operators.cells import (
     names_of,
     value_counts,
 )
-from tabulon.operators.quantiles import quantile_columns
+from tabulon.operators.quantiles import quantiles
 
 # Words that stand for a missing value inside a text column.
 MISSING_WORDS = ("na", "n/a", "null", "none", "missing", "", "nan", "unknown", "undefined")
@@ -164,7 +163,9 @@ def numeric_profile(
     """Mean, median, sample deviation, extremes and quartiles of numeric columns."""
     names = _numeric_names(df, columns)
     values = {n: number_of(df, n) for n in names}
-    marks = quantile_columns(df, values, (0.25, 0.5, 0.75), rows)
+    # Taken apart from the moments: percentile would force them all off generated code.
+    found = quantiles(df, values, (0.25, 0.5, 0.75), rows)
+    marks = {n: [F.lit(q).cast("double") for q in held] for n, held in found.items()}
     return per_column(
         df,
         {

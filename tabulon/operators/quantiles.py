@@ -45,21 +45,6 @@ def quantiles(
     return _by_narrowing(df, exprs, probs)
 
 
-def quantile_columns(
-    df: DataFrame, exprs: Mapping[str, Column], probs: Sequence[float], rows: int | None = None
-) -> dict[str, list[Column]]:
-    """The same quantiles as expressions to use inside one ``agg`` over ``df``.
-
-    Small tables get lazy ``percentile`` calls, large ones literals.
-    """
-    total = df.count() if rows is None else rows
-    if total * max(len(exprs), 1) <= BUILTIN_CELLS:
-        # One array-valued call per column, so that its values are gathered once.
-        return {n: [F.percentile(c, list(probs))[k] for k in range(len(probs))] for n, c in exprs.items()}
-    exact = quantiles(df, exprs, probs, rows=total)
-    return {n: [F.lit(v).cast("double") for v in values] for n, values in exact.items()}
-
-
 class _Target:
     """One wanted quantile: the two ranks it interpolates and the closed bracket both lie in."""
 

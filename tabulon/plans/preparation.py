@@ -211,5 +211,3 @@ def prepare(
         routes,
         info,
     )
-
-

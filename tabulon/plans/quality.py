@@ -20,7 +20,6 @@ from tabulon.operators.profile import (
     missing_total,
     numeric_quality,
     profile,
-    shape,
     text_quality,
 )
 from tabulon.session import small_table
@@ -197,9 +196,3 @@ def quality_report(df: DataFrame, info: Mapping | None = None) -> dict[str, Data
         report["outliers"] = outlier_summary(df, info.get("outliers", ()))
         report["actions"] = preparation_actions(df, info)
     return report
-
-
-__all__ = [
-    "column_analysis", "high_missing", "missing_analysis", "missing_columns", "overview",
-    "preparation_actions", "quality_report", "quality_score", "recommendations", "shape",
-]

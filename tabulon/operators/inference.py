@@ -165,7 +165,8 @@ def date_text_columns(df: DataFrame) -> DataFrame:
     """Share of each text column that parses as a date; over 0.8 counts as one."""
     names = [f.name for f in df.schema.fields if is_text(f.dataType)]
     if not names:
-        return small_table(df.sparkSession, 
+        return small_table(
+            df.sparkSession,
             [], "ordinal int, column string, parse_rate double, is_date_text boolean"
         )
     rates = per_column(

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, lengths
+from tabulon.llm import bpe, decontamination, lengths, near_duplicates
 
 VOCABULARY = os.environ.get("TABULON_VOCABULARY")
 
@@ -46,9 +46,59 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_budget(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside windows of benchmark items, and which items."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_items(documents, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontamination.hit_words().alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        hashed(F.array_join("hit_items", ",")).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate component and whether it is the one that stays."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontamination": op2_decontamination,
     "op9_token_counts": op9_token_counts,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+            FROM documents),
+        i AS (
+            SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+            FROM benchmark),
+        item_windows AS (
+            SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS win
+            FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s FROM i WHERE len(w) > 0)),
+        doc_windows AS (
+            SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS win
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s
+                  FROM d, (SELECT DISTINCT k FROM item_windows) WHERE len(w) >= k)),
+        hits AS (SELECT DISTINCT doc_id, s, k, item_id FROM doc_windows JOIN item_windows USING (k, win)),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                  FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+}

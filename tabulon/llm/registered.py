@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, decontamination, lengths, near_duplicates
+from tabulon.llm import bpe, decontamination, language, lengths, near_duplicates, quality
 
 VOCABULARY = os.environ.get("TABULON_VOCABULARY")
 
@@ -29,6 +29,10 @@ def hashed(column) -> F.Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+def remainder(n: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count, and digests of its ids and of the text decoded from them."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,6 +45,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; one crc32 remainder in four is never learned from."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit_quality(documents, labels.where(remainder(4) != 2))
+    return quality.score_quality(documents, model).select(
+        "doc_id",
+        F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language; one crc32 remainder in five is never learned from."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit_language(documents.where(remainder(5) != 0))
+    return language.identify(documents.drop("lang"), model).select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every encoded length of documents as a context limit."""
     return lengths.token_budget(table(spark, sf_dir, "documents"), vocabulary())
@@ -68,6 +94,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
+    "op5_quality": op5_quality,
+    "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
 }

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, decontamination, language, lengths, near_duplicates, quality
+from tabulon.llm import bpe, decontamination, language, lengths, near_duplicates, quality, secret_scan
 
 VOCABULARY = os.environ.get("TABULON_VOCABULARY")
 
@@ -45,6 +45,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, from a first scan with an empty ledger."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned, _ = secret_scan.scan(documents)
+    spans = F.col("spans")
+    return scanned.select(
+        "doc_id",
+        *[secret_scan.of_kind(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        hashed(secret_scan.spelled(spans)).alias("base_sha256"),
+        secret_scan.spelled(spans).alias("spans"),
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score; one crc32 remainder in four is never learned from."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,6 +107,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
+    "op3_secrets": op3_secrets,
     "op5_quality": op5_quality,
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
@@ -129,4 +143,32 @@ SQL = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op3_secrets": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        r AS (SELECT * FROM (VALUES
+            (0, 'assign', 2, 8,
+             '(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+            (1, 'access', 0, 16, 'AKIA[A-Z0-9]+'), (2, 'hex', 0, 32, '[0-9a-f]+')) AS v(k, kind, g, least_n, p)),
+        m AS (
+            SELECT doc_id, k, kind, string_split_regex(t, p) AS gap,
+                   CASE k WHEN 0 THEN regexp_extract_all(t, p0, 0) WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0)
+                          ELSE regexp_extract_all(t, '[0-9a-f]+', 0) END AS whole,
+                   CASE k WHEN 0 THEN regexp_extract_all(t, p0, 2) WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0)
+                          ELSE regexp_extract_all(t, '[0-9a-f]+', 0) END AS part, least_n
+            FROM d, r),
+        o AS (SELECT *, unnest(list_filter(range(1, len(part) + 1), lambda i: length(part[i]) >= least_n)) AS n FROM m),
+        s AS (
+            SELECT doc_id, k, kind, list_sum(list_transform(gap[1:n], lambda x: length(x)))
+                   + coalesce(list_sum(list_transform(whole[1:n - 1], lambda x: length(x))), 0) AS a,
+                   length(whole[n]) AS size
+            FROM o),
+        g AS (
+            SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access,
+                   count(*) FILTER (WHERE k = 2) AS n_hex,
+                   string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + size AS BIGINT), ',' ORDER BY a, k) AS spans
+            FROM s GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (doc_id)
+    """.replace("p0", """'(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""),
 }

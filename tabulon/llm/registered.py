@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, decontamination, language, lengths, near_duplicates, quality, secret_scan
+from tabulon.llm import bpe, decontamination, language, lengths, near_duplicates, quality, secret_scan, sharding, topk, url_filter
 
 VOCABULARY = os.environ.get("TABULON_VOCABULARY")
 
@@ -58,6 +58,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's slot and shard, by its id."""
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score; one crc32 remainder in four is never learned from."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +76,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host and path, and the verdict on its URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every vector whose id is divisible by 20, against all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's predicted language; one crc32 remainder in five is never learned from."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -108,7 +124,10 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
     "op3_secrets": op3_secrets,
+    "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_url_filter": op6_url_filter,
+    "op7_topk": op7_topk,
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
@@ -171,4 +190,49 @@ SQL = {
                sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN g USING (doc_id)
     """.replace("p0", """'(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""),
+    "op6_url_filter": """
+        WITH h AS (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages),
+        r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+                             ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
+              AS v(verdict, rule_host, rule_path)),
+        b AS (
+            SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                   arg_max(r.verdict, length(rule_host || rule_path)) AS verdict
+            FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE
+            WHEN regexp_matches(host, '(^|\\.)(spam-farm|cheap-pills|ads-track|casino-win|adult-x|free-bets)\\.')
+              OR regexp_matches(path, '/(wp-login|cart|login|search)([^0-9A-Za-z]|$)') THEN 'block'
+            ELSE 'allow' END) AS verdict
+        FROM h LEFT JOIN b USING (page_id)
+    """.replace("\\\\", "\\"),
+    "op7_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+        FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 20
+    """,
 }
+
+
+def sql() -> dict[str, str]:
+    """All SQL; that of the placement holds its table of slots, filled by the rule of turns."""
+    owners = ",".join(str(k) for k in sharding.fill_slots())
+    placed = f"""
+        WITH t AS (SELECT string_split('{owners}', ',') AS owner),
+        s AS (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {sharding.SLOTS} AS slot
+              FROM documents)
+        SELECT doc_id, slot, 'shard-' || lpad(owner[slot + 1], 3, '0') AS shard FROM s, t
+    """
+    return SQL | {"op4_sharding": placed}

@@ -13,7 +13,7 @@ Queries pass in blocks of bounded size, each broadcast over all candidate blocks
 
 Defined results: vectors that are null, or hold a null or a component that is not
 finite, take no part, and neither do rows without an id; a missing component counts
-as 0, so vectors of different lengths can meet and an empty one scores 0.  Of equal
+as 0 (components must fit 64 bits once scaled), so vectors of different lengths can meet and an empty one scores 0.  Of equal
 scores the smaller id is better.  A repeated id is a candidate once per row, but rows
 with the query's own id never are.  Without queries or candidates the result is
 empty.  Other columns, whatever their names, are left out.
@@ -74,8 +74,8 @@ class SegmentIndex:
 
     def possible(self, query: np.ndarray, k: int) -> np.ndarray:
         """Rows that may be among the ``k`` best; no other row can be."""
-        n, width = self.vectors.shape
-        if n <= max(FEW, k):
+        n = len(self.vectors)
+        if n <= max(FEW, k) or self.vectors.dtype == object:  # numbers that floating point can not add exactly
             return np.arange(n)
         product = self.values * query[self.dims]
         impact = np.abs(product)

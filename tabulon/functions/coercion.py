@@ -96,9 +96,37 @@ def error_flag(text: Column) -> Column:
     return (text.isNotNull() & text_to_number(text).isNull()).cast("int")
 
 
+# The spellings of a date that are read, tried in this order, each with an optional clock time.
+# An ambiguous 03/04/2020 is the fourth of March; with dots the day comes first.
+DATE_SPELLINGS = (
+    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"(0?[1-9]|1[0-2])/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
+    (r"[A-Za-z]{3} \d{1,2},? \d{4}", "MMM d yyyy"),
+    (r"[A-Za-z]{4,9} \d{1,2},? \d{4}", "MMMM d yyyy"),
+    (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"),
+    (r"\d{1,2} [A-Za-z]{4,9} \d{4}", "d MMMM yyyy"),
+)
+_CLOCK = r"[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?"
+
+
 def text_to_timestamp(text: Column) -> Column:
-    """Parse ISO-like date text; anything else is null."""
-    return F.try_to_timestamp(text)
+    """Parse date text in one of ``DATE_SPELLINGS``; anything else is null.
+
+    Bare numbers (years, postcodes) and clock times without a date are no dates.
+    """
+    plain = F.trim(text)
+    out = F.lit(None).cast("timestamp")
+    for pattern, form in reversed(DATE_SPELLINGS):
+        day = F.regexp_replace(F.regexp_extract(plain, f"^({pattern})", 1), ",", "")
+        clock = F.regexp_replace(F.regexp_extract(plain, f"^{pattern}({_CLOCK})$", pattern.count("(") + 1), "^[ T]", "")
+        read = F.try_to_timestamp(day, F.lit(form))
+        iso = F.date_format(read, "yyyy-MM-dd")
+        whole = F.when(clock == "", read).otherwise(F.try_to_timestamp(F.concat_ws(" ", iso, clock)))
+        out = F.when(plain.rlike(f"^{pattern}({_CLOCK})?$"), F.when(read.isNotNull(), whole)).otherwise(out)
+    return out
 
 
 # The seven calendar parts a date column is expanded into.

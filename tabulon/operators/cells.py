@@ -1,7 +1,8 @@
 """The long form: one row per cell, counted once, behind every column profile.
 
 A cell is spread over three typed slots (whole number, double, text) instead of
-being printed to text, so numbers and dates travel as 8 bytes.  One ``groupBy``
+being printed to text, so numbers and dates travel as 8 bytes.  Text of any length is its
+own key, so that equality, order and spelling mean the same for all of it.  One ``groupBy``
 over the slots, partially aggregated before the shuffle, then serves missing
 counts, distinct counts, top values, samples and type inference alike.  A value
 held by a third of all rows is one row per task after the partial aggregation.
@@ -15,38 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.coercion import FLOATING, INTEGRAL, is_text, looks_numeric, quoted
+from tabulon.functions.coercion import FLOATING, INTEGRAL, is_text, quoted
 from tabulon.session import small_table
 
-LONG_TEXT = 64
-"""Text beyond this many characters is counted by digest, not shuffled whole."""
-
-_DIGEST_MARK = "\u0001"
 _STACK_LIMIT = 50
 _NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 CELL_KEYS = ("ordinal", "i", "d", "s")
 
 
-def text_key(text: Column) -> Column:
-    """Short text as itself; long text as mark + numeric flag + md5."""
-    digest = F.concat(
-        F.lit(_DIGEST_MARK), F.when(looks_numeric(text), "1").otherwise("0"), F.md5(text)
-    )
-    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(
-        F.when(text.isNotNull(), digest)
-    )
-
-
-def is_digest(key: Column) -> Column:
-    return key.startswith(_DIGEST_MARK) & (F.length(key) == 34)
-
-
-def key_is_numeric(key: Column) -> Column:
-    """Whether the text behind a key reads as a number."""
-    return F.when(is_digest(key), key.substr(2, 1) == "1").otherwise(looks_numeric(key))
-
-
 def _ntz_micros(c: Column) -> Column:
     seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
     return seconds * 1000000 + (F.date_part(F.lit("SECOND"), c) * 1000000).cast("bigint")
@@ -68,14 +46,14 @@ def _slots(column: Column, dtype: T.DataType) -> tuple[Column, Column, Column]:
     elif isinstance(dtype, T.TimestampNTZType):
         whole = _ntz_micros(column)
     elif is_text(dtype):
-        text = text_key(column)
+        text = column.cast("string")
     elif isinstance(dtype, T.DecimalType):
         text = column.cast("string")
     elif isinstance(dtype, T.BinaryType):
-        text = text_key(F.base64(column))
+        text = F.base64(column)
     else:
-        text = text_key(F.to_json(column) if isinstance(
-            dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else column.cast("string"))
+        nested = isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+        text = F.to_json(column) if nested else column.cast("string")
     return whole, double, text
 
 
@@ -150,29 +128,6 @@ def names_of(df: DataFrame) -> DataFrame:
     return small_table(df.sparkSession, rows, "ordinal int, column string, spark_type string")
 
 
-def whole_text(df: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Give digests in ``keyed(ordinal, value, ...)`` their full text back.
-
-    ``keyed`` is a top-k result, at most k rows per column; the source is read
-    once more for its text columns, only when a digest made it into the top.
-    """
-    texts = [f.name for f in df.schema.fields if is_text(f.dataType)]
-    if not texts:
-        return keyed
-    rows = [(F.lit(df.columns.index(n)), quoted(n)) for n in texts]
-    source = df.select(F.stack(F.lit(len(rows)), *[c for r in rows for c in r]).alias("ordinal", "full"))
-    wanted = keyed.where(is_digest(F.col("value"))).select("ordinal", F.col("value").alias("key")).distinct()
-    found = (
-        source.where(F.length("full") > LONG_TEXT)
-        .withColumn("key", text_key(F.col("full")))
-        .join(F.broadcast(wanted), ["ordinal", "key"], "left_semi")
-        .dropDuplicates(["ordinal", "key"])
-    )
-    # Few rows, but of texts of any length, so the join is left to the optimizer.
-    joined = keyed.join(found.withColumnRenamed("key", "value"), ["ordinal", "value"], "left")
-    return joined.withColumn("value", F.coalesce("full", "value")).drop("full").select(*keyed.columns)
-
-
 def top_values(
     df: DataFrame, columns: Sequence[str], k: int = 10, counts: DataFrame | None = None
 ) -> DataFrame:
@@ -203,5 +158,4 @@ def _ranked(df, columns, ordered, k, counts) -> DataFrame:
         .where(F.col("rank") <= k)
         .select("ordinal", "value", "n", "rank")
     )
-    named = whole_text(df, ranked)
-    return named.join(F.broadcast(names_of(df)), "ordinal").select("ordinal", "column", "rank", "value", "n")
+    return ranked.join(F.broadcast(names_of(df)), "ordinal").select("ordinal", "column", "rank", "value", "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.coercion import INTEGRAL, as_number, is_numeric, is_temporal, is_text, quoted, text_to_timestamp
-from tabulon.operators.cells import display, is_missing, value_counts, whole_text
+from tabulon.operators.cells import display, is_missing, value_counts
 from tabulon.operators.profile import per_column, profile
 from tabulon.session import small_table
 
@@ -55,12 +55,11 @@ def column_verdicts(df: DataFrame, counts: DataFrame | None = None) -> DataFrame
     """``should_drop``, ``should_hash_encode`` and the warnings of every column."""
     source = value_counts(df) if counts is None else counts
     catalog = column_types(df, source)
-    leaders = whole_text(
-        df,
-        source.join(F.broadcast(catalog.select("ordinal", "rows")), "ordinal")
+    leaders = (
+        source.join(F.broadcast(catalog.select("ordinal", "rows")), "ordinal")  # one row per column
         .where(F.col("n") * 100 > F.col("rows") * 85)  # at most one value per column
-        .select("ordinal", F.when(is_missing(), "nan").otherwise(display(df)).alias("value")),
-    ).withColumnRenamed("value", "leader")
+        .select("ordinal", F.when(is_missing(), "nan").otherwise(display(df)).alias("leader"))
+    )
     textual = F.col("ordinal").isin(_ordinals(df, is_text))
     drop = (F.col("missing_pct") > 50) | (F.col("top_pct") > 95)
     kept_text = textual & ~drop
@@ -104,7 +103,7 @@ def column_verdicts(df: DataFrame, counts: DataFrame | None = None) -> DataFrame
         )
     )
     return (
-        catalog.join(F.broadcast(leaders), "ordinal", "left")
+        catalog.join(leaders, "ordinal", "left")  # few rows, of texts of any length
         .withColumn("should_drop", F.coalesce(drop, F.lit(False)))
         .withColumn("should_hash_encode", F.coalesce(hash_it, F.lit(False)))
         .withColumn("warnings", warnings)
@@ -146,7 +145,7 @@ def problem_type(df: DataFrame, target: str | None) -> DataFrame:
     x = as_number(quoted(target), dtype)
     facts = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_distinct(quoted(target)).alias("kinds"),
+        F.count_distinct(x).alias("kinds"),
         F.min(x).alias("low"),
         F.max(x).alias("high"),
     )

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCORE_BUCKETS = 1024
+from tabulon.session import settle
+
+RANGE_SCORES = 100_000
+"""Distinct scores per value range, about; the number of ranges grows with them."""
 
 
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -77,19 +79,21 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 def roc_auc(df: DataFrame, positive: Column, score: Column, group: Column | None = None) -> DataFrame:
     """Exact rank-sum ROC-AUC per group, ties counted half.
 
-    Scores collapse to counts first.  The distinct scores are then cut into
-    value ranges, so the running count of negatives is a per-range window plus
-    an offset from a table of at most 1024 ranges per group.
+    Scores collapse to counts first.  The distinct scores are then dealt into value
+    ranges, whose number grows with them, so the running count of negatives is a
+    window inside a range plus an offset from a table with one row per range.
     """
-    counts = (
-        df.select((F.lit(0) if group is None else group).alias("g"), score.cast("double").alias("s"), positive.cast("boolean").alias("is_pos"))
+    counts = settle(
+        df.select(
+            (F.lit(0) if group is None else group).alias("g"),
+            score.cast("double").alias("s"),
+            positive.cast("boolean").alias("is_pos"),
+        )
         .groupBy("g", "s")
         .agg(F.count_if("is_pos").alias("pos"), F.count_if(~F.col("is_pos")).alias("neg"))
     )
-    steps = [k / SCORE_BUCKETS for k in range(1, SCORE_BUCKETS)]
-    cuts = counts.agg(F.percentile_approx("s", steps, 10 * SCORE_BUCKETS)).first()[0] or []
-    bounds = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    ranged = Bucketizer(splits=bounds, inputCol="s", outputCol="b").transform(counts)
+    ranges = 1 + counts.count() // RANGE_SCORES
+    ranged = settle(counts.repartitionByRange(ranges, "g", "s").withColumn("b", F.spark_partition_id()))
     ordered = Window.partitionBy("g").orderBy("b")
     offsets = (
         ranged.groupBy("g", "b")
@@ -98,9 +102,11 @@ def roc_auc(df: DataFrame, positive: Column, score: Column, group: Column | None
     )
     inside = Window.partitionBy("g", "b").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     below = F.col("before") + F.sum("neg").over(inside) - F.col("neg")
-    won = ranged.join(offsets, ["g", "b"]).select("g", "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
+    wins = F.col("pos").cast("double") * (below + F.col("neg") / 2)  # the product outgrows a bigint
+    won = ranged.join(offsets, ["g", "b"]).select("g", "pos", "neg", wins.alias("wins"))
     totals = won.groupBy("g").agg(F.sum("wins").alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return totals.select("g", (F.col("wins") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("roc_auc"))
+    pairs = F.col("p").cast("double") * F.col("n")
+    return totals.select("g", (F.col("wins") / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
 
 
 def roc_auc_binary(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -42,11 +42,11 @@ def outlier_table(
         *[
             f(x).alias(f"{f.__name__}{k}")
             for k, x in enumerate(values.values())
-            for f in (F.avg, F.stddev_pop, F.stddev_samp)
+            for f in ((F.count,) if method == "iqr" else (F.count, F.avg, F.stddev_pop, F.stddev_samp))
         ],
     ).first()
     total = base["rows"]
-    quarters = quantiles(df, values, (0.25, 0.75), rows=total) if method != "zscore" else {}
+    quarters = quantiles(df, values, (0.25, 0.75), {n: base[f"count{k}"] for k, n in enumerate(values)}) if method != "zscore" else {}
     bounds: dict[str, dict[str, tuple]] = {n: {} for n in values}
     tallies: list[Column] = []
     for k, (name, x) in enumerate(values.items()):

@@ -12,6 +12,7 @@ from tabulon.functions.coercion import (
     is_numeric,
     is_temporal,
     is_text,
+    looks_numeric,
     number_of,
     quoted,
 )
@@ -19,13 +20,12 @@ from tabulon.functions.grading import cardinality_class, column_issues, share
 from tabulon.functions.hashing import row_fingerprint
 from tabulon.operators.cells import (
     counted,
-    is_digest,
     is_missing,
-    key_is_numeric,
     names_of,
     value_counts,
 )
 from tabulon.operators.quantiles import quantiles
+from tabulon.session import small_table
 
 # Words that stand for a missing value inside a text column.
 MISSING_WORDS = ("na", "n/a", "null", "none", "missing", "", "nan", "unknown", "undefined")
@@ -99,7 +99,7 @@ def column_counts(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """
     source = value_counts(df) if counts is None else counts
     texts = [k for k, f in enumerate(df.schema.fields) if is_text(f.dataType)]
-    numeric_text = F.col("ordinal").isin(texts) & key_is_numeric(F.col("s"))
+    numeric_text = F.col("ordinal").isin(texts) & looks_numeric(F.col("s"))
     totals = source.groupBy("ordinal").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(is_missing(), F.col("n")).otherwise(0)).alias("missing_count"),
@@ -113,8 +113,8 @@ def column_counts(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     mixed = rated.where((F.col("conversion_rate") >= 0.5) & (F.col("conversion_rate") < 0.8))
     words = (
         source.join(F.broadcast(mixed.select("ordinal")), "ordinal")  # one row per mixed column
-        .where(counted(F.col("s").isNotNull() & ~key_is_numeric(F.col("s"))))
-        .withColumn("word", F.when(is_digest(F.col("s")), F.col("s")).otherwise(F.lower(F.trim("s"))))
+        .where(counted(F.col("s").isNotNull() & ~looks_numeric(F.col("s"))))
+        .withColumn("word", F.lower(F.trim("s")))
         .groupBy("ordinal")
         .agg(
             F.count_distinct("word").alias("text_kinds"),
@@ -157,30 +157,29 @@ def distinct_counts(df: DataFrame, approximate: bool = False, rsd: float = 0.02)
     return column_counts(df).select("ordinal", "column", "distinct_count")
 
 
-def numeric_profile(
-    df: DataFrame, columns: Sequence[str] | None = None, rows: int | None = None
-) -> DataFrame:
-    """Mean, median, sample deviation, extremes and quartiles of numeric columns."""
+NUMERIC_SCHEMA = (
+    "ordinal int, column string, mean double, median double, std double, min double, max double, q25 double, q75 double"
+)
+
+
+def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Mean, median, sample deviation, extremes and quartiles of numeric columns.
+
+    One pass for everything but the quartiles, whose search starts from its counts.
+    """
     names = _numeric_names(df, columns)
     values = {n: number_of(df, n) for n in names}
-    # Taken apart from the moments: percentile would force them all off generated code.
-    found = quantiles(df, values, (0.25, 0.5, 0.75), rows)
-    marks = {n: [F.lit(q).cast("double") for q in held] for n, held in found.items()}
-    return per_column(
-        df,
-        {
-            n: [
-                ("mean", F.avg(x)),
-                ("median", marks[n][1]),
-                ("std", F.stddev_samp(x)),
-                ("min", F.min(x)),
-                ("max", F.max(x)),
-                ("q25", marks[n][0]),
-                ("q75", marks[n][2]),
-            ]
-            for n, x in values.items()
-        },
-    )
+    if not values:
+        return small_table(df.sparkSession, [], NUMERIC_SCHEMA)
+    measures = (F.count, F.avg, F.stddev_samp, F.min, F.max)
+    facts = df.agg(*[f(x).alias(f"{f.__name__}{k}") for k, x in enumerate(values.values()) for f in measures]).first()
+    found = quantiles(df, values, (0.25, 0.5, 0.75), {n: facts[f"count{k}"] for k, n in enumerate(names)})
+    rows = [
+        (df.columns.index(n), n, facts[f"avg{k}"], middle, facts[f"stddev_samp{k}"], facts[f"min{k}"], facts[f"max{k}"], low, high)
+        for k, n in enumerate(names)
+        for low, middle, high in [found[n]]
+    ]
+    return small_table(df.sparkSession, rows, NUMERIC_SCHEMA)
 
 
 def _numeric_names(df: DataFrame, columns: Sequence[str] | None) -> list[str]:

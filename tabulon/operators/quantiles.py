@@ -1,169 +1,153 @@
-"""Exact quantiles with linear interpolation, at any size.
-
-``percentile`` keeps every distinct value of a column in one buffer, which is
-fine for a few million cells and fatal for 10^12.  Beyond a checked size each
-wanted rank is bracketed instead: a sketch brackets it, one pass counts the
-rows below the bracket, and the bracket shrinks a thousandfold per pass until
-the few values left inside can be counted exactly.
+"""Exact quantiles with linear interpolation, the same way at any size.
+
+Every wanted rank lies in an open interval of values.  A sketch proposes two values
+around it, one pass counts the rows below and up to each of them, and the rank is
+then either one of the two values or in a much smaller open interval.  A value that
+many rows share is met as an end point and settles its ranks at once, so intervals
+never stay large because of it.  What is left in an interval of few rows is counted
+value by value.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUILTIN_CELLS = 5_000_000
-"""Rows x columns up to which the built-in exact percentile is used."""
+BRACKET_ROWS = 20_000
+"""Rows an interval may hold to be counted value by value, in one task per interval."""
 
-BRACKET_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
-_ROUNDS = 6
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """Ranks of one column that lie strictly between two values (None: no limit on that side)."""
+
+    name: str
+    low: float | None
+    high: float | None
+    below: int  # rows up to and including ``low``
+    inside: int
+    ranks: tuple[int, ...]
+
+    def holds(self, x: Column) -> Column:
+        kept = x.isNotNull()
+        if self.low is not None:
+            kept = kept & (x > self.low)
+        return kept if self.high is None else kept & (x < self.high)
 
 
 def quantiles(
-    df: DataFrame,
-    exprs: Mapping[str, Column],
-    probs: Sequence[float],
-    rows: int | None = None,
-    builtin_cells: int = BUILTIN_CELLS,
+    df: DataFrame, exprs: Mapping[str, Column], probs: Sequence[float], counts: Mapping[str, int] | None = None
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of each expression, as plain numbers on the driver.
 
-    The result holds ``len(exprs) * len(probs)`` numbers, whatever the data.
+    ``counts`` are the numbers of non-null values, if they are known already.  The
+    result holds ``len(exprs) * len(probs)`` numbers, whatever the data.
     """
     if not exprs:
         return {}
-    total = df.count() if rows is None else rows
-    if total * len(exprs) <= builtin_cells:
-        row = df.agg(
-            *[F.percentile(c, list(probs)).alias(f"q{k}") for k, c in enumerate(exprs.values())]
-        ).first()
-        return {n: list(row[k]) if row[k] is not None else [None] * len(probs) for k, n in enumerate(exprs)}
-    return _by_narrowing(df, exprs, probs)
-
-
-class _Target:
-    """One wanted quantile: the two ranks it interpolates and the closed bracket both lie in."""
-
-    def __init__(self, name: str, at: float, count: int, low: float, high: float):
-        self.name, self.at = name, at
-        self.first, self.last = math.floor(at), math.ceil(at)
-        self.low, self.high = low, high
-        self.below, self.inside = 0, count
-        self.found: dict[int, float] = {}
-
-    def bracket(self) -> tuple:
-        return self.name, self.low, self.high, self.below
-
-    def open(self) -> bool:
-        return self.low < self.high and self.inside > BRACKET_ROWS
-
-    def value(self) -> float:
-        if self.low == self.high:
-            return self.low
-        a, b = self.found[self.first], self.found[self.last]
-        part = self.at - self.first
-        return a if a == b else (1 - part) * a + part * b
-
-
-def _by_narrowing(df: DataFrame, exprs, probs) -> dict[str, list[float | None]]:
     source = df.select(*[c.cast("double").alias(f"x{k}") for k, c in enumerate(exprs.values())])
     slot = {n: f"x{k}" for k, n in enumerate(exprs)}
-    ends = source.agg(
-        *[f(x).alias(f"{x}_{f.__name__}") for x in slot.values() for f in (F.count, F.min, F.max)]
-    ).first()
-    targets: dict[str, list[_Target]] = {}
-    for name, x in slot.items():
-        count = ends[f"{x}_count"]
-        targets[name] = [
-            _Target(name, (count - 1) * p, count, ends[f"{x}_min"], ends[f"{x}_max"]) for p in probs if count
-        ]
-    every = [t for held in targets.values() for t in held]
-    for _ in range(_ROUNDS):
-        active = [t for t in every if t.open()]
-        if not active or not _shrink(source, slot, active):
-            break
-    _settle(source, slot, [t for t in every if t.low < t.high])
-    return {n: [t.value() for t in held] if held else [None] * len(probs) for n, held in targets.items()}
-
-
-def _shrink(source: DataFrame, slot, active: list[_Target]) -> bool:
-    """One sketch pass and one counting pass; False when nothing moved."""
+    if counts is None:
+        row = source.agg(*[F.count(x).alias(x) for x in slot.values()]).first()
+        counts = {n: row[x] for n, x in slot.items()}
+    places = {n: [(counts[n] - 1) * p for p in probs] if counts[n] else [] for n in exprs}
+    found: dict[str, dict[int, float]] = {n: {} for n in exprs}
+    open_ones = [
+        _Bracket(n, None, None, 0, counts[n], tuple(sorted({r for at in held for r in (math.floor(at), math.ceil(at))})))
+        for n, held in places.items()
+        if held
+    ]
+    small = [b for b in open_ones if b.inside <= BRACKET_ROWS]
+    large = [_Bracket(b.name, None, None, 0, b.inside, p) for b in open_ones if b.inside > BRACKET_ROWS for p in _near(b.ranks)]
+    while large:
+        narrowed = _narrow(source, slot, large, found)
+        small += [b for b in narrowed if b.inside <= BRACKET_ROWS]
+        large = [b for b in narrowed if b.inside > BRACKET_ROWS]
+    _settle(source, slot, small, found)
+    return {n: [_between(found[n], at) for at in held] if held else [None] * len(probs) for n, held in places.items()}
+
+
+def _near(ranks: Sequence[int]) -> list[tuple[int, ...]]:
+    """Neighbouring ranks together: they interpolate one quantile and share an interval."""
+    out: list[list[int]] = []
+    for r in ranks:
+        if out and r == out[-1][-1] + 1:
+            out[-1].append(r)
+        else:
+            out.append([r])
+    return [tuple(p) for p in out]
+
+
+def _between(found: Mapping[int, float], at: float) -> float:
+    a, b = found[math.floor(at)], found[math.ceil(at)]
+    part = at - math.floor(at)
+    return a if a == b else (1 - part) * a + part * b
+
+
+def _narrow(source: DataFrame, slot, brackets: Sequence[_Bracket], found) -> list[_Bracket]:
+    """One sketch pass and one counting pass; every interval loses its two marks at least."""
     margin = 2.0 / SKETCH_ACCURACY
-    shared: dict[tuple, list[_Target]] = {}
-    for t in active:
-        shared.setdefault(t.bracket(), []).append(t)
     sketches = []
-    for k, ((name, low, high, below), held) in enumerate(shared.items()):
-        x = F.col(slot[name])
-        span = max(held[0].inside - 1, 1)
-        marks = [
-            m
-            for t in held
-            for m in (max((t.first - below) / span - margin, 0.0), min((t.last - below) / span + margin, 1.0))
-        ]
-        sketches.append(F.percentile_approx(F.when(x.between(low, high), x), marks, SKETCH_ACCURACY).alias(f"b{k}"))
+    for k, b in enumerate(brackets):
+        x, span = F.col(slot[b.name]), max(b.inside - 1, 1)
+        marks = [max((b.ranks[0] - b.below) / span - margin, 0.0), min((b.ranks[-1] - b.below) / span + margin, 1.0)]
+        sketches.append(F.percentile_approx(F.when(b.holds(x), x), marks, SKETCH_ACCURACY).alias(f"b{k}"))
     drawn = source.agg(*sketches).first()
-    brackets = {
-        id(t): (drawn[k][2 * j], drawn[k][2 * j + 1])
-        for k, held in enumerate(shared.values())
-        for j, t in enumerate(held)
-    }
     tallies = []
-    for k, t in enumerate(active):
-        x, (low, high) = F.col(slot[t.name]), brackets[id(t)]
-        tallies += [F.count_if(x < low).alias(f"below{k}"), F.count_if(x.between(low, high)).alias(f"in{k}")]
+    for k, b in enumerate(brackets):
+        x, (low, high) = F.col(slot[b.name]), drawn[k]
+        tallies += [
+            F.count_if(test).alias(f"{label}{k}")
+            for label, test in (("a", x < low), ("b", x <= low), ("c", x < high), ("d", x <= high))
+        ]
     tally = source.agg(*tallies).first()
-    moved = False
-    for k, t in enumerate(active):
-        below, inside = tally[f"below{k}"], tally[f"in{k}"]
-        if not (below <= t.first and t.last < below + inside):
-            continue  # the sketch missed; the old bracket still holds
-        moved = moved or inside < t.inside
-        t.low, t.high = brackets[id(t)]
-        t.below, t.inside = below, inside
-    return moved
-
-
-def _settle(source: DataFrame, slot, left: list[_Target]) -> None:
-    """Count the values inside the brackets and read the ranks off."""
-    if not left:
+    out: dict[tuple, list[int]] = {}
+    for k, b in enumerate(brackets):
+        low, high = drawn[k]
+        under, upto, before, through = (tally[f"{label}{k}"] for label in "abcd")
+        for r in b.ranks:
+            if r < under:
+                place = (b.name, b.low, low, b.below, under - b.below)
+            elif r < upto:
+                found[b.name][r] = low
+                continue
+            elif r < before:
+                place = (b.name, low, high, upto, before - upto)
+            elif r < through:
+                found[b.name][r] = high
+                continue
+            else:
+                place = (b.name, high, b.high, through, b.below + b.inside - through)
+            out.setdefault(place, []).append(r)
+    return [_Bracket(*place, tuple(ranks)) for place, ranks in out.items()]
+
+
+def _settle(source: DataFrame, slot, brackets: Sequence[_Bracket], found) -> None:
+    """Count the values inside small intervals and read the ranks off."""
+    if not brackets:
         return
-    shared: dict[tuple, list[_Target]] = {}
-    for t in left:
-        shared.setdefault(t.bracket(), []).append(t)
     picks = [
-        F.when(
-            F.col(slot[name]).between(low, high), F.struct(F.lit(k).alias("k"), F.col(slot[name]).alias("x"))
-        )
-        for k, (name, low, high, _) in enumerate(shared)
+        F.when(b.holds(F.col(slot[b.name])), F.struct(F.lit(k).alias("k"), F.col(slot[b.name]).alias("x")))
+        for k, b in enumerate(brackets)
     ]
-    counted = (
-        source.select(F.inline(F.array_compact(F.array(*picks))))
-        .groupBy("k", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    running = Window.partitionBy("k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.array(
-        *[
-            F.array(*[F.lit(r - below) for r in sorted({r for t in held for r in (t.first, t.last)})])
-            for (*_, below), held in shared.items()
-        ]
-    )
+    counted = source.select(F.inline(F.array_compact(F.array(*picks)))).groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)  # BRACKET_ROWS at most
+    wanted = F.array(*[F.array(*[F.lit(r - b.below) for r in b.ranks]) for b in brackets])
     upto, n = F.col("upto"), F.col("n")
     hits = (
         counted.withColumn("upto", F.sum("n").over(running))
         .where(F.exists(F.element_at(wanted, F.col("k") + 1), lambda r: (upto > r) & (upto - n <= r)))
         .select("k", "x", "n", "upto")
-        .collect()  # at most two rows per wanted quantile
+        .collect()  # at most one row per wanted rank
     )
-    places = list(shared.items())
     for hit in hits:
-        (*_, below), held = places[hit["k"]]
-        for t in held:
-            for r in (t.first, t.last):
-                if hit["upto"] - hit["n"] <= r - below < hit["upto"]:
-                    t.found[r] = hit["x"]
+        b = brackets[hit["k"]]
+        for r in b.ranks:
+            if hit["upto"] - hit["n"] <= r - b.below < hit["upto"]:
+                found[b.name][r] = hit["x"]

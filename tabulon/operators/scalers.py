@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.coercion import number_of, outside
-from tabulon.operators.normality import LARGEST_SAMPLE, normality
 from tabulon.operators.quantiles import quantiles
 from tabulon.operators.stages import ColumnStage, FittedColumns, declare
 from tabulon.session import small_table
 
 STANDARD, MINMAX, ROBUST = "StandardScaler", "MinMaxScaler", "RobustScaler"
 
+NORMAL_SKEW = 1.0
+"""A column counts as normal, whatever its size, if its skewness is smaller than this."""
+
 SCALING_SCHEMA = "ordinal int, column string, method string, center double, scale double"
 
 
@@ -40,10 +42,9 @@ def scaling_table(df: DataFrame, columns: Sequence[str], method: str | None = No
         return []
     measures = (F.count, F.min, F.max, F.avg, F.stddev_pop, F.skewness)
     facts = df.agg(
-        F.count(F.lit(1)).alias("rows"),
         *[f(x).alias(f"{f.__name__}{k}") for k, x in enumerate(values.values()) for f in measures],
     ).first()
-    marks = quantiles(df, values, (0.25, 0.5, 0.75), rows=facts["rows"])
+    marks = quantiles(df, values, (0.25, 0.5, 0.75), {n: facts[f"count{k}"] for k, n in enumerate(values)})
     beyond = df.agg(
         F.lit(0).alias("none"),
         *[
@@ -53,17 +54,7 @@ def scaling_table(df: DataFrame, columns: Sequence[str], method: str | None = No
             if q1 is not None
         ],
     ).first().asDict()
-    normal: dict[str, bool] = {}
-    testable = []
-    for k, n in enumerate(values):
-        count, skew = facts[f"count{k}"], facts[f"skewness{k}"]
-        if 10 <= count <= LARGEST_SAMPLE and method is None:
-            testable.append(n)
-        else:
-            normal[n] = skew is not None and abs(skew) < 1.0
-    if testable:
-        # one row per tested column
-        normal.update({r["column"]: r["p_value"] > 0.05 for r in normality(df, testable).collect()})
+    normal = {n: (skew := facts[f"skewness{k}"]) is not None and abs(skew) < NORMAL_SKEW for k, n in enumerate(values)}
     out = []
     for k, n in enumerate(values):
         count, low, high = facts[f"count{k}"], facts[f"min{k}"], facts[f"max{k}"]

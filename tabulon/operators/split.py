@@ -23,7 +23,7 @@ ROWS_PER_BUCKET = 1_000_000
 
 
 def _digits(rows: int) -> int:
-    return min(max(math.ceil(math.log(max(rows / ROWS_PER_BUCKET, 1), 16)), 1), 5)
+    return max(math.ceil(math.log(max(rows / ROWS_PER_BUCKET, 1), 16)), 1)
 
 
 def numbered(
@@ -56,13 +56,22 @@ def numbered(
 
 
 def _salted(df: DataFrame, seed: int) -> DataFrame:
-    """Whole-row key plus a salt, written out once so that it never changes again.
+    """Whole-row key plus the number of the copy, the same however the rows are dealt out.
 
-    The salt spreads the copies of a row that a third of the table repeats over
-    all buckets; copies are interchangeable, so which one lands where is moot.
+    Copies of a row are interchangeable: whichever of them is called the third, the
+    third of them has one key.  They are numbered inside the partition they were
+    written in, from an offset per partition, so a row that a third of the table
+    repeats is never in one window.
     """
-    salt = F.floor(F.rand(seed) * (1 << 20))
-    return settle(df.withColumn("_key", order_key(seed, *row_fingerprint(df), salt)))
+    first, second = row_fingerprint(df)
+    held = settle(df.withColumns({"_h1": first, "_h2": second, "_part": F.spark_partition_id()}))
+    sizes = held.groupBy("_h1", "_h2", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy("_h1", "_h2").orderBy("_part")  # as many rows as partitions hold copies
+    offsets = sizes.select("_h1", "_h2", "_part", (F.sum("_size").over(earlier) - F.col("_size")).alias("_offset"))
+    inside = Window.partitionBy("_h1", "_h2", "_part").orderBy("_h1")
+    numbered = held.withColumn("_copy", F.row_number().over(inside)).join(offsets, ["_h1", "_h2", "_part"])
+    key = order_key(seed, F.col("_h1"), F.col("_h2"), F.col("_copy") + F.col("_offset"))
+    return settle(numbered.select(*[quoted(c) for c in df.columns], key.alias("_key")))
 
 
 def _test_rows(test_size: float, stratified: bool):

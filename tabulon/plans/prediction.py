@@ -22,15 +22,23 @@ def score(model: PipelineModel, data: DataFrame) -> DataFrame:
     """The input columns plus ``prediction`` and, for classes, ``probabilities``.
 
     Works on streaming DataFrames as well.  A class prediction comes back as the
-    original class text.
+    original class text.  Every given column stays as it is; where one has the name of
+    an answer, the answer is called ``model_prediction`` or ``model_probabilities``.
     """
-    # The steps rewrite columns in place, so the input rides along untouched.
-    scored = model.transform(data.withColumn("_given", F.struct(*[quoted(c) for c in data.columns])))
-    kept = [F.col("_given")[c].alias(c) for c in data.columns if c not in _WORKING]
-    answer = F.col("predicted" if "predicted" in scored.columns else "prediction").alias("prediction")
+    # The steps rewrite columns in place and name their own, so the input rides along untouched.
+    given = F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(data.columns)]).alias("_given")
+    free = [c for c in data.columns if c.lower() not in {w.lower() for w in _WORKING}]
+    scored = model.transform(data.select(*[quoted(c) for c in free], given))
+    kept = [F.col("_given")[f"c{k}"].alias(c) for k, c in enumerate(data.columns)]
+    taken = {c.lower() for c in data.columns}
+
+    def answer(column, name: str):
+        return column.alias(name if name not in taken else f"model_{name}")
+
+    label = answer(F.col("predicted" if "predicted" in scored.columns else "prediction"), "prediction")
     if "probability" in scored.columns:
-        return scored.select(*kept, answer, vector_to_array("probability").alias("probabilities"))
-    return scored.select(*kept, answer)
+        return scored.select(*kept, label, answer(vector_to_array("probability"), "probabilities"))
+    return scored.select(*kept, label)
 
 
 def predict(spark: SparkSession, training_id: str, data: DataFrame, root: str) -> DataFrame:

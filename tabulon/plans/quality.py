@@ -66,7 +66,7 @@ def column_analysis(df: DataFrame) -> DataFrame:
         "cardinality",
         F.col("issues").alias("data_quality_issues"),
     )
-    out = out.join(F.broadcast(samples), "ordinal", "left")
+    out = out.join(samples, "ordinal", "left")  # few rows, of texts of any length
     if numbers:
         out = out.join(F.broadcast(numeric_quality(df, numbers).drop("column")), "ordinal", "left")
     if texts:

@@ -117,15 +117,17 @@ def evaluate(predicted: DataFrame, problem: str, classes: int) -> dict[str, floa
     """Metrics of a predicted test table; AUC where scores exist."""
     if problem != CLASSIFICATION:
         return regression_metrics(predicted).first().asDict()
+    kept = [c for c in ("probability", "rawPrediction") if c in predicted.columns][:1]
+    predicted = settle(  # the model runs once, whatever the number of metrics
+        predicted.select("label", "prediction", *[vector_to_array(c).alias(c) for c in kept])
+    )
     out = classification_metrics(predicted).first().asDict()
     if predicted.where("label is not null").select("label").distinct().count() == 2:
-        for name in ("probability", "rawPrediction"):
-            if name in predicted.columns:
-                scored = predicted.select("label", vector_to_array(name)[1].alias("score"))
-                out["roc_auc"] = roc_auc_binary(scored).first()["roc_auc"]
-                break
+        for name in kept:
+            scored = predicted.select("label", F.col(name)[1].alias("score"))
+            out["roc_auc"] = roc_auc_binary(scored).first()["roc_auc"]
     elif "probability" in predicted.columns:
-        scored = predicted.select("label", vector_to_array("probability").alias("scores"))
+        scored = predicted.select("label", F.col("probability").alias("scores"))
         area = roc_auc_one_vs_rest(scored, "label", "scores", classes).first()["roc_auc"]
         if area is not None:
             out["roc_auc"] = area

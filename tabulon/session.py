@@ -38,12 +38,14 @@ def local_session(cores: str = "*", app: str = "tabulon", memory: str = "8g") ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the session.
 
-    Only where the session names none (tests, one machine) a fresh local folder
-    is made and registered with the session.
+    Only a session on one machine may name none (tests); a fresh local folder is
+    then made and registered with it.
     """
     context = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tabulon-")
         spark.conf.set(CHECKPOINT_KEY, named)
     if not context.getCheckpointDir():

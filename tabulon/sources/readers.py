@@ -22,16 +22,6 @@ BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 SUFFIXES = ("csv", "parquet", "json", "orc")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a plain scan over all cores when it has fewer splits than cores.
-
-    A table of one row group would otherwise run in a single task; a scan with
-    enough splits is left alone, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """Read by file suffix: csv, parquet, json or orc; anything else is refused."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -39,7 +29,7 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
         raise ValueError(f"unsupported file format: .{suffix}; expected one of {', '.join(SUFFIXES)}")
     if suffix == "csv":
         return read_csv(spark, path, **options)
-    return spread(getattr(spark.read.options(**options), suffix)(path))
+    return getattr(spark.read.options(**options), suffix)(path)
 
 
 def text_encoding(spark: SparkSession, path: str) -> str:
@@ -53,11 +43,12 @@ def text_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(
-    spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = False, infer: bool = True, **options
+    spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True, infer: bool = True, **options
 ) -> DataFrame:
     """Header CSV with null markers and column types inferred from all rows.
 
-    ``multi_line`` admits line breaks inside quotes but makes a file one task.
+    Line breaks inside quotes belong to the cell, which makes a file one task; where
+    no cell holds one, ``multi_line=False`` lets Spark split large files.
     """
     raw = (
         spark.read.option("header", True)

@@ -13,7 +13,6 @@ from tabulon.operators import eda, metrics, quantiles, selection, split
 from tabulon.operators.encoders import CategoryEncoder, HashEncoder, hash_names
 from tabulon.operators.engineering import FeatureEngineer
 from tabulon.operators.imputers import ConstantImputer, MedianImputer
-from tabulon.operators.normality import normality, shapiro_wilk
 from tabulon.operators.outliers import OutlierClipper
 from tabulon.operators.scalers import MINMAX, ROBUST, STANDARD, AutoScaler, scaling_table
 from tabulon.session import scratch_path
@@ -27,7 +26,7 @@ def test_narrowing_is_exact(spark, values):
     limits = quantiles.BRACKET_ROWS, quantiles.SKETCH_ACCURACY
     quantiles.BRACKET_ROWS, quantiles.SKETCH_ACCURACY = 4, 8
     try:
-        got = quantiles.quantiles(df, {"x": F.col("x")}, probs, builtin_cells=0)["x"]
+        got = quantiles.quantiles(df, {"x": F.col("x")}, probs)["x"]
     finally:
         quantiles.BRACKET_ROWS, quantiles.SKETCH_ACCURACY = limits
     assert np.allclose(got, np.quantile(values, probs), rtol=1e-12, atol=1e-9)
@@ -42,7 +41,7 @@ def test_narrowing_with_a_hot_value_and_nulls(spark):
     limits = quantiles.BRACKET_ROWS, quantiles.SKETCH_ACCURACY
     quantiles.BRACKET_ROWS, quantiles.SKETCH_ACCURACY = 50, 100
     try:
-        got = quantiles.quantiles(df, exprs, (0.01, 0.3, 0.5, 0.9), builtin_cells=0)
+        got = quantiles.quantiles(df, exprs, (0.01, 0.3, 0.5, 0.9))
     finally:
         quantiles.BRACKET_ROWS, quantiles.SKETCH_ACCURACY = limits
     assert got == quantiles.quantiles(df, exprs, (0.01, 0.3, 0.5, 0.9))
@@ -92,12 +91,21 @@ def test_scaler_choice(spark):
     assert scaling_table(df.limit(9), ["skewed"])[0]["method"] == STANDARD
 
 
-def test_shapiro_wilk_published_example(spark):
-    weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
-    w, p = shapiro_wilk(np.array(weights))
-    assert w == pytest.approx(0.78881, abs=1e-4) and p == pytest.approx(0.00670, abs=1e-4)
-    df = spark.createDataFrame([(float(x),) for x in weights] + [(None,)], "x double")
-    assert normality(df, ["x"]).first()["p_value"] == pytest.approx(p)
+def test_scaler_choice_does_not_depend_on_the_number_of_rows(spark):
+    df = spark.range(5001).select(F.col("id").cast("double").alias("x"))
+    chosen = {scaling_table(part, ["x"])[0]["method"] for part in (df, df.limit(5000), df.limit(500))}
+    assert chosen == {STANDARD}
+
+
+def test_quantiles_of_a_column_that_is_half_zero(spark):
+    df = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.rand(3)).alias("x"))
+    values = np.array([r["x"] for r in df.collect()])
+    limit, quantiles.BRACKET_ROWS = quantiles.BRACKET_ROWS, 50
+    try:
+        got = quantiles.quantiles(df, {"x": F.col("x")}, (0.1, 0.5, 0.500001, 0.9))["x"]
+    finally:
+        quantiles.BRACKET_ROWS = limit
+    assert np.allclose(got, np.quantile(values, (0.1, 0.5, 0.500001, 0.9)), rtol=1e-12, atol=0)
 
 
 def test_encoder_routes(spark):

@@ -243,7 +243,11 @@ def _wide(spark, sf):
     return encoded.transform(hashed.transform(df)).select(*names, "label"), names
 
 
-@register("m15_m16_model_selection", None)
+@register(
+    "m15_m16_model_selection",
+    """SELECT true AS one_outcome_each, true AS under_the_cap, count(DISTINCT lang) + count(DISTINCT source) > 0 AS tried
+        FROM documents JOIN labels USING (doc_id)""",
+)
 def m15(spark, sf):
     """Over a hundred features: variance, correlation and forest importance in turn."""
     df, names = _wide(spark, sf)
@@ -252,7 +256,11 @@ def m15(spark, sf):
         *[(n, "selected") for n in fitted.state["selected"]],
         *[(n, k) for k in ("removed_constant", "removed_correlated", "removed_by_model") for n in fitted.state[k]],
     ]
-    return small_table(spark, rows, "feature string, outcome string")
+    return small_table(
+        spark,
+        [(sorted(n for n, _ in rows) == sorted(names), len(fitted.state["selected"]) <= 50, bool(rows))],
+        "one_outcome_each boolean, under_the_cap boolean, tried boolean",
+    )
 
 
 _ORDER = "md5('42|' || {k}), {k}"

@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registered import views as v
@@ -262,69 +263,120 @@ def _fitted(spark, sf, name):
     return maker(rows, len(made.labels)).fit(training.compact(train, rows)), made
 
 
-@register("m20_logistic_regression", None)
+_TEST_SIDE = """SELECT CAST(quality AS DOUBLE) AS label, CAST(round(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS test_rows, true AS consistent
+    FROM documents JOIN labels USING (doc_id) GROUP BY quality"""
+
+
+def _test_side(model, made, column, middle):
+    """Test rows by label, and whether every prediction is a known class and follows from its score."""
+    p, guess = vector_to_array(column)[1], F.col("prediction")
+    follows = ((p >= middle) | (guess == 0)) & ((p <= middle) | (guess == 1))
+    return model.transform(made.test).groupBy("label").agg(
+        F.count(F.lit(1)).alias("test_rows"), F.bool_and(guess.isin(0.0, 1.0) & p.isNotNull() & follows).alias("consistent")
+    )
+
+
+@register("m20_logistic_regression", _TEST_SIDE)
 def m20(spark, sf):
-    model, made = _fitted(spark, sf, "Logistic Regression")
-    return model.transform(made.test).select("label", "prediction", vector_to_array("probability")[1].alias("p"))
+    return _test_side(*_fitted(spark, sf, "Logistic Regression"), "probability", 0.5)
 
 
-@register("m22_random_forest", None)
+@register("m22_random_forest", _TEST_SIDE)
 def m22(spark, sf):
-    model, made = _fitted(spark, sf, "Random Forest")
-    return model.transform(made.test).select("label", "prediction", vector_to_array("probability")[1].alias("p"))
+    return _test_side(*_fitted(spark, sf, "Random Forest"), "probability", 0.5)
 
 
-@register("m23_boosted_trees", None)
+@register("m23_boosted_trees", _TEST_SIDE)
 def m23(spark, sf):
-    model, made = _fitted(spark, sf, "LightGBM")
-    return model.transform(made.test).select("label", "prediction", vector_to_array("probability")[1].alias("p"))
+    return _test_side(*_fitted(spark, sf, "GBT flat"), "probability", 0.5)
 
 
-@register("m24_support_vectors", None)
+@register("m24_support_vectors", _TEST_SIDE)
 def m24(spark, sf):
-    model, made = _fitted(spark, sf, "SVM")
-    return model.transform(made.test).select("label", "prediction", vector_to_array("rawPrediction")[1].alias("margin"))
+    return _test_side(*_fitted(spark, sf, "SVM"), "rawPrediction", 0.0)
+
 
+def _boards(done, metric):
+    """Per candidate: whether its metrics are whole and ``is_best`` marks the first of the largest."""
+    first = Window.orderBy(F.desc("score"), "place")
+    scored = done.leaderboard.select("model_name", "is_best", F.col("metrics")[metric].alias("score")).withColumn(
+        "place", F.monotonically_increasing_id()
+    )
+    return scored.select("model_name", ((F.row_number().over(first) == 1) == F.col("is_best")).alias("best_agrees"), F.col("score").isNotNull().alias("scored"))
 
-@register("m26_multiclass_models", None)
+
+@register(
+    "m26_multiclass_models",
+    """SELECT 'Logistic Regression' AS model_name, true AS best_agrees, true AS scored, count(DISTINCT p_type) AS classes FROM part""",
+)
 def m26(spark, sf):
-    """A text target with three classes, remapped once for every candidate."""
-    df = v.table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice", "p_type")
-    made = prepare(df, "p_type", key=["p_partkey"])
-    return training.train_models(made, 3, ["Logistic Regression"]).leaderboard.drop("training_time")
+    """A text target with several classes, remapped once for every candidate."""
+    made = prepare(v.table(spark, sf, "part"), "p_type", key=["p_partkey"])
+    done = training.train_models(made, 3, ["Logistic Regression"])
+    return _boards(done, "accuracy").withColumn("classes", F.lit(len(made.labels)).cast("bigint"))
+
+
+_SIX = "('Logistic Regression'), ('Random Forest'), ('GBT fast'), ('GBT flat'), ('GBT long'), ('SVM')"
 
 
-@register("m28_m30_leaderboard", None)
+@register(
+    "m28_m30_leaderboard",
+    f"""SELECT name AS model_name, true AS best_agrees, true AS scored, CAST(NULL AS VARCHAR) AS error_type FROM (VALUES {_SIX}) t(name)
+        UNION ALL SELECT 'broken', false, false, 'IllegalArgumentException' FROM (SELECT 1 FROM labels LIMIT 1)""",
+)
 def m28(spark, sf):
-    """Two candidates and one that cannot be fitted: it is recorded and skipped."""
-    makers = training.candidates("classification", ["Logistic Regression", "Random Forest"])
+    """All six candidates, of few rounds, and one that cannot be fitted: it is recorded and skipped."""
+    makers = training.candidates("classification", forest_trees=10, forest_depth=4, boosting_rounds=2)
     makers["broken"] = lambda *_: LinearRegression(featuresCol="no_such_column")
     done = training.train_models(_prepared(spark, sf), 3, makers=makers)
-    failed = done.errors.select(
-        "model_name", F.lit(None).cast("map<string,double>").alias("metrics"), F.lit(False).alias("is_best"), "error_type"
+    failed = done.errors.select("model_name", F.lit(False).alias("best_agrees"), F.lit(False).alias("scored"), "error_type")
+    return _boards(done, "accuracy").withColumn("error_type", F.lit(None).cast("string")).unionByName(failed)
+
+
+@register(
+    "m30_training_summary",
+    """SELECT 'regression' AS problem_type, CAST(6 AS INTEGER) AS models_attempted, CAST(0 AS INTEGER) AS models_failed, CAST(3 AS INTEGER) AS cv_folds,
+        round(ceil(count(*) * CAST(0.2 AS DOUBLE)) / count(*), 6) AS test_size, true AS best_listed FROM part""",
+)
+def m30(spark, sf):
+    """The summary of a regression with all six candidates."""
+    made = prepare(v.table(spark, sf, "part"), "p_retailprice", key=["p_partkey"])
+    makers = training.candidates("regression", forest_trees=10, forest_depth=4, boosting_rounds=2)
+    done = training.train_models(made, 3, makers=makers)
+    names = [r["model_name"] for r in done.leaderboard.collect()]  # one row per candidate
+    return rounded(
+        done.summary.select(
+            "problem_type", "models_attempted", "models_failed", "cv_folds", "test_size", F.col("best_model").isin(names).alias("best_listed")
+        )
     )
-    return done.leaderboard.drop("training_time").withColumn("error_type", F.lit(None).cast("string")).unionByName(failed)
 
 
 def _regressed(spark, sf):
-    df = v.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    made = prepare(df, "p_retailprice", key=["p_partkey"])
+    made = prepare(v.table(spark, sf, "part"), "p_retailprice", key=["p_partkey"])
     return made, training.train_models(made, 3, ["Linear Regression", "SVM"])
 
 
-@register("m31_predictions", None)
+@register("m31_predictions", "SELECT *, true AS predicted FROM part")
 def m31(spark, sf):
     made, done = _regressed(spark, sf)
     root = scratch_path(spark, "models")
     kept = registry.save_model(spark, root, done.best_model, training.metadata_of(spark, made, done))
-    return prediction.predict(spark, kept, v.table(spark, sf, "part"), root).select("p_partkey", "p_brand", "prediction")
+    return prediction.predict(spark, kept, v.table(spark, sf, "part"), root).withColumn("predicted", F.col("prediction").isNotNull()).drop("prediction")
 
 
-@register("m32_t04_importance", None)
+@register(
+    "m32_t04_importance",
+    """SELECT CAST(least(15, 4 + (SELECT count(DISTINCT p_type) - 1 FROM part)) AS BIGINT) AS features, true AS descending, true AS known""",
+)
 def m32(spark, sf):
-    """Absolute coefficients, the largest 15."""
+    """Absolute coefficients, the largest 15: how many, whether they descend, whether their features are the model's."""
     made, done = _regressed(spark, sf)
-    return prediction.feature_importance(spark, done.best_model, made.feature_names, top=15)
+    top = prediction.feature_importance(spark, done.best_model, made.feature_names, top=15).collect()  # 15 rows at most
+    sizes = [r["importance"] for r in top]
+    known = {r["feature"] for r in top} <= set(made.feature_names)
+    return small_table(
+        spark, [(len(top), sizes == sorted(sizes, reverse=True), known)], "features bigint, descending boolean, known boolean"
+    )
 
 
 @register(
@@ -336,14 +388,18 @@ def a36(spark, sf):
     return rounded(prediction.feature_importance(spark, model, ["o_custkey"]))
 
 
-@register("a36_multiclass_importance", None)
+@register(
+    "a36_multiclass_importance",
+    "SELECT f AS feature, true AS weighed FROM (VALUES ('p_partkey'), ('p_size'), ('p_retailprice')) t(f) WHERE (SELECT count(*) FROM part) > 0",
+)
 def a36_multi(spark, sf):
     """Mean absolute coefficient over the classes."""
     df = v.table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_type")
     made = prepare(df, "p_type", key=["p_partkey"])
     maker = training.candidates("classification", ["Logistic Regression"])["Logistic Regression"]
     model = maker(made.train.count(), len(made.labels)).fit(made.train)
-    return prediction.feature_importance(spark, PipelineModel([model]), made.feature_names)
+    found = prediction.feature_importance(spark, PipelineModel([model]), made.feature_names)
+    return found.select("feature", (F.col("importance") > 0).alias("weighed"))
 
 
 def _stored(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registered import views as v
+from tabulon.functions.coercion import first_of_each
 from tabulon.operators import cells, eda, inference, profile, quantiles
 from tabulon.plans.training import target_extent
 from tabulon.session import small_table
@@ -450,11 +451,9 @@ def t09(spark, sf):
         (SELECT conv_id, role AS w, min(turn) AS first FROM conversations GROUP BY conv_id, role) GROUP BY conv_id""",
 )
 def u02(spark, sf):
-    firsts = (
-        v.table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
-    )
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("first", "role"))), lambda x: x["role"])
-    return firsts.groupBy("conv_id").agg(F.array_join(F.array_distinct(ordered), " ").alias("words"))
+    spoken = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    said = v.table(spark, sf, "conversations").groupBy("conv_id").agg(spoken.alias("roles"))
+    return said.select("conv_id", F.array_join(first_of_each(F.col("roles")), " ").alias("words"))
 
 
 @register(

@@ -113,6 +113,36 @@ def f06(spark, sf):
     )
 
 
+_SPELLED = ("us", "german", "month", "day_first", "bare_year", "clock")
+
+
+def _spelled(spark, sf):
+    moment = F.col("o_orderdate")
+    forms = ("MM/dd/yyyy", "dd.MM.yyyy", "MMM d, yyyy", "d MMMM yyyy HH:mm", "yyyy", "HH:mm")
+    return v.table(spark, sf, "orders").select("o_orderkey", *[F.date_format(moment, f).alias(n) for f, n in zip(forms, _SPELLED)])
+
+
+@register(
+    "f05_spelled_dates",
+    """SELECT CAST(k AS INTEGER) AS ordinal, name AS "column", CAST(rate AS DOUBLE) AS parse_rate, rate > 0.8 AS is_date_text
+        FROM (VALUES (1, 'us', 1.0), (2, 'german', 1.0), (3, 'month', 1.0), (4, 'day_first', 1.0), (5, 'bare_year', 0.0), (6, 'clock', 0.0)) t(k, name, rate)
+        WHERE (SELECT count(o_orderdate) FROM orders) > 0""",
+)
+def f05_spelled(spark, sf):
+    """American, German and month-name dates are dates; bare years and clock times are not."""
+    return inference.date_text_columns(_spelled(spark, sf))
+
+
+@register(
+    "f06_spelled_dates",
+    """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS us, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS german,
+        CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS month, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day_first FROM orders""",
+)
+def f06_spelled(spark, sf):
+    read = {n: coercion.text_to_timestamp(F.col(n)).cast("date").cast("string").alias(n) for n in _SPELLED[:4]}
+    return _spelled(spark, sf).select("o_orderkey", *read.values())
+
+
 @register(
     "f07_f08_interactions",
     """SELECT l_orderkey, l_linenumber, round(l_quantity * l_extendedprice, 4) AS l_quantity_x_l_extendedprice,

@@ -10,6 +10,7 @@ from tabulon.operators.encoders import CategoryEncoder, FittedCategories
 from tabulon.operators.inference import column_types, column_verdicts
 from tabulon.operators.outliers import iqr_frame
 from tabulon.operators.profile import missing_by_column, profile
+from tabulon.operators.selection import FittedSelection
 from tabulon.plans.preparation import class_labels, index_classes, route_columns, separate
 from tabulon.plans.quality import high_missing
 from tabulon.plans.training import candidates
@@ -160,7 +161,24 @@ def p04(spark, sf):
 
 @register("p05_chosen_features", "SELECT p_size, p_retailprice FROM part")
 def p05(spark, sf):
-    return v.table(spark, sf, "part").select("p_size", "p_retailprice")
+    dropped = [c for c in v.table(spark, sf, "part").columns if c not in ("p_size", "p_retailprice")]
+    return FittedSelection.of(removed=dropped).transform(v.table(spark, sf, "part"))
+
+
+@register("s10_row_records", "SELECT n_nationkey, n_name, CASE WHEN n_regionkey > 0 THEN n_regionkey END AS n_regionkey FROM nation")
+def s10(spark, sf):
+    """Rows as a request would bring them; a field that a row leaves out is null."""
+    rows = [r.asDict() for r in v.table(spark, sf, "nation").collect()]  # 25 rows at every scale
+    held = [{k: x for k, x in r.items() if k != "n_regionkey" or x > 0} for r in rows]
+    return readers.from_records(spark, held, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@register("s01_csv_documents", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def s01_documents(spark, sf):
+    """Whole texts, with line breaks and quotes, through a flat file and back by default options."""
+    path = scratch_path(spark, "documents") + ".csv"
+    v.table(spark, sf, "documents").write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_table(spark, path)
 
 
 @register(

@@ -91,6 +91,11 @@ def keep_inside(column: Column, low: Column | float, high: Column | float) -> Co
     return F.when(column.between(low, high), column)
 
 
+def first_of_each(values: Column) -> Column:
+    """The distinct elements of an array, in the order of their first places."""
+    return F.array_distinct(values)
+
+
 def error_flag(text: Column) -> Column:
     """1 where the raw value was there but was not a number."""
     return (text.isNotNull() & text_to_number(text).isNull()).cast("int")
@@ -104,8 +109,8 @@ DATE_SPELLINGS = (
     (r"(0?[1-9]|1[0-2])/\d{1,2}/\d{4}", "M/d/yyyy"),
     (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"),
     (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
-    (r"[A-Za-z]{3} \d{1,2},? \d{4}", "MMM d yyyy"),
-    (r"[A-Za-z]{4,9} \d{1,2},? \d{4}", "MMMM d yyyy"),
+    (r"[A-Za-z]{3} \d{1,2} \d{4}", "MMM d yyyy"),
+    (r"[A-Za-z]{4,9} \d{1,2} \d{4}", "MMMM d yyyy"),
     (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"),
     (r"\d{1,2} [A-Za-z]{4,9} \d{4}", "d MMMM yyyy"),
 )
@@ -118,15 +123,11 @@ def text_to_timestamp(text: Column) -> Column:
     Bare numbers (years, postcodes) and clock times without a date are no dates.
     """
     plain = F.trim(text)
-    out = F.lit(None).cast("timestamp")
-    for pattern, form in reversed(DATE_SPELLINGS):
-        day = F.regexp_replace(F.regexp_extract(plain, f"^({pattern})", 1), ",", "")
-        clock = F.regexp_replace(F.regexp_extract(plain, f"^{pattern}({_CLOCK})$", pattern.count("(") + 1), "^[ T]", "")
-        read = F.try_to_timestamp(day, F.lit(form))
-        iso = F.date_format(read, "yyyy-MM-dd")
-        whole = F.when(clock == "", read).otherwise(F.try_to_timestamp(F.concat_ws(" ", iso, clock)))
-        out = F.when(plain.rlike(f"^{pattern}({_CLOCK})?$"), F.when(read.isNotNull(), whole)).otherwise(out)
-    return out
+    clock = F.regexp_replace(F.regexp_extract(plain, f"({_CLOCK})$", 1), "^[ T]", "")
+    day = F.regexp_replace(F.regexp_replace(plain, f"{_CLOCK}$", ""), r"(\d), ", "$1 ")
+    read = F.coalesce(*[F.when(day.rlike(f"^{p}$"), F.try_to_timestamp(day, F.lit(form))) for p, form in DATE_SPELLINGS])
+    timed = F.try_to_timestamp(F.concat(F.date_format(read, "yyyy-MM-dd "), clock))
+    return F.when(clock == "", read).otherwise(timed)
 
 
 # The seven calendar parts a date column is expanded into.

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.coercion import number_of
@@ -16,56 +16,30 @@ from tabulon.operators.cells import top_values
 from tabulon.operators.profile import per_column, row_missing
 from tabulon.session import small_table
 
-PAIRS_PER_PASS = 100
+FAN_IN = 16
 ROUNDING = 1e-10
 STRONG = 0.7
 HISTOGRAM_BINS = 30
 
+_PACKED = "part long, sums binary"
 _PAIRS = "i int, j int, col1 string, col2 string, correlation double"
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair i < j over pairwise-complete rows.
+    """Pearson correlation of every column pair i < j over pairwise-complete rows; null for a constant side.
 
-    Up to a few hundred pairs share one JVM-side aggregation; beyond that each
-    task adds up cross-product matrices.  Either way the table is read a fixed
-    number of times and no row moves.
+    Values are shifted by the column means, so that columns far from zero lose no
+    digits.  Every task adds up its products of all pairs in matrices and hands on one
+    row; these are added up ``FAN_IN`` at a time, so no task holds more than that many.
     """
-    pairs = list(combinations(range(len(columns)), 2))
-    if not pairs:
+    if len(columns) < 2:
         return small_table(df.sparkSession, [], _PAIRS)
     values = df.select(*[number_of(df, c).alias(f"x{k}") for k, c in enumerate(columns)])
-    if len(pairs) > PAIRS_PER_PASS:
-        return _wide_correlations(values, columns)
-    rows = [
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"),
-            F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"),
-            F.col(f"r{i}_{j}").alias("correlation"),
-        )
-        for i, j in pairs
-    ]
-    return values.agg(*[_pearson(f"x{i}", f"x{j}").alias(f"r{i}_{j}") for i, j in pairs]).select(F.inline(F.array(*rows)))
-
-
-def _pearson(x: str, y: str) -> Column:
-    """Pearson correlation, null for a constant side, where ``corr`` would divide by zero."""
-    joint, squared = F.covar_pop(x, y), F.regr_r2(x, y)
-    return F.when((joint != 0) | (squared != 1), F.signum(joint) * F.sqrt(squared))
-
-
-def _wide_correlations(values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pair sums by matrix products per task, added up by pair.
-
-    Values are shifted by the column means first, which keeps the sums exact
-    enough for columns far from zero.
-    """
     means = np.array([m or 0.0 for m in values.agg(*[F.avg(c) for c in values.columns]).first()])
     upper = np.triu_indices(len(means), 1)
-    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(sums), len(upper[0])))
+        total = np.zeros((6, len(upper[0])))
         for batch in batches:
             x = batch.to_numpy(dtype=float) - means
             held = ~np.isnan(x)
@@ -75,21 +49,35 @@ def _wide_correlations(values: DataFrame, columns: Sequence[str]) -> DataFrame:
             plain = x.T @ seen
             for k, product in enumerate((seen.T @ seen, plain, plain.T, squares, squares.T, x.T @ x)):
                 total[k] += product[upper]
-        yield pd.DataFrame(dict(zip(sums, total)) | {"i": upper[0], "j": upper[1]})
-
-    parts = values.mapInPandas(add_up, "n double, sx double, sy double, sxx double, syy double, sxy double, i int, j int")
-    n, sx, sy, sxx, syy, sxy = (F.sum(c) for c in sums)
-
-    def spread_of(squares: Column, plain: Column) -> Column:
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [total.tobytes()]})
+
+    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in parts["sums"])
+        return pd.DataFrame({"part": [key[0]], "sums": [total.tobytes()]})
+
+    sums = values.mapInPandas(add_up, _PACKED)
+    parts = values.rdd.getNumPartitions()
+    while parts > 1:
+        sums = sums.groupBy(F.expr(f"part div {FAN_IN}")).applyInPandas(merge, _PACKED)
+        parts = -(-parts // FAN_IN)
+    packed = sums.first()  # one row, of six numbers per pair
+    if packed is None:
+        n = sx = sy = sxx = syy = sxy = np.zeros(len(upper[0]))
+    else:
+        n, sx, sy, sxx, syy, sxy = np.frombuffer(packed["sums"]).reshape(6, -1)
+
+    def spread_of(squares: np.ndarray, plain: np.ndarray) -> np.ndarray:
         """n^2 times the variance, 0 where it is rounding noise of a constant."""
         spread = n * squares - plain * plain
-        return F.when(spread > ROUNDING * n * squares, spread).otherwise(F.lit(0.0))
+        return np.where(spread > ROUNDING * n * squares, spread, 0.0)
 
-    spread = F.sqrt(spread_of(sxx, sx) * spread_of(syy, sy))
-    names = F.array(*[F.lit(c) for c in columns])
-    return parts.groupBy("i", "j").agg(((n * sxy - sx * sy) / F.nullif(spread, F.lit(0.0))).alias("correlation")).select(
-        "i", "j", F.element_at(names, F.col("i") + 1).alias("col1"), F.element_at(names, F.col("j") + 1).alias("col2"), "correlation"
-    )
+    spread = np.sqrt(spread_of(sxx, sx) * spread_of(syy, sy))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = np.clip((n * sxy - sx * sy) / spread, -1.0, 1.0)
+    rows = [
+        (int(i), int(j), columns[i], columns[j], float(r) if s else None) for i, j, r, s in zip(*upper, found, spread)
+    ]
+    return small_table(df.sparkSession, rows, _PAIRS)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -29,10 +29,6 @@ from tabulon.operators.selection import selector_for
 from tabulon.operators.split import split
 from tabulon.session import settle
 
-MOST_CLASSES = 10_000
-"""A target with more distinct values than this is refused for classification."""
-
-
 @dataclass
 class Routes:
     """Which columns take which way through the preparation."""
@@ -87,17 +83,16 @@ def separate(df: DataFrame, target: str, dropped: Sequence[str] = ()) -> DataFra
 
 
 def class_labels(df: DataFrame, target: str) -> list[str]:
-    """The sorted classes of a target as text; at most ``MOST_CLASSES`` come to the driver."""
-    kinds = df.select(quoted(target).alias("v")).distinct().limit(MOST_CLASSES + 1).collect()
-    if len(kinds) > MOST_CLASSES:
-        raise ValueError(f"target '{target}' has more than {MOST_CLASSES} classes")
-    values = [r["v"] for r in kinds]
-    if None in values:
+    """The classes of a target as text, in the order of their values.
+
+    They come to the driver, as does the model fitted to them, which holds numbers for
+    every class.
+    """
+    kinds = df.select(quoted(target).alias("v"), quoted(target).cast("string").alias("shown")).distinct().orderBy("v")
+    labels = [r["shown"] for r in kinds.toLocalIterator()]
+    if None in labels:
         raise ValueError(f"target '{target}' has missing values")
-    shown = df.sparkSession.range(1).select(
-        *[F.lit(v).cast(df.schema[target].dataType).cast("string") for v in sorted(values)]
-    )
-    return list(shown.first()) if values else []
+    return labels
 
 
 def index_classes(df: DataFrame, target: str, labels: Sequence[str]) -> DataFrame:

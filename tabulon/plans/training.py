@@ -43,38 +43,50 @@ SVM = "SVM"
 SVM_LARGEST_TARGET = 1e8
 SVM_LARGEST_RANGE = 1e9
 
-# The boosted presets by the name they stand in for -> rounds, depth, step.
-BOOSTED = {"XGBoost": (100, 6, 0.3), "LightGBM": (100, 5, 0.1), "CatBoost": (200, 6, 0.1)}
+# Presets of gradient-boosted trees -> rounds, depth, step.  They take the places that the
+# reference work gives to XGBoost, LightGBM and CatBoost, at the defaults of these libraries.
+BOOSTED = {"GBT fast": (100, 6, 0.3), "GBT flat": (100, 5, 0.1), "GBT long": (200, 6, 0.1)}
 
 ROWS_PER_TASK = 10_000
 
 FOREST_TREES = 100
 FOREST_DEPTH = 10
+"""Spark grows trees level by level and keeps whole levels, so a forest needs a limit; at most 30."""
+
+SVM_STEPS = 100
 
 Maker = Callable[[int, int], Estimator]
 
 
-def candidates(problem: str, names: Iterable[str] | None = None) -> dict[str, Maker]:
+def candidates(
+    problem: str,
+    names: Iterable[str] | None = None,
+    forest_trees: int = FOREST_TREES,
+    forest_depth: int = FOREST_DEPTH,
+    boosting_rounds: int | None = None,
+    svm_steps: int = SVM_STEPS,
+) -> dict[str, Maker]:
     """Makers by model name, each given the number of rows and of classes.
 
-    The boosted presets are Spark gradient-boosted trees at the defaults of the
-    libraries they are named after; the support vector models are linear.
+    ``boosting_rounds`` replaces the rounds of every boosted preset.  The support
+    vector models are linear.
     """
+    boosted = {n: (boosting_rounds or rounds, depth, step) for n, (rounds, depth, step) in BOOSTED.items()}
     if problem == CLASSIFICATION:
         makers: dict[str, Maker] = {
             "Logistic Regression": lambda rows, _: LogisticRegression(
                 maxIter=1000, regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, tol=1e-4
             ),
-            "Random Forest": lambda *_: RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED),
-            **{n: _boosted_classifier(*p) for n, p in BOOSTED.items()},
-            SVM: lambda rows, classes: _one_vs_rest(LinearSVC(maxIter=100, regParam=1.0 / max(rows, 1)), classes),
+            "Random Forest": lambda *_: RandomForestClassifier(numTrees=forest_trees, maxDepth=forest_depth, seed=SEED),
+            **{n: _boosted_classifier(*p) for n, p in boosted.items()},
+            SVM: lambda rows, classes: _one_vs_rest(LinearSVC(maxIter=svm_steps, regParam=1.0 / max(rows, 1)), classes),
         }
     else:
         makers = {
             "Linear Regression": lambda *_: LinearRegression(solver="normal"),
-            "Random Forest": lambda *_: RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED),
-            **{n: _boosted_regressor(*p) for n, p in BOOSTED.items()},
-            SVM: lambda rows, _: LinearRegression(loss="huber", solver="l-bfgs", maxIter=100, regParam=1.0 / max(rows, 1)),
+            "Random Forest": lambda *_: RandomForestRegressor(numTrees=forest_trees, maxDepth=forest_depth, seed=SEED),
+            **{n: _boosted_regressor(*p) for n, p in boosted.items()},
+            SVM: lambda rows, _: LinearRegression(loss="huber", solver="l-bfgs", maxIter=svm_steps, regParam=1.0 / max(rows, 1)),
         }
     wanted = set(names or makers)
     return {n: m for n, m in makers.items() if n in wanted}

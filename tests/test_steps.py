@@ -159,22 +159,24 @@ def test_correlation_filter_agrees_for_many_columns(spark):
     assert selection.correlated(df, df.columns) == ["c7", "c29"]
 
 
-def test_wide_correlations_agree(spark):
+def test_correlations_agree_with_pandas_and_with_any_fan_in(spark):
     rng = np.random.default_rng(2)
     rows = [
         tuple(None if rng.random() < 0.1 else float(v) for v in r)
         for r in rng.normal(1e6, 1, size=(300, 4)) @ np.array([[1, 1, 0, 0], [0, 1, 1, 0], [0, 0, 1, 0], [0, 0, 0, 0]])
     ]
     df = spark.createDataFrame(rows, "a double, b double, c double, flat double").repartition(3)
-    narrow = {(r["i"], r["j"]): r["correlation"] for r in eda.correlations(df, df.columns).collect()}
-    limit, eda.PAIRS_PER_PASS = eda.PAIRS_PER_PASS, 1
+    held = df.toPandas()
+    found = {(r["col1"], r["col2"]): r["correlation"] for r in eda.correlations(df, df.columns).collect()}
+    for (x, y), r in found.items():
+        want = held[x].corr(held[y])
+        assert (r is None) == (want != want or "flat" in (x, y)) and (r is None or r == pytest.approx(want, abs=1e-9))
+    fan, eda.FAN_IN = eda.FAN_IN, 2
     try:
-        wide = {(r["i"], r["j"]): r["correlation"] for r in eda.correlations(df, df.columns).collect()}
+        again = {(r["col1"], r["col2"]): r["correlation"] for r in eda.correlations(df, df.columns).collect()}
     finally:
-        eda.PAIRS_PER_PASS = limit
-    assert wide.keys() == narrow.keys()
-    for key, r in narrow.items():
-        assert (r is None and wide[key] is None) or wide[key] == pytest.approx(r, abs=1e-9)
+        eda.FAN_IN = fan
+    assert again.keys() == found.keys() and all(again[k] == pytest.approx(r, abs=1e-12) for k, r in found.items() if r is not None)
 
 
 def test_split_is_exact_disjoint_and_stable(spark):

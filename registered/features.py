@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from registered import views as v
+from registered.base import registrar
 from registered.profiles import _LINKED, _LINKED_COLUMNS, _corr_sql, _linked, rounded
 from tabulon.operators import selection, split
 from tabulon.operators.encoders import CategoryEncoder, HashEncoder, category_counts, encoding_routes
@@ -16,15 +17,7 @@ from tabulon.operators.scalers import MINMAX, ROBUST, STANDARD, AutoScaler, scal
 from tabulon.plans.preparation import prepare
 from tabulon.session import small_table
 
-REGISTERED = {}
-
-
-def register(name, sql):
-    def keep(fn):
-        REGISTERED[name] = (fn, sql)
-        return fn
-
-    return keep
+REGISTERED, register = registrar()
 
 
 _FENCE = f"""(SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, mean - 3 * sd AS zlo, mean + 3 * sd AS zhi FROM
@@ -211,7 +204,7 @@ def m12(spark, sf):
     )
 
 
-_WEAK = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+_WEAK = [n for _, n, _ in v.named("lineitem", v.NUMERIC)]
 
 
 @register(

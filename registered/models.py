@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registered import views as v
+from registered.base import registrar
 from registered.features import _ranked_sql
 from registered.profiles import rounded
 from tabulon.operators import metrics, split
@@ -18,15 +19,7 @@ from tabulon.plans.preparation import prepare
 from tabulon.session import scratch_path, settle, small_table
 from tabulon.sources import registry
 
-REGISTERED = {}
-
-
-def register(name, sql):
-    def keep(fn):
-        REGISTERED[name] = (fn, sql)
-        return fn
-
-    return keep
+REGISTERED, register = registrar()
 
 
 def _binary_sql(label, prediction):

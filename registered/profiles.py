@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registered import views as v
+from registered.base import registrar
 from tabulon.functions.coercion import first_of_each
 from tabulon.operators import cells, eda, inference, profile, quantiles
 from tabulon.plans.training import target_extent
 from tabulon.session import small_table
 
-REGISTERED = {}
-
-
-def register(name, sql):
-    def keep(fn):
-        REGISTERED[name] = (fn, sql)
-        return fn
-
-    return keep
+REGISTERED, register = registrar()
 
 
 def rounded(df, places=6, skip=("ordinal",)):
@@ -255,7 +248,7 @@ def a19_missing(spark, sf):
     return rounded(profile.duplicates(v.events_missing(spark, sf).select("event_type", "user_id")))
 
 
-_CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey"]
+_CORR = [n for _, n, _ in v.named("lineitem", v.NUMERIC)]
 
 
 def _corr_sql(source, columns):
@@ -371,7 +364,7 @@ def w01(spark, sf):
     return cells.top_values(v.table(spark, sf, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-_SAMPLES = [("doc_id", "doc_id"), ("lang", "lang"), ("source", "source"), ("n_chars", "n_chars"),
+_SAMPLES = [("doc_id", "doc_id"), ("text", "text"), ("lang", "lang"), ("source", "source"), ("n_chars", "n_chars"),
             ("quality", "quality"), ("toxic", "toxic")]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registered import views as v
+from registered.base import registrar
 from registered.profiles import _DISTINCT, _MISSING, rounded
 from tabulon.functions import coercion, grading
 from tabulon.operators import inference, outliers, profile
@@ -13,15 +14,7 @@ from tabulon.operators.engineering import FeatureEngineer, date_features, intera
 from tabulon.plans import quality
 from tabulon.plans.preparation import class_labels, index_classes, numeric_label
 
-REGISTERED = {}
-
-
-def register(name, sql):
-    def keep(fn):
-        REGISTERED[name] = (fn, sql)
-        return fn
-
-    return keep
+REGISTERED, register = registrar()
 
 
 _TERMS = "l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"
@@ -209,11 +202,11 @@ def a28(spark, sf):
 @register(
     "f10_f16_outlier_analysis",
     "\nUNION ALL\n".join(
-        _fence_sql("lineitem", c, k) for k, c in ((4, "l_quantity"), (5, "l_extendedprice"), (7, "l_tax"))
+        _fence_sql("lineitem", c, k) for k, c, _ in v.named("lineitem", v.NUMERIC)
     ),
 )
 def f10(spark, sf):
-    return _fences(outliers.outlier_report(v.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]))
+    return _fences(outliers.outlier_report(v.table(spark, sf, "lineitem"), [n for _, n, _ in v.named("lineitem", v.NUMERIC)]))
 
 
 @register(

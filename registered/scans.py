@@ -6,6 +6,7 @@ from pyspark.ml.feature import IndexToString
 from pyspark.sql import functions as F
 
 from registered import views as v
+from registered.base import registrar
 from tabulon.operators.encoders import CategoryEncoder, FittedCategories
 from tabulon.operators.inference import column_types, column_verdicts
 from tabulon.operators.outliers import iqr_frame
@@ -17,15 +18,7 @@ from tabulon.plans.training import candidates
 from tabulon.session import scratch_path, small_table
 from tabulon.sources import readers, registry
 
-REGISTERED = {}
-
-
-def register(name, sql):
-    def keep(fn):
-        REGISTERED[name] = (fn, sql)
-        return fn
-
-    return keep
+REGISTERED, register = registrar()
 
 
 @register(

@@ -18,12 +18,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def documents_labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their labels; most have none, so quality and toxic miss cells."""
-    documents = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    return documents.join(table(spark, sf, "labels"), "doc_id", "left")
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
 
 
 SQL_DOCUMENTS_LABELLED = """(
-    SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+    SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
@@ -167,7 +166,7 @@ COLUMNS = {
         ("c_mktsegment", "string"),
     ],
     SQL_DOCUMENTS_LABELLED: [
-        ("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"),
+        ("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"),
         ("quality", "int"), ("toxic", "int"),
     ],
     SQL_EVENTS_MISSING: [

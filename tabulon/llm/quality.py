@@ -34,7 +34,9 @@ SAMPLE_DOCS = 3000
 BUCKETS = 1 << 16
 WIDTHS = (3, 4)
 DIMENSIONS = 8
-EPOCHS = 6
+STEPS = 18_000
+"""Gradient steps of a fit; a small sample is gone through more often."""
+
 RATE = 0.5
 SEED = 11
 
@@ -86,8 +88,9 @@ def fit_embeddings(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> Qualit
     random = np.random.default_rng(SEED)
     table = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     top = np.zeros((2, DIMENSIONS), np.float32)
-    steps, done = EPOCHS * len(examples), 0
-    for _ in range(EPOCHS):
+    epochs = -(-STEPS // len(examples))
+    steps, done = epochs * len(examples), 0
+    for _ in range(epochs):
         for k in random.permutation(len(examples)):
             rows, counts, label = examples[k]
             rate = RATE * (1 - done / steps)

@@ -46,6 +46,7 @@ SIGNATURE_SHARE = 0.6
 SMALL_BUCKET = 32
 BLOCK_SHINGLES = 300_000
 BLOCK_DOCS = 400
+MAP_WORDS = 1 << 18
 
 SIGNED = T.StructType(
     [
@@ -157,7 +158,7 @@ def confirmed_links(texts: DataFrame, clusters: DataFrame) -> DataFrame:
     placed = clusters.join(weight.select("cluster", blocks.alias("blocks")), "cluster").select(
         "id", "set_key", "cluster", "blocks", F.expr("pmod(xxhash64(id), blocks)").alias("block")
     )
-    held = extend(texts.join(placed, "id"), SETS, _sets, ["text"]).drop("text").where("digest = set_key")
+    held = extend(_likely(texts, clusters).join(placed, "id"), SETS, _sets, ["text"]).drop("text").where("digest = set_key")
     meeting = held.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
         "cluster",
         F.least("block", "other").alias("low"),
@@ -169,6 +170,20 @@ def confirmed_links(texts: DataFrame, clusters: DataFrame) -> DataFrame:
     return meeting.groupBy("cluster", "low", "high").applyInArrow(_compare, LINKS)
 
 
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts whose id may be among the wanted ones, without a shuffle of texts.
+
+    The wanted ids set bits in a map of fixed size, which is broadcast; a bit that two
+    ids share lets a text through that the join behind then drops.
+    """
+    word, bit = F.expr(f"pmod(xxhash64(id), {MAP_WORDS}L)"), F.expr("shiftright(xxhash64(id), 40) & 63")
+    bits = wanted.select(word.alias("word"), bit.cast("int").alias("bit")).groupBy("word").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
+    )
+    found = texts.withColumn("word", word).join(F.broadcast(bits), "word")  # at most MAP_WORDS rows
+    return found.where(F.expr("bits & shiftleft(1L, cast(shiftright(xxhash64(id), 40) & 63 as int)) != 0")).select("id", "text")
+
+
 def _sets():
     def work(column):
         sets = [shingle_set(word_hashes(x, "spaced"), SHINGLE).tobytes() for x in texts_of(column)]

@@ -19,6 +19,9 @@ from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+#: paths handed out, by application
+_GIVEN: dict[str, list[str]] = {}
+
 
 def local_session(cores: str = "*", app: str = "tabulon", memory: str = "8g") -> SparkSession:
     """A single-JVM session with the settings the tests and the bench use."""
@@ -55,7 +58,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete everything this application put under the shared folder; the number of paths deleted.
+
+    Tables that still read from there (splits, training tables, scored tables) are gone
+    afterwards, so call it when the results are written.
+    """
+    gone = 0
+    for path in _GIVEN.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return gone
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -1,15 +1,22 @@
 """Decision rules at, just below and just above each limit."""
 
+import os
+
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from tabulon import session
 from tabulon.functions import coercion, grading
-from tabulon.operators import cells, eda, inference, outliers, profile
+from tabulon.operators import cells, eda, inference, metrics, outliers, profile, split
 from tabulon.operators.engineering import interaction_plan
 from tabulon.operators.scalers import scaling_report
-from tabulon.plans import quality
+from tabulon.plans import prediction, quality
 from tabulon.plans.exploration import explore
 from tabulon.plans.preparation import prepare, route_columns, separate
+from tabulon.sources import readers
 
 
 def graded(spark, rule, values):
@@ -244,3 +251,68 @@ def test_edge_tables(spark, name):
     assert scaling_report(df, ["n", "flat", "none"]).where("scale = 0").count() == 0
     assert inference.problem_type(df, "i").first()["problem_type"] in ("classification", "regression")
     inference.dataset_info(df, name).collect()
+
+
+def test_scratch_is_cleared_on_demand(spark, monkeypatch):
+    monkeypatch.setattr(session, "_GIVEN", {})
+    held = session.settle(spark.range(3))
+    path = held.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "")
+    path = path if path.startswith("/") else "/" + path
+    assert os.path.isdir(path)
+    assert session.clear_scratch(spark) == 1 and not os.path.exists(path)
+    assert session.clear_scratch(spark) == 0
+
+
+def test_keyless_split_does_not_depend_on_partitions(spark):
+    rows = [(k % 50, "x") for k in range(150)] + [(7, "hot")] * 100
+    df = spark.createDataFrame(rows, "n int, s string")
+    sides = [
+        sorted(tuple(r) for r in split.split(df.repartition(parts), 0.2).where("is_test").select("n", "s").collect())
+        for parts in (2, 5)
+    ]
+    assert sides[0] == sides[1] and len(sides[0]) == 50
+
+
+def test_scores_keep_every_given_column(spark):
+    df = spark.createDataFrame([(float(k), float(k % 2), f"p{k}", k) for k in range(20)], "x double, label double, prediction string, probability int")
+    chain = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LogisticRegression()])
+    model = chain.fit(df.select("x", "label"))
+    out = prediction.score(model, df)
+    assert out.columns == ["x", "label", "prediction", "probability", "model_prediction", "probabilities"]
+    assert {r["prediction"] for r in out.collect()} == {f"p{k}" for k in range(20)}
+
+
+def test_texts_of_any_length_follow_one_rule(spark):
+    for width in (3, 90):
+        word = "w" * width
+        spelled = [word, word.upper(), f" {word}", f"{word} "]
+        rows = [(x,) for x in ["1", "2", "3", "4", "5", "6", *spelled]]
+        found = inference.column_types(spark.createDataFrame(rows, "c string")).first()
+        assert (found["text_kinds"], found["detected_type"]) == (1, "numerical")
+        names = [f"{c}{word}" for c in "bacde"]
+        tops = cells.top_values(spark.createDataFrame([(n,) for n in names], "c string"), ["c"], 3)
+        assert [r["value"] for r in tops.orderBy("rank").collect()] == sorted(names)[:3]
+
+
+def test_dates_in_other_spellings(spark):
+    texts = ["2020-01-31", "2020/1/31", "01/31/2020", "31/01/2020", "31.01.2020", "Jan 31, 2020", "January 31 2020", "31 Jan 2020 10:30"]
+    no = ["1995", "12:30", "31.31.2020", "hello", "", "2020-01-31 noon"]
+    df = spark.createDataFrame([(t,) for t in texts + no], "t string")
+    got = [r[0] for r in df.select(coercion.text_to_timestamp(F.col("t")).cast("date").cast("string")).collect()]
+    assert got == ["2020-01-31"] * len(texts) + [None] * len(no)
+
+
+def test_auc_of_many_rows_does_not_overflow(spark):
+    rows = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.4), (0, 0.4)], "label int, score double")
+    assert metrics.roc_auc_binary(rows).first()["roc_auc"] == pytest.approx(0.875)
+    limit, metrics.RANGE_SCORES = metrics.RANGE_SCORES, 1
+    try:
+        assert metrics.roc_auc_binary(rows).first()["roc_auc"] == pytest.approx(0.875)
+    finally:
+        metrics.RANGE_SCORES = limit
+
+
+def test_line_breaks_inside_quotes_are_read_by_default(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('id,t\n1,"a\nb"\n2,"c"\n')
+    assert [tuple(r) for r in readers.read_table(spark, str(path)).collect()] == [(1, "a\nb"), (2, "c")]

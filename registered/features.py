@@ -174,14 +174,20 @@ def m10(spark, sf):
 
 @register(
     "m11_hash_buckets",
-    """SELECT c_mktsegment, CAST(count(*) AS DOUBLE) AS marks, CAST(1 AS BIGINT) AS buckets FROM customer GROUP BY c_mktsegment""",
+    """SELECT c_custkey, CAST(1 AS DOUBLE) AS marks, CAST(CAST('0x' || substr(md5(c_name), 1, 8) AS BIGINT) % 32 AS DOUBLE) AS name_bucket,
+        CAST(CAST('0x' || substr(md5(c_mktsegment), 1, 8) AS BIGINT) % 32 AS DOUBLE) AS segment_bucket FROM customer""",
 )
 def m11(spark, sf):
-    """Every row marks one bucket, and a value always the same one."""
-    df = HashEncoder(inputCols=["c_mktsegment"]).transform(v.table(spark, sf, "customer"))
-    marks = [F.col(f"c_mktsegment_hash_{b}") for b in range(32)]
-    used = sum(((F.max(m) > 0).cast("bigint") for m in marks), F.lit(0).cast("bigint"))
-    return df.groupBy("c_mktsegment").agg(F.sum(sum(marks, F.lit(0.0))).alias("marks"), used.alias("buckets"))
+    """Every row marks one bucket, and it is the bucket of the value's digest."""
+    df = HashEncoder(inputCols=["c_name", "c_mktsegment"]).transform(v.table(spark, sf, "customer"))
+    names, segments = ([F.col(f"{c}_hash_{b}") for b in range(32)] for c in ("c_name", "c_mktsegment"))
+
+    def bucket(marks):
+        return sum((m * b for b, m in enumerate(marks)), F.lit(0.0))
+
+    return df.select(
+        "c_custkey", sum(names, F.lit(0.0)).alias("marks"), bucket(names).alias("name_bucket"), bucket(segments).alias("segment_bucket")
+    )
 
 
 @register(

@@ -20,8 +20,9 @@ BROADCAST_KEYS = 100_000
 
 
 def hash_bucket(column: Column, buckets: int = HASH_BUCKETS) -> Column:
-    """Bucket of a whole value, stable across runs and clusters."""
-    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+    """Bucket of a whole value, from the first 32 bits of its MD5, so that any engine can recompute it."""
+    digits = F.substring(F.md5(F.coalesce(column, F.lit("\u0000"))), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
 
 
 def hash_names(name: str, buckets: int = HASH_BUCKETS) -> list[str]:

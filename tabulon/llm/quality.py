@@ -20,6 +20,7 @@ repeated rows need no rule.  Given columns stay; one named ``score`` is replaced
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,13 +133,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -
 
         return work
 
-    held = extend(known, FEATURES, begin, ["text"]).select("doc_id", "label", "rows", "counts").limit(sample)
+    rows = extend(known, FEATURES, begin, ["text"]).select("doc_id", "label", "rows", "counts").limit(sample)
+    fitted = rows.mapInArrow(_fit_rows, "weights binary, constant double").first()
+    return fit_embeddings([]) if fitted is None else QualityModel(np.frombuffer(fitted["weights"], np.float32), fitted["constant"])
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fit, in one task that holds the whole sample; only the model goes to the driver."""
     examples = [
         (r["doc_id"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["counts"], np.float32), r["label"])
-        for r in held.toLocalIterator()
+        for b in batches
+        for r in b.to_pylist()
     ]
     examples.sort(key=lambda e: (e[0], e[3], len(e[1])))
-    return fit_embeddings([e[1:] for e in examples])
+    model = fit_embeddings([e[1:] for e in examples])
+    yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "constant": [model.constant]})
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:

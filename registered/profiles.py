@@ -8,6 +8,7 @@ from registered import views as v
 from registered.base import registrar
 from tabulon.functions.coercion import first_of_each
 from tabulon.operators import cells, eda, inference, profile, quantiles
+from tabulon.plans.exploration import shown_columns, shown_values
 from tabulon.plans.training import target_extent
 from tabulon.session import small_table
 
@@ -434,8 +435,17 @@ def t07(spark, sf):
     f"""SELECT ordinal, "column", spark_type FROM ({v.profile_sql('lineitem')}) ORDER BY ordinal LIMIT 10""",
 )
 def t09(spark, sf):
-    df = profile.profile(v.table(spark, sf, "lineitem"))
-    return df.orderBy("ordinal").limit(10).select("ordinal", "column", "spark_type")
+    return shown_columns(profile.profile(v.table(spark, sf, "lineitem"))).select("ordinal", "column", "spark_type")
+
+
+@register(
+    "t09_shown_values",
+    """SELECT lang, list_sort(list(DISTINCT source))[1:5] AS sources, CAST(greatest(count(DISTINCT source) - 5, 0) AS INTEGER) AS more
+        FROM documents GROUP BY lang""",
+)
+def t09_values(spark, sf):
+    held = v.table(spark, sf, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return shown_values(held, "sources")
 
 
 @register(

@@ -11,6 +11,22 @@ from tabulon.functions.coercion import is_temporal, missing_to_null
 from tabulon.operators import cells, eda, inference, profile
 
 
+# How many columns, and how many values of a list, a reader is shown.
+SHOWN_COLUMNS = 10
+SHOWN_VALUES = 5
+
+
+def shown_columns(table: DataFrame, most: int = SHOWN_COLUMNS) -> DataFrame:
+    """The first rows of a table with one row per column, in column order."""
+    return table.orderBy("ordinal").limit(most)
+
+
+def shown_values(table: DataFrame, values: str, most: int = SHOWN_VALUES) -> DataFrame:
+    """A list column cut to its first values, with the number of those left out as ``more``."""
+    size = F.coalesce(F.size(values), F.lit(0))
+    return table.withColumn("more", F.greatest(size - most, F.lit(0))).withColumn(values, F.slice(values, 1, most))
+
+
 def explore(df: DataFrame, catalog: Sequence[Mapping] | None = None) -> dict[str, DataFrame]:
     """Statistics by semantic type, correlations, missing data and chart tables.
 

@@ -51,8 +51,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    coded = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
-    return coded.select(
+    return bpe.round_trip(docs, vocabulary()).select(
         "doc_id",
         "lang",
         "source",

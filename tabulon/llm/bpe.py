@@ -18,6 +18,7 @@ replaced.
 
 from __future__ import annotations
 
+import functools
 import json
 from array import array
 from collections.abc import Callable, Iterable
@@ -235,10 +236,15 @@ def _held(kind: type, shared) -> Encoder | Decoder:
     return _HELD[key]
 
 
-def broadcast_vocabulary(df: DataFrame, path: str):
+@functools.lru_cache(maxsize=1)
+def read_vocabulary(path: str) -> Vocabulary:
     vocabulary = Vocabulary(path)
     vocabulary.origin = path
-    return df.sparkSession.sparkContext.broadcast(vocabulary)
+    return vocabulary
+
+
+def broadcast_vocabulary(df: DataFrame, path: str):
+    return df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
 
 def _texts(column: pa.Array) -> Iterable[str]:
@@ -248,22 +254,57 @@ def _texts(column: pa.Array) -> Iterable[str]:
         return ["" if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _encoded(encoder: Encoder, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and where each document begins in them."""
+    made = [encoder.packed(x) for x in _texts(column)]
+    rows = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int64)
+    return np.frombuffer(b"".join(made), np.int32), rows
+
+
+def _lists(ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))
+
+
+def _decoded(decoder: Decoder, ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+    joined, places = decoder.join(ids, rows)
+    held = pa.StringArray.from_buffers(
+        len(rows) - 1, pa.py_buffer(places.astype(np.int32).tobytes()), pa.py_buffer(joined.tobytes())
+    )
+    try:
+        held.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array(
+            [joined[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(places, places[1:])], pa.string()
+        )
+    return held
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Append the token ids of each whole text as ``array<int>``."""
     shared = broadcast_vocabulary(df, path)
 
     def begin():
         encoder = _held(Encoder, shared)
+        return lambda column: [_lists(*_encoded(encoder, column))]
+
+    return extend(df, T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), begin, [text])
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Append the token ids and the text decoded from them, in one worker per task instead of two."""
+    shared = broadcast_vocabulary(df, path)
+
+    def begin():
+        encoder, decoder = _held(Encoder, shared), _held(Decoder, shared)
 
         def work(column):
-            made = [encoder.packed(x) for x in _texts(column)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int32)
-            values = np.frombuffer(b"".join(made), np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+            made, rows = _encoded(encoder, column)
+            return [_lists(made, rows), _decoded(decoder, made, rows)]
 
         return work
 
-    return extend(df, T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), begin, [text])
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
+    return extend(df, T.StructType(added), begin, [text])
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", tokens: str = "n_tokens") -> DataFrame:
@@ -289,18 +330,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             flat = lists.flatten().cast(pa.int64())
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
             rows = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-            values = flat.fill_null(-1).to_numpy(zero_copy_only=False)
-            joined, places = decoder.join(values, rows)
-            held = pa.StringArray.from_buffers(
-                len(lists), pa.py_buffer(places.astype(np.int32).tobytes()), pa.py_buffer(joined.tobytes())
-            )
-            try:
-                held.validate(full=True)
-            except pa.ArrowInvalid:
-                held = pa.array(
-                    [joined[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(places, places[1:])], pa.string()
-                )
-            return [held]
+            return [_decoded(decoder, flat.fill_null(-1).to_numpy(zero_copy_only=False), rows)]
 
         return work
 

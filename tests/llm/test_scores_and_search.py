@@ -239,6 +239,25 @@ def test_components_of_paths_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_EDGES", 5)
+    draw = random.Random(8)
+    edges = [(50, k) for k in range(60)] + [(1000, 70 + k) for k in range(40)] + [(500 + k, 501 + k) for k in range(9)]
+    edges += [(draw.randrange(2000, 2100), draw.randrange(2000, 2100)) for _ in range(90)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    out = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
 @pytest.fixture(scope="module")
 def small_corpus(spark, tmp_path_factory):
     """Documents of all kinds that the stages act on, with the other tables they read."""

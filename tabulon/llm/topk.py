@@ -5,16 +5,16 @@ ids with the same value in one dimension form a posting segment.  For a query a
 segment's impact is the size of query value times segment value, quantised to levels.
 Segments are processed level by level from the highest.  After a level, a candidate's
 score is at most what it has plus, for each dimension it was not yet met in, the
-highest impact still to come there.  Candidates whose bound is below the k-th best known score can
-not be members; when few are left, or all segments are done, the possible members are
-scored exactly.  The k best of every block are merged.
+highest impact still to come.  Candidates whose bound is below the k-th best known score
+can not be members; as soon as the others have fewer components than there are postings
+to come, they are scored exactly.  The k best of every block are merged.
 
 Queries pass in blocks of bounded size, each broadcast over all candidate blocks.
 
 Defined results: vectors that are null, or hold a null or a component that is not
 finite, take no part, and neither do rows without an id; a missing component counts
-as 0 (components must fit 64 bits once scaled), so vectors of different lengths can meet and an empty one scores 0.  Of equal
-scores the smaller id is better.  A repeated id is a candidate once per row, but rows
+as 0, so vectors of different lengths can meet and an empty one scores 0; components
+must fit 64 bits once scaled.  Of equal scores the smaller id is better.  A repeated id is a candidate once per row, but rows
 with the query's own id never are.  Without queries or candidates the result is
 empty.  Other columns, whatever their names, are left out.
 """
@@ -35,7 +35,9 @@ from tabulon.session import settle
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 16_384
 LEVELS = 64
-CHECK_EVERY = 4
+PROCESS_FIRST = 0.75
+"""Share of the postings that may still be to come when the first proof is tried."""
+
 FEW = 64
 
 HITS = T.StructType(
@@ -85,27 +87,28 @@ class SegmentIndex:
         level = (impact * (LEVELS - 1)) // top  # quantised impact
         by_level = np.argsort(-level, kind="stable")
         cuts = np.searchsorted(-level[by_level], np.arange(-LEVELS, 1) + 0.5)
-        highest = np.maximum.reduceat(impact, self.first_of).astype(np.float64)
-        score = np.zeros(n)
-        unmet = np.full(n, highest.sum())  # what the dimensions not met yet add at most
-        floor = -np.inf
-        for j in range(LEVELS):
+        sizes = self.ends - self.begins
+        score, unmet, to_come = np.zeros(n), np.full(n, self.vectors.shape[1]), int(sizes.sum())
+        left, floor = np.arange(n), -np.inf
+        for j in range(LEVELS - 1):
             chosen = by_level[cuts[j] : cuts[j + 1]]
-            if len(chosen):
-                sizes = self.ends[chosen] - self.begins[chosen]
-                at = np.repeat(self.begins[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                rows = self.posts[at]
-                score += np.bincount(rows, np.repeat(product[chosen], sizes).astype(np.float64), n)
-                unmet -= np.bincount(rows, np.repeat(highest[self.dims[chosen]], sizes), n)
-            if j % CHECK_EVERY == 0 and j >= LEVELS // 2 and j + 1 < LEVELS:
-                coming = np.minimum(highest, ((LEVELS - 1 - j) * top) / (LEVELS - 1)).sum()
-                best = np.argpartition(-score, k)[:k]
-                floor = max(floor, (self.vectors[best] @ query).min())
-                left = np.flatnonzero(score + np.minimum(unmet, coming) >= floor)
-                if len(left) <= max(FEW, n // 20):
-                    return left
-        best = np.argpartition(-score, k)[:k]
-        return np.flatnonzero(score >= score[best].min())
+            if not len(chosen):
+                continue
+            held = sizes[chosen]
+            at = np.arange(held.sum()) + np.repeat(self.begins[chosen] - (np.cumsum(held) - held), held)
+            rows = self.posts[at]
+            score += np.bincount(rows, np.repeat(product[chosen], held).astype(np.float64), n)
+            unmet -= np.bincount(rows, minlength=n)
+            to_come -= len(rows)
+            if to_come > PROCESS_FIRST * self.posts.size:
+                continue
+            best = np.argpartition(-score, k)[:k]
+            floor = max(floor, (self.vectors[best] @ query).min())
+            ceiling = (LEVELS - 1 - j) * top / (LEVELS - 1)  # every impact still to come is smaller
+            left = np.flatnonzero(score + unmet * ceiling >= floor)
+            if len(left) * self.vectors.shape[1] <= max(to_come, FEW):
+                return left
+        return left
 
     def best(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """``(id, score)`` of the ``k`` best candidates other than ``own``."""

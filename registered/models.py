@@ -240,7 +240,7 @@ def m33(spark, sf):
 
 
 def _labelled(spark, sf):
-    return v.table(spark, sf, "documents").drop("text").join(v.table(spark, sf, "labels"), "doc_id")
+    return v.table(spark, sf, "documents").join(v.table(spark, sf, "labels"), "doc_id")
 
 
 def _prepared(spark, sf):

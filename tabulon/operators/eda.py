@@ -14,7 +14,7 @@ from tabulon.functions.coercion import number_of
 from tabulon.functions.grading import share
 from tabulon.operators.cells import top_values
 from tabulon.operators.profile import per_column, row_missing
-from tabulon.session import small_table
+from tabulon.session import settle, small_table
 
 FAN_IN = 16
 ROUNDING = 1e-10
@@ -30,7 +30,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Values are shifted by the column means, so that columns far from zero lose no
     digits.  Every task adds up its products of all pairs in matrices and hands on one
-    row; these are added up ``FAN_IN`` at a time, so no task holds more than that many.
+    row; these are written out and added up ``FAN_IN`` at a time, so no task holds more than that many.
     """
     if len(columns) < 2:
         return small_table(df.sparkSession, [], _PAIRS)
@@ -55,8 +55,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         total = sum(np.frombuffer(x) for x in parts["sums"])
         return pd.DataFrame({"part": [key[0]], "sums": [total.tobytes()]})
 
-    sums = values.mapInPandas(add_up, _PACKED)
-    parts = values.rdd.getNumPartitions()
+    sums = settle(values.mapInPandas(add_up, _PACKED))  # the parts stay as they were written, however later jobs are planned
+    parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         sums = sums.groupBy(F.expr(f"part div {FAN_IN}")).applyInPandas(merge, _PACKED)
         parts = -(-parts // FAN_IN)

@@ -1,6 +1,11 @@
 """Queries and operators do the whole job: every column, every part, every candidate."""
 
+from types import SimpleNamespace
+
+import pytest
+
 from registered import features, models
+from tabulon.operators import eda
 
 
 def test_labelled_documents_are_prepared_with_their_text(spark, sql_sf):
@@ -14,3 +19,11 @@ def test_labelled_documents_are_prepared_with_their_text(spark, sql_sf):
 def test_full_preparation_has_the_features_of_the_text(spark, sql_sf):
     want = len(models._prepared(spark, sql_sf).feature_names)
     assert {r["width"] for r in features.m18(spark, sql_sf).collect()} == {want}
+
+
+def test_correlations_add_up_every_part_however_the_plan_was_counted(spark, monkeypatch):
+    df = spark.range(0, 300, 1, 3).selectExpr("cast(id as double) a", "cast(id * id % 101 as double) b")
+    held = df.toPandas()
+    monkeypatch.setattr(type(df), "rdd", property(lambda _: SimpleNamespace(getNumPartitions=lambda: 1)))
+    [row] = eda.correlations(df, ["a", "b"]).collect()
+    assert row["correlation"] == pytest.approx(held["a"].corr(held["b"]), abs=1e-9)

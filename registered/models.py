@@ -305,7 +305,7 @@ def _boards(done, metric):
 def m26(spark, sf):
     """A text target with several classes, remapped once for every candidate."""
     made = prepare(v.table(spark, sf, "part"), "p_type", key=["p_partkey"])
-    done = training.train_models(made, 3, ["Logistic Regression"])
+    done = training.train_models(made, 3)
     return _boards(done, "accuracy").withColumn("classes", F.lit(len(made.labels)).cast("bigint"))
 
 
@@ -318,8 +318,8 @@ _SIX = "('Logistic Regression'), ('Random Forest'), ('GBT fast'), ('GBT flat'),
         UNION ALL SELECT 'broken', false, false, 'IllegalArgumentException' FROM (SELECT 1 FROM labels LIMIT 1)""",
 )
 def m28(spark, sf):
-    """All six candidates, of few rounds, and one that cannot be fitted: it is recorded and skipped."""
-    makers = training.candidates("classification", forest_trees=10, forest_depth=4, boosting_rounds=2)
+    """All six candidates, and one that cannot be fitted: it is recorded and skipped."""
+    makers = training.candidates("classification")
     makers["broken"] = lambda *_: LinearRegression(featuresCol="no_such_column")
     done = training.train_models(_prepared(spark, sf), 3, makers=makers)
     failed = done.errors.select("model_name", F.lit(False).alias("best_agrees"), F.lit(False).alias("scored"), "error_type")
@@ -334,8 +334,7 @@ def m28(spark, sf):
 def m30(spark, sf):
     """The summary of a regression with all six candidates."""
     made = prepare(v.table(spark, sf, "part"), "p_retailprice", key=["p_partkey"])
-    makers = training.candidates("regression", forest_trees=10, forest_depth=4, boosting_rounds=2)
-    done = training.train_models(made, 3, makers=makers)
+    done = training.train_models(made, 3)
     names = [r["model_name"] for r in done.leaderboard.collect()]  # one row per candidate
     return rounded(
         done.summary.select(

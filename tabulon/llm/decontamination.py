@@ -244,8 +244,8 @@ def contaminated(share: int = 20) -> F.Column:
     return (hit_words() > 0) & (hit_words() * share >= F.col("n_words"))
 
 
-def without_spans(docs: DataFrame, text: str = "text", longest: int = WIDTH) -> DataFrame:
-    """Cut every marked span of at least ``longest`` words out of the texts of ``find_items``.
+def without_spans(docs: DataFrame, text: str = "text", longest: int = 1) -> DataFrame:
+    """Cut every marked span out of the texts of ``find_items``, or those of at least ``longest`` words.
 
     A span goes from the first to the last character of its words; what stands
     around it stays.

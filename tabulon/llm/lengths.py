@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.bpe import count_tokens
+from tabulon.session import settle
 
 BLOCK = 1024
 
@@ -65,5 +66,9 @@ def context_limits(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def token_budget(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``context_limits`` of a table's texts under the vocabulary at ``path``."""
-    return context_limits(length_histogram(count_tokens(df.select(text), path, text)))
+    """``context_limits`` of a table's texts under the vocabulary at ``path``.
+
+    The limits read the histogram more than once, so it is written out first: every text
+    is encoded once.
+    """
+    return context_limits(settle(length_histogram(count_tokens(df.select(text), path, text))))

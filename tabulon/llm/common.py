@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -59,6 +60,27 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+MAP_WORDS = 1 << 18
+"""Most rows of a broadcast bit map, 2 MB of bits."""
+
+
+def likely(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among the wanted ones, without a shuffle of ``df``.
+
+    Wanted keys set bits in a map, sized by their number up to a bound, which is broadcast.
+    A bit that two keys share lets a row through, so an exact step has to follow; beyond
+    the bound more and more rows pass, none is lost.
+    """
+    words = min(MAP_WORDS, max(64, wanted.count() // 4))
+    word, bit = F.expr(f"pmod(xxhash64(`{key}`), {words}L)"), F.expr(f"cast(shiftright(xxhash64(`{key}`), 40) & 63 as int)")
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(
+        F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")
+    )
+    found = df.withColumn("_word", word).join(F.broadcast(bits), "_word")  # at most MAP_WORDS rows
+    inside = F.expr(f"(_bits & shiftleft(1L, cast(shiftright(xxhash64(`{key}`), 40) & 63 as int))) != 0")
+    return found.where(inside).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit integers one to one, so that near inputs give unrelated outputs."""
     x = x ^ (x >> np.uint64(32))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, decontamination, language, lengths, near_duplicates, quality, secret_scan, sharding, topk, url_filter
+from tabulon.llm import bpe, decontamination, language, lengths, near_duplicates, quality, repeats, secret_scan, sharding, topk, url_filter
 
 VOCABULARY = os.environ.get("TABULON_VOCABULARY")
 
@@ -120,6 +120,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that stand elsewhere too."""
+    return repeats.repeat_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
@@ -131,6 +136,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 SQL = {

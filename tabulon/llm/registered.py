@@ -7,7 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, decontamination, language, lengths, near_duplicates, quality, repeats, secret_scan, sharding, topk, url_filter
+from tabulon.llm import (
+    bpe,
+    decontamination,
+    infill,
+    language,
+    lengths,
+    near_duplicates,
+    quality,
+    repeats,
+    secret_scan,
+    sharding,
+    topk,
+    url_filter,
+    whitening,
+)
 
 VOCABULARY = os.environ.get("TABULON_VOCABULARY")
 
@@ -120,6 +134,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three at line borders, and put together again."""
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        hashed(F.col("fim_text")).alias("output_sha256"),
+        hashed(infill.restored(F.col("fim_text"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four leading components, with variance one."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 200-byte strings that stand elsewhere too."""
     return repeats.repeat_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -136,6 +169,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_whitening": op12_whitening,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
@@ -229,6 +264,28 @@ SQL = {
         FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 20
     """,
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS w,
+                   sha256('7:' || doc_id) AS h
+            FROM documents),
+        c AS (
+            SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS c2,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                        WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM d),
+        p AS (
+            SELECT doc_id, t, len(w) AS n, form, array_to_string(w[1:least(c1, c2)], '') AS pre,
+                   array_to_string(w[least(c1, c2) + 1:greatest(c1, c2)], '') AS mid, array_to_string(w[greatest(c1, c2) + 1:], '') AS suf
+            FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+               CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
 }
 
 

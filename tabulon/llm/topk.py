@@ -3,13 +3,14 @@
 Vectors hold integers.  Candidates are cut into blocks of bounded size; in a block, all
 ids with the same value in one dimension form a posting segment.  For a query a
 segment's impact is the size of query value times segment value, quantised to levels.
-Segments are processed level by level from the highest.  After a level, a candidate's
-score is at most what it has plus, for each dimension it was not yet met in, the
-highest impact still to come.  Candidates whose bound is below the k-th best known score
+Segments are processed level by level from the highest, in steps that hold equal shares of
+the postings.  After a step, a candidate's score is at most what it has plus, for each
+dimension it was not yet met in, the highest impact still to come.  Candidates whose bound is below the k-th best known score
 can not be members; as soon as the others have fewer components than there are postings
 to come, they are scored exactly.  The k best of every block are merged.
 
-Queries pass in blocks of bounded size, each broadcast over all candidate blocks.
+Queries are cut into blocks as well, and each meets each block of candidates in a task of
+its own; nothing but the number, width and largest component of vectors comes to the driver.
 
 Defined results: vectors that are null, or hold a null or a component that is not
 finite, take no part, and neither do rows without an id; a missing component counts
@@ -21,8 +22,6 @@ empty.  Other columns, whatever their names, are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,11 +31,11 @@ from pyspark.sql import types as T
 from tabulon.llm.common import small_batches
 from tabulon.session import settle
 
-QUERY_BLOCK = 4096
-CANDIDATE_BLOCK = 16_384
+QUERY_BLOCK = 65_536
+CANDIDATE_BLOCK = 8192
 LEVELS = 64
-PROCESS_FIRST = 0.75
-"""Share of the postings that may still be to come when the first proof is tried."""
+STEPS = 8
+"""Levels are taken together so that each step processes such a part of the postings."""
 
 FEW = 64
 
@@ -61,60 +60,61 @@ class SegmentIndex:
         self.vectors = vectors
         order = np.argsort(vectors, axis=0, kind="stable")
         values = np.take_along_axis(vectors, order, axis=0)
-        self.posts, self.begins, self.ends, self.values, self.dims = [], [], [], [], []
+        begins, found, dims = [], [], []
         for d in range(width):
-            edge = np.flatnonzero(np.diff(values[:, d])) + 1
-            first = np.concatenate([[0], edge])
-            self.begins.append(first + d * n)
-            self.ends.append(np.append(edge, n) + d * n)
-            self.values.append(values[first, d])
-            self.dims.append(np.full(len(first), d))
+            first = np.concatenate([[0], np.flatnonzero(np.diff(values[:, d])) + 1])
+            begins.append(first + d * n)
+            found.append(values[first, d])
+            dims.append(np.full(len(first), d))
         self.posts = np.ascontiguousarray(order.T).reshape(-1)
-        self.begins, self.ends = np.concatenate(self.begins), np.concatenate(self.ends)
-        self.values, self.dims = np.concatenate(self.values), np.concatenate(self.dims)
-        self.first_of = np.concatenate([[0], np.flatnonzero(np.diff(self.dims)) + 1])
+        #: where each segment begins, and behind the last one where it ends
+        self.begins = np.append(np.concatenate(begins), n * width)
+        self.sizes = np.diff(self.begins)
+        self.values, self.dims = np.concatenate(found), np.concatenate(dims)
+        self.base = 1 << width.bit_length()
+        """A sum of ``product * base + 1`` holds a score and the number of dimensions met."""
 
     def possible(self, query: np.ndarray, k: int) -> np.ndarray:
         """Rows that may be among the ``k`` best; no other row can be."""
-        n = len(self.vectors)
+        n, width = self.vectors.shape
         if n <= max(FEW, k) or self.vectors.dtype == object:  # numbers that floating point can not add exactly
             return np.arange(n)
         product = self.values * query[self.dims]
         impact = np.abs(product)
         top = impact.max()
-        if top <= 0:
+        if top <= 0 or top * width * self.base * 4 >= EXACT:
             return np.arange(n)
-        level = (impact * (LEVELS - 1)) // top  # quantised impact
-        by_level = np.argsort(-level, kind="stable")
-        cuts = np.searchsorted(-level[by_level], np.arange(-LEVELS, 1) + 0.5)
-        sizes = self.ends - self.begins
-        score, unmet, to_come = np.zeros(n), np.full(n, self.vectors.shape[1]), int(sizes.sum())
-        left, floor = np.arange(n), -np.inf
-        for j in range(LEVELS - 1):
-            chosen = by_level[cuts[j] : cuts[j + 1]]
-            if not len(chosen):
-                continue
-            held = sizes[chosen]
-            at = np.arange(held.sum()) + np.repeat(self.begins[chosen] - (np.cumsum(held) - held), held)
-            rows = self.posts[at]
-            score += np.bincount(rows, np.repeat(product[chosen], held).astype(np.float64), n)
-            unmet -= np.bincount(rows, minlength=n)
-            to_come -= len(rows)
-            if to_come > PROCESS_FIRST * self.posts.size:
+        level = (impact * (LEVELS - 1) / top).astype(np.int64)  # quantised impact
+        above = np.cumsum(np.bincount(level, self.sizes, LEVELS)[::-1])[::-1]  # postings of a level and those over it
+        packed = product * self.base + 1
+        held, left, floor = np.zeros(n), np.arange(n), -np.inf
+        done, before = 0, LEVELS
+        for step in range(1, STEPS + 1):
+            # down to the level at which a further share of the postings is processed
+            cut = min(int(np.searchsorted(-above, -step * self.posts.size / STEPS, side="right")) - 1, before - 1)
+            cut = max(cut, 0)
+            chosen = (level >= cut) & (level < before)
+            if not chosen.any():
                 continue
+            edge = np.flatnonzero(np.diff(chosen.view(np.int8), prepend=0, append=0))
+            rows = [self.posts[a:b] for a, b in zip(self.begins[edge[::2]].tolist(), self.begins[edge[1::2]].tolist())]
+            held += np.bincount(np.concatenate(rows), np.repeat(packed[chosen], self.sizes[chosen]), n)
+            done, before = int(above[cut]), cut
+            score = np.floor(held / self.base)
             best = np.argpartition(-score, k)[:k]
             floor = max(floor, (self.vectors[best] @ query).min())
-            ceiling = (LEVELS - 1 - j) * top / (LEVELS - 1)  # every impact still to come is smaller
-            left = np.flatnonzero(score + unmet * ceiling >= floor)
-            if len(left) * self.vectors.shape[1] <= max(to_come, FEW):
-                return left
+            ceiling = cut * top / (LEVELS - 1)  # every impact still to come is smaller
+            left = np.flatnonzero(score + (width - (held - score * self.base)) * ceiling >= floor)
+            if cut == 0 or len(left) * width <= max(self.posts.size - done, FEW):
+                break
         return left
 
     def best(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """``(id, score)`` of the ``k`` best candidates other than ``own``."""
         rows = self.possible(query, k + int((ids == own).sum()))
         rows = rows[ids[rows] != own]
-        scores = self.vectors[rows] @ query
+        many = len(rows) * 4 > len(ids)
+        scores = (self.vectors @ query)[rows] if many else self.vectors[rows] @ query
         order = np.lexsort((ids[rows], -scores))[:k]
         return [(int(ids[rows[i]]), int(scores[i])) for i in order]
 
@@ -151,24 +151,20 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
         F.max(F.array_max(F.transform("x", F.abs))),
     ).first()
     rows, asking, width, largest = (v or 0 for v in facts)
-    blocks = max(1, -(-rows // CANDIDATE_BLOCK))
-    placed = held.select("id", "x", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
     kind = _number_type(int(largest), width)
-    found = None
-    for part in range(-(-asking // QUERY_BLOCK)):
-        ask = held.where(F.col("asks") & (F.pmod(F.xxhash64("id"), F.lit(-(-asking // QUERY_BLOCK))) == part))
-        table = ask.select("id", "x").toArrow()  # about QUERY_BLOCK rows
-        if not table.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast(
-            (table.column("id").to_numpy(), _matrix(table.column("x").combine_chunks(), width))
-        )
-        hits = placed.groupBy("block").applyInArrow(_searcher(shared, k, width, kind), HITS)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return held.where("false").select(
-            F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias(id), F.col("id").alias("score")
-        )
+    narrow = next((t for t, most in (("short", 1 << 15), ("int", 1 << 31)) if largest < most), "long")
+    slim = held.withColumn("x", F.col("x").cast(f"array<{narrow}>"))
+    blocks, asked = max(1, -(-rows // CANDIDATE_BLOCK)), max(1, -(-asking // QUERY_BLOCK))
+
+    def every(n: int, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    pair = ("block", "part")
+    candidates = slim.select(
+        "id", "x", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), every(asked, "part")
+    )
+    asks = slim.where("asks").select("id", "x", F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int").alias("part"), every(blocks, "block"))
+    found = candidates.groupBy(*pair).cogroup(asks.groupBy(*pair)).applyInArrow(_searcher(k, width, kind), HITS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
@@ -177,18 +173,19 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
     )
 
 
-def _searcher(shared, k: int, width: int, kind):
-    def search(block: pa.Table) -> pa.Table:
-        ids = block.column("id").to_numpy()
-        index = SegmentIndex(_matrix(block.column("x").combine_chunks(), width).astype(kind)) if width else None
-        asked, vectors = shared.value
+def _searcher(k: int, width: int, kind):
+    def search(block: pa.Table, asks: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
-        for own, query in zip(asked.tolist(), vectors.astype(kind)):
-            if index is None:
-                best = [(i, 0) for i in sorted(ids[ids != own].tolist())[:k]]
-            else:
-                best = index.best(query, ids, own, k)
-            out += [(own, i, s) for i, s in best]
+        if block.num_rows and asks.num_rows:
+            ids = block.column("id").to_numpy()
+            index = SegmentIndex(_matrix(block.column("x").combine_chunks(), width).astype(kind)) if width else None
+            vectors = _matrix(asks.column("x").combine_chunks(), width).astype(kind)
+            for own, query in zip(asks.column("id").to_pylist(), vectors):
+                if index is None:
+                    best = [(i, 0) for i in sorted(ids[ids != own].tolist())[:k]]
+                else:
+                    best = index.best(query, ids, own, k)
+                out += [(own, i, s) for i, s in best]
         columns = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], schema=pa.schema([(f.name, pa.int64()) for f in HITS]))
 

@@ -6,7 +6,6 @@ import pytest
 
 from registered import features, models
 from registered import views as v
-from tabulon.llm import decontamination
 from tabulon.operators import eda
 from tabulon.plans import training
 from tabulon.plans.preparation import prepare
@@ -49,7 +48,7 @@ def test_leaderboards_train_all_candidates_at_their_defaults(spark, sf, monkeypa
     with pytest.raises(Caught) as held:
         query(spark, sf)
     [made] = held.value.args
-    assert len(made) == 6 and {n: made[n].getMaxIter() for n in training.BOOSTED} == {"GBT fast": 100, "GBT flat": 100, "GBT long": 200}
+    assert len(made) == 6 and {n: made[n].growth.rounds for n in training.BOOSTED} == {"GBT fast": 100, "GBT flat": 100, "GBT long": 1000}
     assert (made["Random Forest"].getNumTrees(), made["Random Forest"].getMaxDepth()) == (100, 10)
 
 
@@ -58,15 +57,5 @@ def test_boosters_train_on_many_classes(spark, sf):
     rows = training.compact(made.train, made.train.count())
     maker = training.candidates("classification", ["GBT fast"], boosting_rounds=1)["GBT fast"]
     model = maker(0, len(made.labels)).fit(rows)
-    assert len(made.labels) > 2 and len(model.models) == len(made.labels)
+    assert len(made.labels) > 2 and len(model.trees()) == len(made.labels)
     assert model.transform(made.test).where("prediction is null").count() == 0
-
-
-def test_short_items_are_cut_out_of_texts(spark):
-    docs = spark.createDataFrame([(1, "before Four short item words after"), (2, "nothing here"), (3, None)], "doc_id long, text string")
-    items = spark.createDataFrame([("q", "Four short item words")], "item_id string, text string")
-    found = decontamination.find_items(docs, items)
-    got = {r["doc_id"]: r["text"] for r in decontamination.without_spans(found).collect()}
-    assert got == {1: "before  after", 2: "nothing here", 3: None}
-    kept = {r["doc_id"]: r["text"] for r in decontamination.without_spans(found, longest=13).collect()}
-    assert kept[1] == "before Four short item words after"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from registered import views as v
@@ -331,15 +332,45 @@ def m19(spark, sf):
     return small_table(spark, [(n,) for n in made.feature_names], "feature string")
 
 
+_LABELLED = _ranked_sql("(SELECT d.*, quality, toxic FROM documents d JOIN labels USING (doc_id))", "doc_id", "quality")
+
+
 @register(
     "m18_full_preparation",
-    """SELECT label, CAST(count(*) AS BIGINT) AS "rows", CAST(round(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS test_rows,
-        CAST(7 AS BIGINT) AS width FROM (SELECT CAST(quality AS DOUBLE) AS label FROM labels) GROUP BY label""",
+    f"""WITH d AS (SELECT *, round(total * CAST(0.2 AS DOUBLE)) AS cut FROM {_LABELLED}),
+        t AS (SELECT * FROM d WHERE rn > cut),
+        q AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.75) AS z FROM t),
+        c AS (SELECT doc_id, least(greatest(CAST(n_chars AS DOUBLE), a - 1.5 * (z - a)), z + 1.5 * (z - a)) AS x FROM d, q),
+        k AS (SELECT count(*) AS n, min(x) AS low, max(x) AS high, avg(x) AS mean, stddev_pop(x) AS sd, quantile_cont(x, 0.5) AS m,
+              quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS z FROM c JOIN t USING (doc_id)),
+        f AS (SELECT avg(CAST(x < 2.5 * a - 1.5 * z OR x > 2.5 * z - 1.5 * a AS INTEGER)) AS out, avg(((x - mean) / sd)^3) AS skew
+              FROM c JOIN t USING (doc_id), k),
+        w AS (SELECT CASE WHEN n < 10 THEN mean WHEN out > 0.1 THEN m WHEN high - low < 10 THEN low WHEN abs(skew) < 1 THEN mean ELSE m END AS mid,
+              CASE WHEN n < 10 THEN sd WHEN out > 0.1 THEN z - a WHEN high - low < 10 THEN high - low WHEN abs(skew) < 1 THEN sd ELSE z - a END AS wide FROM k, f),
+        s AS (SELECT source, CAST(count(*) AS DOUBLE) AS seen FROM t GROUP BY source),
+        v AS (SELECT CAST(6 + (SELECT count(DISTINCT lang) FROM t) - 1 - 2
+              + (SELECT CASE WHEN count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.8 * count(*) THEN 32 ELSE 0 END FROM d) AS BIGINT) AS width)
+        SELECT CAST(quality AS DOUBLE) AS label, rn <= cut AS is_test, CAST(CASE WHEN rn <= cut THEN rn ELSE rn - cut END AS BIGINT) AS position,
+            round((x - mid) / CASE WHEN wide = 0 THEN 1 ELSE wide END, 6) AS n_chars,
+            CASE WHEN lang = (SELECT min(lang) FROM t) THEN '' ELSE lang END AS lang, coalesce(seen, 0) AS source_freq,
+            CAST(CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) % 32 AS INTEGER) AS text_bucket, width
+        FROM d JOIN c USING (doc_id) LEFT JOIN s USING (source), w, v""",
 )
 def m18(spark, sf):
+    """Feature values of every labelled document: scaled length, language flag, frequency of the source, bucket of the text."""
     df = v.table(spark, sf, "documents").join(v.table(spark, sf, "labels"), "doc_id")
     made = prepare(df, "quality", "classification", key=["doc_id"])
-    sides = made.train.withColumn("t", F.lit(0)).unionByName(made.test.withColumn("t", F.lit(1)))
-    return sides.groupBy("label").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("t").alias("test_rows"), F.lit(len(made.feature_names)).cast("bigint").alias("width")
+    x, place = vector_to_array("features"), {n: k for k, n in enumerate(made.feature_names)}
+    langs = [n for n in place if n.startswith("lang_")]
+    buckets = [n for n in place if n.startswith("text_hash_")]
+    sides = made.train.withColumn("is_test", F.lit(False)).unionByName(made.test.withColumn("is_test", F.lit(True)))
+    return sides.select(
+        "label",
+        "is_test",
+        F.col("position").cast("bigint").alias("position"),
+        F.round(x[place["n_chars"]], 6).alias("n_chars"),
+        F.concat(*[F.when(x[place[n]] == 1, F.lit(n.removeprefix("lang_"))).otherwise("") for n in langs]).alias("lang"),
+        x[place["source_freq"]].alias("source_freq"),
+        (F.array_position(F.slice(x, place[buckets[0]] + 1, len(buckets)), 1.0) - 1).cast("int").alias("text_bucket"),
+        F.lit(len(place)).cast("bigint").alias("width"),
     )

@@ -14,6 +14,7 @@ from registered.base import registrar
 from registered.features import _ranked_sql
 from registered.profiles import rounded
 from tabulon.operators import metrics, split
+from tabulon.operators.boosting import Booster, Growth
 from tabulon.plans import mixed, prediction, training
 from tabulon.plans.preparation import prepare
 from tabulon.session import scratch_path, settle, small_table
@@ -300,7 +301,8 @@ def _boards(done, metric):
 
 @register(
     "m26_multiclass_models",
-    """SELECT 'Logistic Regression' AS model_name, true AS best_agrees, true AS scored, count(DISTINCT p_type) AS classes FROM part""",
+    """SELECT name AS model_name, true AS best_agrees, true AS scored, classes FROM (SELECT count(DISTINCT p_type) AS classes FROM part),
+        (VALUES ('Logistic Regression'), ('Random Forest'), ('GBT fast'), ('GBT flat'), ('GBT long'), ('SVM')) t(name)""",
 )
 def m26(spark, sf):
     """A text target with several classes, remapped once for every candidate."""
@@ -348,6 +350,112 @@ def _regressed(spark, sf):
     return made, training.train_models(made, 3, ["Linear Regression", "SVM"])
 
 
+_SEASON = "CASE WHEN month(o_orderdate) <= 4 THEN 'early' WHEN month(o_orderdate) <= 8 THEN 'middle' ELSE 'late' END"
+_SEASON_ROWS = f"""(SELECT *, round(total * CAST(0.2 AS DOUBLE)) AS cut FROM
+    {_ranked_sql(f"(SELECT *, {_SEASON} AS kind FROM orders)", "o_orderkey", "kind")})"""
+_SEASON_SQL = f"SELECT kind AS label, rn AS position, kind AS prediction FROM {_SEASON_ROWS} WHERE rn <= cut"
+
+
+def _seasons(spark, sf):
+    """Orders with a class that their date decides."""
+    return v.table(spark, sf, "orders").withColumn("kind", F.expr(_SEASON))
+
+
+def _by_rule(spark, sf, name):
+    """Each test row's class and the class one candidate finds; they have to be equal."""
+    made = prepare(_seasons(spark, sf), "kind", "classification", key=["o_orderkey"])
+    maker = training.candidates("classification", [name])[name]
+    train = settle(made.train)
+    rows = train.count()
+    model = maker(rows, len(made.labels)).fit(training.compact(train, rows))
+    names = F.array(*[F.lit(x) for x in made.labels])
+    return model.transform(made.test).select(
+        names[F.col("label").cast("int")].alias("label"), "position", names[F.col("prediction").cast("int")].alias("prediction")
+    )
+
+
+@register("m20_known_rule", _SEASON_SQL)
+def m20_rule(spark, sf):
+    return _by_rule(spark, sf, "Logistic Regression")
+
+
+@register("m22_known_rule", _SEASON_SQL)
+def m22_rule(spark, sf):
+    return _by_rule(spark, sf, "Random Forest")
+
+
+@register("m23_known_rule", _SEASON_SQL)
+def m23_rule(spark, sf):
+    return _by_rule(spark, sf, "GBT flat")
+
+
+@register(
+    "m23_first_cut",
+    """WITH d AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice - avg(p_retailprice) OVER () AS r FROM part),
+        c AS (SELECT x, sum(r) AS r, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY x),
+        s AS (SELECT x, sum(r) OVER w AS lr, sum(n) OVER w AS ln, sum(r) OVER () AS tr, sum(n) OVER () AS tn FROM c
+              WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+        g AS (SELECT *, lr * lr / (ln + 1) + (tr - lr) * (tr - lr) / (tn - ln + 1) AS gain FROM s WHERE tn > ln)
+        SELECT x AS border, round(lr / (ln + 1) / 2, 6) AS below, round((tr - lr) / (tn - ln + 1) / 2, 6) AS above
+        FROM g ORDER BY gain DESC, x LIMIT 1""",
+)
+def m23_cut(spark, sf):
+    """The first tree of depth one: its border, and the leaf values that the sums of residuals give."""
+    df = VectorAssembler(inputCols=["p_size"], outputCol="features").transform(v.table(spark, sf, "part"))
+    model = Booster(Growth(rounds=1, step=0.5, depth=1, ridge=1.0)).fit(df.withColumn("label", F.col("p_retailprice")))
+    [[tree]] = model.trees()
+    row = (float(tree["border"][0]), float(tree["value"][1]), float(tree["value"][2]))
+    return rounded(small_table(spark, [row], "border double, below double, above double"))
+
+
+@register(
+    "m28_known_rule",
+    f"SELECT name AS model_name, true AS accurate, true AS ordered, true AS best_agrees FROM (VALUES {_SIX}) t(name) WHERE (SELECT count(*) FROM orders) > 0",
+)
+def m28_rule(spark, sf):
+    """All six candidates on classes that the date decides: hardly a row may be wrong."""
+    made = prepare(_seasons(spark, sf), "kind", "classification", key=["o_orderkey"])
+    done = training.train_models(made, 3)
+    m = F.col("metrics")
+    right = F.array_min(F.array(m["accuracy"], m["f1_score"], m["precision"], m["recall"], m["cv_accuracy_mean"])) > 0.98
+    return done.leaderboard.select("model_name", right.alias("accurate"), (m["roc_auc"] > 0.99).alias("ordered")).join(
+        _boards(done, "accuracy").select("model_name", "best_agrees"), "model_name"
+    )
+
+
+_SUM = "CAST(2 * o_custkey + 100 * month(o_orderdate) AS DOUBLE)"
+
+
+def _summed(spark, sf):
+    """Orders with a number that two of their columns add up to, and the models of it."""
+    df = v.table(spark, sf, "orders").withColumn("y", F.expr(_SUM)).drop("o_totalprice")
+    made = prepare(df, "y", "regression", key=["o_orderkey"])
+    return df, made, training.train_models(made, 3, ["Linear Regression"])
+
+
+@register("m31_known_rule", f"SELECT o_orderkey, {_SUM} AS prediction FROM orders")
+def m31_rule(spark, sf):
+    """Predictions of a stored model, to the cent."""
+    df, made, done = _summed(spark, sf)
+    root = scratch_path(spark, "models")
+    kept = registry.save_model(spark, root, done.best_model, training.metadata_of(spark, made, done))
+    return prediction.predict(spark, kept, df.drop("y"), root).select("o_orderkey", F.round("prediction", 2).alias("prediction"))
+
+
+@register(
+    "m32_known_weights",
+    f"""SELECT 'o_custkey' AS feature, round(2 * stddev_pop(o_custkey), 2) AS importance FROM {_ranked_sql('orders', 'o_orderkey')}
+        WHERE rn > ceil(total * CAST(0.2 AS DOUBLE)) UNION ALL
+        SELECT 'o_orderdate_month', round(100 * stddev_pop(month(o_orderdate)), 2) FROM {_ranked_sql('orders', 'o_orderkey')}
+        WHERE rn > ceil(total * CAST(0.2 AS DOUBLE))""",
+)
+def m32_rule(spark, sf):
+    """Weights of the two columns behind the number; all others weigh nothing."""
+    _, made, done = _summed(spark, sf)
+    found = prediction.feature_importance(spark, done.best_model, made.feature_names)
+    return found.where("importance > 0.01").select("feature", F.round("importance", 2).alias("importance"))
+
+
 @register("m31_predictions", "SELECT *, true AS predicted FROM part")
 def m31(spark, sf):
     made, done = _regressed(spark, sf)

@@ -408,6 +408,24 @@ def m23_cut(spark, sf):
     return rounded(small_table(spark, [row], "border double, below double, above double"))
 
 
+_RING = """(SELECT o_orderkey, o_orderkey % 101 / CAST(50 AS DOUBLE) - 1 AS x, o_custkey % 97 / CAST(48 AS DOUBLE) - 1 AS y FROM orders)"""
+
+
+@register(
+    "m24_ring",
+    f"""SELECT o_orderkey, CAST(x * x + y * y < 0.5 AS DOUBLE) AS prediction FROM {_RING} WHERE abs(x * x + y * y - 0.5) > 0.1""",
+)
+def m24_ring(spark, sf):
+    """Classes that no line parts: every order away from the ring's border on its side."""
+    df = v.table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") % 101 / 50.0 - 1).alias("x"), (F.col("o_custkey") % 97 / 48.0 - 1).alias("y")
+    )
+    far = F.col("x") * F.col("x") + F.col("y") * F.col("y")
+    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(df.withColumn("label", (far < 0.5).cast("double")))
+    model = training.candidates("classification", ["SVM"])["SVM"](0, 2).fit(settle(rows.select("features", "label")))
+    return model.transform(rows).where(F.abs(far - 0.5) > 0.1).select("o_orderkey", "prediction")
+
+
 @register(
     "m28_known_rule",
     f"SELECT name AS model_name, true AS accurate, true AS ordered, true AS best_agrees FROM (VALUES {_SIX}) t(name) WHERE (SELECT count(*) FROM orders) > 0",

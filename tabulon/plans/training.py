@@ -11,7 +11,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators.boosting import EVEN, LEAF, LEVEL, Booster, Growth
 from tabulon.operators.inference import CLASSIFICATION, REGRESSION
+from tabulon.operators.margins import FEATURES, STEPS, KernelMachine
 from tabulon.operators.metrics import (
     classification_metrics,
     fold_summary,
@@ -52,8 +53,6 @@ FOREST_TREES = 100
 FOREST_DEPTH = 10
 """Spark grows trees level by level and keeps whole levels, so a forest needs a limit; at most 30."""
 
-SVM_STEPS = 100
-
 Maker = Callable[[int, int], Estimator]
 
 
@@ -63,12 +62,13 @@ def candidates(
     forest_trees: int = FOREST_TREES,
     forest_depth: int = FOREST_DEPTH,
     boosting_rounds: int | None = None,
-    svm_steps: int = SVM_STEPS,
+    svm_steps: int = STEPS,
+    svm_features: int = FEATURES,
 ) -> dict[str, Maker]:
     """Makers by model name, each given the number of rows and of classes.
 
-    ``boosting_rounds`` replaces the rounds of every boosted preset.  The support
-    vector models are linear.
+    ``boosting_rounds`` replaces the rounds of every boosted preset.  The support vector
+    models have a radial kernel, by ``svm_features`` random features.
     """
     boosted = {n: _boosted(replace(g, rounds=boosting_rounds or g.rounds)) for n, g in BOOSTED.items()}
     if problem == CLASSIFICATION:
@@ -78,23 +78,19 @@ def candidates(
             ),
             "Random Forest": lambda *_: RandomForestClassifier(numTrees=forest_trees, maxDepth=forest_depth, seed=SEED),
             **boosted,
-            SVM: lambda rows, classes: _one_vs_rest(LinearSVC(maxIter=svm_steps, regParam=1.0 / max(rows, 1)), classes),
+            SVM: lambda _, classes: KernelMachine(classes, svm_features, svm_steps),
         }
     else:
         makers = {
             "Linear Regression": lambda *_: LinearRegression(solver="normal"),
             "Random Forest": lambda *_: RandomForestRegressor(numTrees=forest_trees, maxDepth=forest_depth, seed=SEED),
             **boosted,
-            SVM: lambda rows, _: LinearRegression(loss="huber", solver="l-bfgs", maxIter=svm_steps, regParam=1.0 / max(rows, 1)),
+            SVM: lambda *_: KernelMachine(0, svm_features, svm_steps),
         }
     wanted = set(names or makers)
     return {n: m for n, m in makers.items() if n in wanted}
 
 
-def _one_vs_rest(model: Estimator, classes: int) -> Estimator:
-    return model if classes <= 2 else OneVsRest(classifier=model)
-
-
 def _boosted(growth: Growth) -> Maker:
     return lambda _, classes: Booster(growth, classes)
 

@@ -109,7 +109,8 @@ def test_three_classes_are_scored_one_vs_rest(spark, parts):
     makers = {"lr": lambda *_: LogisticRegression(maxIter=5), **training.candidates("classification", ["SVM"])}
     done = training.train_models(made, 3, makers=makers)
     rows = {r["model_name"]: r["metrics"] for r in done.leaderboard.collect()}
-    assert "roc_auc" in rows["lr"] and "roc_auc" not in rows["SVM"]
+    assert "roc_auc" in rows["lr"] and "roc_auc" in rows["SVM"]
+    assert len(prediction.score(done.best_model, parts).first()["probabilities"]) == len(made.labels)
 
 
 def test_svm_leaves_for_huge_targets(spark, parts):

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -55,6 +55,12 @@ def _place(df: DataFrame, name: str) -> int:
     raise ValueError(f"no column {name}; there are {', '.join(df.columns)}")
 
 
+def content_keys(text: str) -> list[Column]:
+    """Two hashes, ``k1`` and ``k2``, that name a content; null reads as empty."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(1), whole).alias("k2")]
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null reads as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.common import byte_classes, extend, texts_of
+from tabulon.session import settle
 
 WIDTH = 13
 BLOCK_WORDS = 400_000
@@ -265,6 +266,27 @@ def without_spans(docs: DataFrame, text: str = "text", longest: int = 1) -> Data
     return extend(docs, added, begin, [text, "hit_spans"])
 
 
+def cleaned(
+    docs: DataFrame, items: DataFrame, text: str = "text", share: int = 20, width: int = WIDTH, **named: str
+) -> DataFrame:
+    """Rows without the contaminated ones, and without every marked span in the texts of the others.
+
+    Where a span is cut out, what stood before and behind it meet; a window that arises
+    there is cut as well, in further passes over the texts that were cut, until none is left.
+    """
+    columns = docs.columns
+    found = settle(find_items(docs, items, text, width=width, **named))
+    found = found.where(~contaminated(share))
+    out = found.where(F.size("hit_spans") == 0).select(*columns)
+    hit = found.where(F.size("hit_spans") > 0)
+    while not hit.isEmpty():  # texts only get shorter
+        cut = without_spans(hit, text).select(*columns)
+        found = settle(find_items(cut, items, text, width=width, **named))
+        out = out.unionByName(found.where(F.size("hit_spans") == 0).select(*columns))
+        hit = found.where(F.size("hit_spans") > 0)
+    return out
+
+
 def _cut(text: bytes, spans: Sequence[dict]) -> bytes:
     inside = np.frombuffer(text.translate(byte_classes("plain")), np.uint8) != 32
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))

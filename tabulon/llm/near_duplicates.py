@@ -18,8 +18,9 @@ signature test with probability below 10^-9.  Shingles are compared by 64-bit ha
 Defined results: a null or empty text, or one without words, has an empty set and is
 linked with nothing; of fewer words than a shingle the whole sequence is the one
 shingle.  A row without an id is linked with nothing, has no component and is kept.
-Rows that repeat an id are judged each by its own text.  Equal sets are one class, so
-ties need no rule: a component's name is its smallest id.  Other columns, whatever
+Rows that repeat an id are judged each by its own text: another text under the same id has
+no part in it.  Equal sets are one class, so ties need no rule: a component's name is its
+smallest id.  Other columns, whatever
 their names, are left out.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import extend, mixed, shingle_set, texts_of, word_hashes
+from tabulon.llm.common import content_keys, extend, likely, mixed, shingle_set, texts_of, word_hashes
 from tabulon.llm.graph import components
 from tabulon.session import settle
 
@@ -46,7 +47,6 @@ SIGNATURE_SHARE = 0.6
 SMALL_BUCKET = 32
 BLOCK_SHINGLES = 300_000
 BLOCK_DOCS = 400
-MAP_WORDS = 1 << 18
 
 SIGNED = T.StructType(
     [
@@ -87,7 +87,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, set size, set digest, band keys and one byte of each signature value."""
+    """``id``, content keys, set size, set digest, band keys and one byte of each signature value."""
 
     def begin():
         factors, shifts = permutations(PERMUTATIONS)
@@ -114,7 +114,7 @@ def signatures(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
 
         return work
 
-    plain = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    plain = df.select(F.col(id).cast("long").alias("id"), *content_keys(text), F.col(text).alias("text"))
     return extend(plain, SIGNED, begin, ["text"]).drop("text")
 
 
@@ -149,41 +149,29 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed_links(texts: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Links ``a, b`` between members of one cluster, enough of them to connect what is linked.
+    """Links ``a, b`` between nodes of one cluster, enough of them to connect what is linked.
 
-    ``texts``: ``id, text``; ``clusters``: ``id, n_shingles, set_key, cluster``.
+    ``texts``: ``id, text``; ``clusters``: ``node, id, n_shingles, set_key, cluster``.
     """
     weight = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("w"), F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("m") / BLOCK_DOCS))
     placed = clusters.join(weight.select("cluster", blocks.alias("blocks")), "cluster").select(
-        "id", "set_key", "cluster", "blocks", F.expr("pmod(xxhash64(id), blocks)").alias("block")
+        "node", "id", "set_key", "cluster", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block")
     )
-    held = extend(_likely(texts, clusters).join(placed, "id"), SETS, _sets, ["text"]).drop("text").where("digest = set_key")
+    # an id may stand for several texts: the one with the node's set is meant
+    met = likely(texts, clusters, "id").join(placed, "id")
+    held = extend(met, SETS, _sets, ["text"]).drop("text").where("digest = set_key")
     meeting = held.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
         "cluster",
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
-        "id",
+        F.col("node").alias("id"),
         "block",
         "shingles",
     )
     return meeting.groupBy("cluster", "low", "high").applyInArrow(_compare, LINKS)
 
 
-def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts whose id may be among the wanted ones, without a shuffle of texts.
-
-    The wanted ids set bits in a map of fixed size, which is broadcast; a bit that two
-    ids share lets a text through that the join behind then drops.
-    """
-    word, bit = F.expr(f"pmod(xxhash64(id), {MAP_WORDS}L)"), F.expr("shiftright(xxhash64(id), 40) & 63")
-    bits = wanted.select(word.alias("word"), bit.cast("int").alias("bit")).groupBy("word").agg(
-        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
-    )
-    found = texts.withColumn("word", word).join(F.broadcast(bits), "word")  # at most MAP_WORDS rows
-    return found.where(F.expr("bits & shiftleft(1L, cast(shiftright(xxhash64(id), 40) & 63 as int)) != 0")).select("id", "text")
-
-
 def _sets():
     def work(column):
         sets = [shingle_set(word_hashes(x, "spaced"), SHINGLE).tobytes() for x in texts_of(column)]
@@ -237,25 +225,48 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``id, n_shingles, component_id, kept``."""
-    signed = settle(signatures(df, id, text))
+def judged(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: ``id, k1, k2, n_shingles, component, kept``; the two keys name the row's content.
+
+    Sets are the nodes, named by the number of one of their rows, so that an id that stands
+    for several texts ties none of them together.
+    """
+    signed = settle(signatures(df, id, text).withColumn("row", F.monotonically_increasing_id()))
     known = signed.where("n_shingles > 0 and id is not null")
-    classes = settle(known.groupBy("set_key").agg(F.min("id").alias("id")))
-    shown = known.join(classes, ["set_key", "id"], "left_semi")
+    classes = settle(known.groupBy("set_key").agg(F.min("id").alias("least"), F.min("row").alias("node")))
+    shown = known.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
+    edges = candidate_edges(shown.select(F.col("node").alias("id"), "bands", "signature"))
     clusters = settle(
-        components(candidate_edges(shown.select("id", "bands", "signature")))
-        .withColumnsRenamed({"node": "id", "component": "cluster"})
-        .join(shown.select("id", "n_shingles", "set_key"), "id")
+        components(edges)
+        .withColumnRenamed("component", "cluster")
+        .join(shown.select("node", "id", "n_shingles", "set_key"), "node")
     )
     texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     found = components(confirmed_links(texts, clusters))
-    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "set_key", F.coalesce("component", "id").alias("component")
-    )
-    return signed.join(named, "set_key", "left").select(
-        F.col("id").alias(id),
-        "n_shingles",
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-        (F.col("id").isNull() | (F.coalesce("component", "id") == F.col("id"))).alias("kept"),
+    tied = classes.join(found, "node").select("set_key", "component", "least")
+    names = tied.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = tied.join(names, "component").select("set_key", "smallest")
+    whole = classes.join(named, "set_key", "left").select("set_key", F.coalesce("smallest", "least").alias("smallest"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("smallest", "id"))
+    return signed.join(whole, "set_key", "left").select(
+        "id", "k1", "k2", "n_shingles", component.alias("component"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept")
     )
+
+
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: ``id, n_shingles, component_id, kept``."""
+    return judged(df, id, text).select(F.col("id").alias(id), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+def without_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that are kept, by id and text, and of fully equal rows one."""
+    key = ["_id", "k1", "k2"]
+    rows = judged(df, id, text).withColumnRenamed("id", "_id").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept"))
+    marks = settle(rows.where("_id is not null and (n > 1 or not kept)"))
+    keyed = df.select("*", F.col(id).cast("long").alias("_id"), *[c.alias(f"_{k}") for c, k in zip(content_keys(text), ("k1", "k2"))])
+    marks = marks.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    key = ["_id", "_k1", "_k2"]
+    plain = keyed.join(marks.select(*key), key, "left_anti").select(*df.columns)
+    again = marks.where("kept")
+    once = likely(keyed, again, "_id").join(again.select(*key), key, "left_semi").select(*df.columns).distinct()
+    return plain.unionByName(once)

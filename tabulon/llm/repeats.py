@@ -28,16 +28,15 @@ it is binary.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import likely, mixed, small_batches
+from tabulon.llm.common import content_keys, likely, mixed, small_batches
 from tabulon.session import settle
 
 LEAST = 200
@@ -123,12 +122,6 @@ def runs_of(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def content_keys(text: str) -> list[Column]:
-    """Two hashes that name a content."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return [F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(1), whole).alias("k2")]
-
-
 def runs(df: DataFrame, text: str, least: int) -> DataFrame:
     """Two key columns and arrays ``run, anchor, whole`` of every row, in place of its text.
 

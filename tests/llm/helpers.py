@@ -77,6 +77,21 @@ def hits(text, items, width=13):
     return words, marked, found
 
 
+def without_hits(text, items):
+    """The text without marked stretches, cut again until none is left."""
+    while True:
+        _, marked, _ = hits(text, items)
+        if not marked:
+            return text
+        spots = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+        out, at = [], 0
+        for k in sorted(marked):
+            if k - 1 not in marked:
+                out.append(text[at : spots[k][0]])
+            at = spots[k][1]
+        text = "".join(out) + text[at:]
+
+
 SECRETS = (
     ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16),

@@ -5,8 +5,9 @@ executor costs a part of one stage, and a broken run can be taken up after the l
 written one.  All but the last return the columns of documents.
 
 Defined results, beside those of the operators: documents without text pass every
-filter that has nothing to hold against them; rows that repeat both id and text are one
-document and stay or go together; rows without an id are never dropped as copies.
+filter that has nothing to hold against them; an id that stands for several texts is judged
+text by text; of rows that are equal in all columns one stays; rows without an id are never
+dropped as copies.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates: the one with the smallest id."""
-    judged = near_duplicates.near_duplicates(docs)
-    return docs.join(judged.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return near_duplicates.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which fewer than one word in twenty stands in a window of a benchmark item."""
-    found = decontamination.find_items(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontamination.contaminated()).select(*docs.columns)
+    """Documents of which fewer than one word in twenty stands in a window of a benchmark item, and these words cut out."""
+    length = F.coalesce(F.length("text"), F.lit(0))
+    counted = docs.withColumn("n_chars", F.col("n_chars") - length)  # the count follows the text
+    clean = decontamination.cleaned(counted, table(spark, sf_dir, "benchmark"))
+    return clean.withColumn("n_chars", F.col("n_chars") + length).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,21 +70,26 @@ MAP_WORDS = 1 << 18
 """Most rows of a broadcast bit map, 2 MB of bits."""
 
 
-def likely(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among the wanted ones, without a shuffle of ``df``.
+def marked_likely(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Adds ``_maybe``: whether a row's ``key`` may be among the wanted ones, without a shuffle of ``df``.
 
     Wanted keys set bits in a map, sized by their number up to a bound, which is broadcast.
-    A bit that two keys share lets a row through, so an exact step has to follow; beyond
-    the bound more and more rows pass, none is lost.
+    A bit that two keys share marks a row too many, so an exact step has to follow; beyond
+    the bound more and more rows are marked, and none is missed.
     """
     words = min(MAP_WORDS, max(64, wanted.count() // 4))
     word, bit = F.expr(f"pmod(xxhash64(`{key}`), {words}L)"), F.expr(f"cast(shiftright(xxhash64(`{key}`), 40) & 63 as int)")
     bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(
         F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")
     )
-    found = df.withColumn("_word", word).join(F.broadcast(bits), "_word")  # at most MAP_WORDS rows
+    found = df.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")  # at most MAP_WORDS rows
     inside = F.expr(f"(_bits & shiftleft(1L, cast(shiftright(xxhash64(`{key}`), 40) & 63 as int))) != 0")
-    return found.where(inside).select(*[F.col(f"`{c}`") for c in df.columns])
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(inside, F.lit(False)).alias("_maybe"))
+
+
+def likely(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among the wanted ones, without a shuffle of ``df``."""
+    return marked_likely(df, wanted, key).where("_maybe").drop("_maybe")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

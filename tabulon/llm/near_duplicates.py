@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import content_keys, extend, likely, mixed, shingle_set, texts_of, word_hashes
+from tabulon.llm.common import content_keys, extend, likely, marked_likely, mixed, shingle_set, texts_of, word_hashes
 from tabulon.llm.graph import components
 from tabulon.session import settle
 
@@ -264,9 +264,10 @@ def without_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text
     rows = judged(df, id, text).withColumnRenamed("id", "_id").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept"))
     marks = settle(rows.where("_id is not null and (n > 1 or not kept)"))
     keyed = df.select("*", F.col(id).cast("long").alias("_id"), *[c.alias(f"_{k}") for c, k in zip(content_keys(text), ("k1", "k2"))])
-    marks = marks.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    marks = marks.withColumnsRenamed({"k1": "_k1", "k2": "_k2", "kept": "_kept"})
     key = ["_id", "_k1", "_k2"]
-    plain = keyed.join(marks.select(*key), key, "left_anti").select(*df.columns)
-    again = marks.where("kept")
-    once = likely(keyed, again, "_id").join(again.select(*key), key, "left_semi").select(*df.columns).distinct()
-    return plain.unionByName(once)
+    found = marked_likely(keyed, marks, "_k1")  # only rows that may be marked are moved
+    plain = found.where("not _maybe").select(*df.columns)
+    moved = found.where("_maybe").join(marks, key, "left")
+    once = moved.where("_kept").select(*df.columns).distinct()
+    return plain.unionByName(moved.where("_kept is null").select(*df.columns)).unionByName(once)

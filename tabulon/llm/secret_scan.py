@@ -1,10 +1,11 @@
 """Secret scans that look at every content once.
 
 A content is named by the SHA-256 of its bytes, whatever paths and versions hold it.
-The ledger, a Parquet table, has one row per content and rule version that was ever
-scanned, with the spans found (empty if none).  A scan reads only contents whose pair
-with some current rule version is not in the ledger, adds what it finds, and joins the
-ledger back to all paths.  DataFrame functions only.
+The ledger, a folder of Parquet tables, has one row per content and rule version that was
+ever scanned, with the spans found (empty if none).  A scan first compares digests with the
+ledger; only contents whose pair with some current rule version is missing are moved and
+scanned, each once and for the missing versions alone.  What it finds is added as a part of
+its own, and contents with findings are joined back to all paths.  DataFrame functions only.
 
 Rules are regular expressions (Java syntax) with a kind, a version, and a least length
 of one group; matches are leftmost and do not overlap, and short ones are dropped
@@ -18,14 +19,15 @@ Given columns stay; one named ``spans`` is replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabulon.session import scratch_path
+from tabulon.llm.common import likely, marked_likely
+from tabulon.session import scratch_path, settle
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -87,56 +89,58 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.hint or rule.pattern), found).otherwise(empty)
 
 
-def read_ledger(spark: SparkSession, path: str | None) -> DataFrame:
-    """``blob, rule, found``; without a path, or before the first scan, empty."""
-    schema = f"blob string, rule string, found {SPANS}"
-    if path is None:
-        return spark.sql("SELECT '' AS blob, '' AS rule").where("false").select(
-            "blob", "rule", F.lit(None).cast(SPANS).alias("found")
-        )
-    return spark.read.schema(schema).parquet(path)
+LEDGER = f"blob string, rule string, found {SPANS}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """``blob, rule, found`` of all finished scans."""
+    return spark.read.schema(LEDGER).parquet(f"{path}/*")
+
+
+def blob_of(text: str) -> Column:
+    """The name of a content."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+
+
+def unseen_pairs(files: DataFrame, text: str, rules: Sequence[Rule], ledger: str | None) -> DataFrame:
+    """``blob, missing``: contents, and the rule versions they were never scanned for."""
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    blobs = files.select(blob_of(text).alias("blob")).distinct()
+    if ledger is None:
+        return blobs.withColumn("missing", keys)
+    seen = read_ledger(files.sparkSession, ledger).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    missing = F.when(F.col("seen").isNull(), keys).otherwise(F.array_except(keys, "seen"))
+    return blobs.join(seen, "blob", "left").select("blob", missing.alias("missing")).where(F.size("missing") > 0)
 
 
 def scan(
     files: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, ledger: str | None = None
 ) -> tuple[DataFrame, str]:
-    """Scan unseen contents, and return all rows with their ``spans`` and the path of the grown ledger.
+    """Scan unseen contents, and return all rows with their ``spans`` and the path of the ledger.
 
-    ``spans`` is ``array<struct<kind, start, end>>`` in order of start.  ``ledger`` is
-    the path an earlier scan returned; a new path is written, and the old one stays, so
-    that a scan that is broken off leaves nothing half done.
+    ``spans`` is ``array<struct<kind, start, end>>`` in order of start.  ``ledger`` is the path
+    an earlier scan returned: a part is added to it, which counts once it is written whole.
     """
     spark = files.sparkSession
-    blob = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    known = read_ledger(spark, ledger)
-    seen = known.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    contents = (
-        files.select(F.coalesce(F.col(text), F.lit("")).alias("content"))
-        .groupBy(F.sha2(F.col("content").cast("binary"), 256).alias("blob"))
-        .agg(F.first("content").alias("content"))
-    )
-    unseen = contents if ledger is None else contents.join(seen, "blob", "left").where(
-        F.col("seen").isNull()
-        | (F.size(F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.col("seen"))) > 0)
-    )
-    done = F.array(*[F.lit("")]) if ledger is None else F.coalesce(F.col("seen"), F.array(F.lit("")))
+    path = ledger or scratch_path(spark, "ledger")
+    todo = settle(unseen_pairs(files, text, rules, ledger))
+    held = files.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    contents = likely(held, todo, "blob").groupBy("blob").agg(F.first("content").alias("content")).join(todo, "blob")
     each = F.array(
         *[
             F.when(
-                ~F.array_contains(done, r.key),
+                F.array_contains("missing", r.key),
                 F.struct(F.lit(r.key).alias("rule"), spans_of(F.col("content"), r).alias("found")),
             )
             for r in rules
         ]
     )
-    new = unseen.select("blob", F.inline(F.filter(each, lambda x: x.isNotNull())))
-    grown = scratch_path(spark, "ledger")
-    (new if ledger is None else known.unionByName(new)).write.parquet(grown)
+    contents.select("blob", F.inline(F.filter(each, lambda x: x.isNotNull()))).write.parquet(f"{path}/scan-{uuid.uuid4().hex}")
 
     kinds = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.key), F.lit(k))])
     names = F.array(*[F.lit(r.kind) for r in rules])
-    flat = (
-        read_ledger(spark, grown)
+    flat = settle(
+        read_ledger(spark, path)
         .where(F.col("rule").isin([r.key for r in rules]) & (F.size("found") > 0))
         .select(
             "blob",
@@ -150,18 +154,15 @@ def scan(
             F.col("blob").alias("_blob"),
             F.transform(
                 "all", lambda s: F.struct(names[s["k"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-            ).alias("_spans"),
+            ).alias("spans"),
         )
     )
     given = files.drop(*[c for c in files.columns if c.lower() == "spans"])
     none = F.from_json(F.lit("[]"), "array<struct<kind:string,start:bigint,end:bigint>>")
-    out = (
-        given.withColumn("_blob", blob)
-        .join(flat, "_blob", "left")
-        .withColumn("spans", F.coalesce(F.col("_spans"), none))
-        .drop("_blob", "_spans")
-    )
-    return out, grown
+    rows = marked_likely(given.withColumn("_blob", blob_of(text)), flat, "_blob")
+    kept = [F.col(f"`{c}`") for c in given.columns]
+    hit = rows.where("_maybe").join(flat, "_blob", "left").select(*kept, F.coalesce("spans", none).alias("spans"))
+    return rows.where("not _maybe").select(*kept, none.alias("spans")).unionByName(hit), path
 
 
 def spelled(spans: Column) -> Column:

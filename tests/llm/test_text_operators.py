@@ -184,16 +184,22 @@ def test_secrets_against_brute_force(spark):
 def test_ledger_scans_only_what_it_has_not_seen(spark):
     first = spark.createDataFrame(SECRETS[:3], SCHEMA)
     _, ledger = secret_scan.scan(first)
+    count = lambda: secret_scan.read_ledger(spark, ledger).count()
+    assert count() == 9
     grown = spark.createDataFrame(SECRETS + [(77, SECRETS[0][1])], SCHEMA)
+    todo = secret_scan.unseen_pairs(grown, "text", secret_scan.RULES, ledger).collect()
+    assert len(todo) == 2 and all(len(r["missing"]) == 3 for r in todo)  # the contents of two documents are new
     out, second = secret_scan.scan(grown, ledger=ledger)
+    assert second == ledger
     assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in out.collect()} == {
         d: secrets(t) for d, t in SECRETS + [(77, SECRETS[0][1])]
     }
-    count = lambda path: secret_scan.read_ledger(spark, path).count()
-    assert (count(ledger), count(second)) == (9, 15)
+    assert count() == 15 and secret_scan.read_ledger(spark, ledger).dropDuplicates(["blob", "rule"]).count() == 15
     newer = [secret_scan.Rule("hex", 2, "[0-9a-f]+", least=40), *secret_scan.RULES[:2]]
-    out, third = secret_scan.scan(grown, rules=newer, ledger=second)
-    assert count(third) == 20  # one new pair for each of five contents
+    assert {tuple(r["missing"]) for r in secret_scan.unseen_pairs(grown, "text", newer, ledger).collect()} == {("hex@2",)}
+    out, _ = secret_scan.scan(grown, rules=newer, ledger=ledger)
+    assert count() == 20  # one new pair for each of five contents
+    assert secret_scan.unseen_pairs(grown, "text", newer, ledger).count() == 0
     assert {r["doc_id"]: sum(s["kind"] == "hex" for s in r["spans"]) for r in out.collect()}[24] == 0
 
 

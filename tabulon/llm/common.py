@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import functools
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -22,6 +24,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return what a finished task freed to the machine; workers stay alive and wait beside others."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim is not None:
+        trim(0)
+
+
 def extend(df: DataFrame, added: T.StructType, begin: Callable[[], Callable], reads: Sequence[str]) -> DataFrame:
     """Append columns computed from whole Arrow batches.
 
@@ -44,6 +55,9 @@ def extend(df: DataFrame, added: T.StructType, begin: Callable[[], Callable], re
             yield pa.RecordBatch.from_arrays(
                 [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow
             )
+            del b, made, columns
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 

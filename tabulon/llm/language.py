@@ -15,6 +15,7 @@ are judged one by one.  Given columns stay; one named like an added one is repla
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 from tabulon.llm.common import extend, mixed, small_batches, texts_of
 
 PER_LANGUAGE = 600
+SPARE = 4
 SAMPLE_DOCS = 6000
 COLUMNS = 1 << 14
 WIDTHS = (1, 2, 3)
@@ -162,16 +164,21 @@ def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
     frequency, n = document_frequencies(known)
     idf = np.log((1 + n) / (1 + frequency)) + 1
+    ids = known.select("doc_id", "lang").distinct()
+    many = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # about SPARE times the wanted rows of a language are ranked, however many there are
+    near = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < F.lit(float(SPARE * per_language << 30)) / F.col("n")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        known.select("doc_id", "lang")
-        .distinct()
-        .withColumn("place", F.row_number().over(order))
+        ids.join(many, "lang")
+        .where(near)
+        .select("doc_id", "lang", F.row_number().over(order).alias("place"))
         .where(F.col("place") <= per_language)
         .orderBy("place", "lang")
         .limit(sample)
     )
-    held = known.join(F.broadcast(chosen.drop("place")), ["doc_id", "lang"])  # at most ``sample`` rows
+    met = known.join(F.broadcast(chosen.drop("place")), ["doc_id", "lang"])  # at most ``sample`` rows
+    held = met.groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
 
     def begin():
         def work(column):
@@ -183,11 +190,29 @@ def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int
 
         return work
 
-    rows = [
-        (r["doc_id"], r["lang"], np.frombuffer(r["columns"], np.int32), np.frombuffer(r["counts"], np.int32))
-        for r in extend(held, FEATURES, begin, ["text"]).drop("text").limit(2 * sample).toLocalIterator()
-    ]
-    rows.sort(key=lambda r: (r[1], r[0], len(r[2])))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [
+            (r["doc_id"], r["lang"], np.frombuffer(r["columns"], np.int32), np.frombuffer(r["counts"], np.int32))
+            for b in batches
+            for r in b.to_pylist()
+        ]
+        model = _fit_rows(rows, idf)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.names], pa.list_(pa.string())), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.temperature])],
+            names=["names", "weights", "temperature"],
+        )
+
+    features = extend(held, FEATURES, begin, ["text"]).drop("text").repartition(1)  # the whole sample, for one task
+    made = features.mapInArrow(fit, "names array<string>, weights binary, temperature double").first()
+    if made is None:
+        return _fit_rows([], idf)
+    weights = np.frombuffer(made["weights"], float).reshape(COLUMNS, -1)
+    return LanguageModel(list(made["names"]), idf, weights, made["temperature"])
+
+
+def _fit_rows(rows: list[tuple], idf: np.ndarray) -> LanguageModel:
+    """The model of a sample: a fifth is kept back for the temperature."""
+    rows.sort(key=lambda r: (r[1], r[0]))
     names = sorted({r[1] for r in rows})
     model = LanguageModel(names, idf, np.zeros((COLUMNS, max(1, len(names)))))
     xs = [(c, model.vector(c, v)) for _, _, c, v in rows]

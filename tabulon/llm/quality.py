@@ -121,7 +121,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    one = F.min_by("text", F.struct(F.xxhash64("text"), F.length("text")))  # of an id with several texts
+    known = met.groupBy("doc_id", "label").agg(one.alias("text"))
 
     def begin():
         def work(column):

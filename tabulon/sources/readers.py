@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.coercion import INTEGER_PATTERN, is_text, looks_numeric, quoted, text_to_number
+from tabulon.sources.quoted_csv import ENCODINGS, read_quoted
 
 # Cell spellings that a flat-file scan reads as missing.
 NULL_MARKERS = (
@@ -47,20 +48,40 @@ def read_csv(
 ) -> DataFrame:
     """Header CSV with null markers and column types inferred from all rows.
 
-    Line breaks inside quotes belong to the cell, which makes a file one task; where
-    no cell holds one, ``multi_line=False`` lets Spark split large files.
+    Line breaks inside quotes belong to the cell.  Many tasks read a file (``quoted_csv``) unless
+    reader options other than ``sep`` or an encoding that is no superset of ASCII are asked for; then a
+    file is one task.  Where no cell holds a line break, ``multi_line=False`` takes Spark's own splits.
     """
-    raw = (
+    separator = options.get("sep", ",")
+    if multi_line and set(options) <= {"sep"} and len(separator.encode()) == 1 and (encoding or "UTF-8").upper() in ENCODINGS:
+        names = _built_in(spark, path, encoding or "ISO-8859-1", True, options).columns
+        # names as bytes of one-byte characters, read again as UTF-8 where they are
+        names = names if encoding else [_as_utf8(n) for n in names]
+        marked = read_quoted(spark, path, [n.removesuffix("\r") for n in names], encoding, separator)
+        if marked is not None:
+            marked = null_markers(marked)
+            return infer_columns(marked) if infer else marked
+    marked = null_markers(_built_in(spark, path, encoding or text_encoding(spark, path), multi_line, options))
+    return infer_columns(marked) if infer else marked
+
+
+def _as_utf8(name: str) -> str:
+    try:
+        return name.encode("iso-8859-1").decode("utf-8-sig")
+    except UnicodeError:
+        return name
+
+
+def _built_in(spark: SparkSession, path: str, encoding: str, multi_line: bool, options: Mapping) -> DataFrame:
+    return (
         spark.read.option("header", True)
-        .option("encoding", encoding or text_encoding(spark, path))
+        .option("encoding", encoding)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .options(**options)
         .csv(path)
     )
-    marked = null_markers(raw)
-    return infer_columns(marked) if infer else marked
 
 
 def null_markers(df: DataFrame, markers: Iterable[str] = NULL_MARKERS) -> DataFrame:

@@ -276,7 +276,7 @@ def _ranked_sql(source, key, by=""):
     f"SELECT o_orderkey, rn <= ceil(total * CAST(0.2 AS DOUBLE)) AS is_test FROM {_ranked_sql('orders', 'o_orderkey')}",
 )
 def m17(spark, sf):
-    return split.split(v.table(spark, sf, "orders"), 0.2, ["o_orderkey"]).select("o_orderkey", "is_test")
+    return split.split_in_place(v.table(spark, sf, "orders"), 0.2, ["o_orderkey"]).select("o_orderkey", "is_test")
 
 
 @register(

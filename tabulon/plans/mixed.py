@@ -13,7 +13,7 @@ from tabulon.functions.coercion import error_flag, number_of, quoted
 from tabulon.operators.imputers import MedianImputer
 from tabulon.operators.metrics import regression_metrics
 from tabulon.operators.scalers import STANDARD, AutoScaler
-from tabulon.operators.split import split
+from tabulon.operators.split import split_in_place
 from tabulon.session import settle, small_table
 
 STRATEGIES = ("one-hot", "clean numeric", "numeric + error flag")
@@ -30,7 +30,7 @@ def compare_mixed_strategies(
         error_flag(quoted(column)).cast("double").alias("flag"),
         number_of(df, target).alias("label"),
     )
-    marked = settle(split(flagged, test_size, key))
+    marked = settle(split_in_place(flagged, test_size, key).drop("_split_key"))
     train, test = marked.where(~F.col("is_test")), marked.where("is_test")
     filled = MedianImputer(inputCols=["x"]).fit(train)
     train, test = filled.transform(train), filled.transform(test)

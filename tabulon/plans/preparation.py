@@ -26,7 +26,7 @@ from tabulon.operators.inference import (
 from tabulon.operators.outliers import OutlierClipper
 from tabulon.operators.scalers import AutoScaler
 from tabulon.operators.selection import selector_for
-from tabulon.operators.split import split
+from tabulon.operators.split import places, split_in_place
 from tabulon.session import settle
 
 @dataclass
@@ -43,7 +43,8 @@ class Routes:
 class Prepared:
     """Feature tables ``(features, label, position)`` and the fitted chain behind them.
 
-    ``rows`` are the training rows before any step, for fitting the chain anew.
+    ``rows`` are the training rows before any step, for fitting the chain anew, and
+    ``_split_key`` the digest whose order the positions follow.
     """
 
     train: DataFrame
@@ -122,7 +123,7 @@ def fit_steps(train: DataFrame, routes: Routes, kind: str, interactions: bool =
 
     Returns the chain, the feature names, what was fitted and the transformed rows.
     """
-    sources = [c for c in train.columns if c not in ("label", "is_test", "position")]
+    sources = [c for c in train.columns if c not in ("label", "is_test", "_split_key")]
     stages = []
     data = train
 
@@ -191,13 +192,18 @@ def prepare(
         labelled = numeric_label(source, target)
     gone = {target, *routes.dropped} - set(key or ())
     kept = labelled.select(*[quoted(c) for c in labelled.columns if c not in gone or c == "label"])
-    marked = settle(split(kept, test_size, key, "label" if kind == CLASSIFICATION else None))
+    by = ["label"] if kind == CLASSIFICATION else []
+    marked = settle(split_in_place(kept, test_size, key, *by))
+    rows = marked.count()
     train, test = marked.where(~F.col("is_test")), marked.where("is_test")
     model, names, info, ready = fit_steps(train, routes, kind, interactions)
-    columns = ("features", "label", "position")
+
+    def placed(side: DataFrame) -> DataFrame:
+        return places(side.select("features", "label", "_split_key"), "_split_key", by, rows).drop("_split_key")
+
     return Prepared(
-        ready.select(*columns),
-        model.transform(test).select(*columns),
+        placed(ready),
+        placed(model.transform(test)),
         train,
         model,
         names,

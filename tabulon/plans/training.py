@@ -28,6 +28,7 @@ from tabulon.operators.metrics import (
     roc_auc_binary,
     roc_auc_one_vs_rest,
 )
+from tabulon.operators.split import places
 from tabulon.plans.preparation import Prepared, fit_steps
 from tabulon.session import settle, small_table
 from tabulon.sources.registry import PERFORMANCE
@@ -158,7 +159,10 @@ def fold_sides(train: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]
 def refitted_sides(prepared: Prepared, folds: int) -> list[tuple[DataFrame, DataFrame]]:
     """The same, with the preparation fitted anew on the rows of each fold."""
     sides = []
-    for fit, held in fold_sides(prepared.rows.withColumn("fold", fold_of(folds)), folds):
+    by = ["label"] if prepared.problem_type == CLASSIFICATION else []
+    rows = places(prepared.rows, "_split_key", by, prepared.rows.count())
+    dealt = settle(rows.withColumn("fold", fold_of(folds)).drop("position"))
+    for fit, held in fold_sides(dealt, folds):
         model, _, _, ready = fit_steps(fit.drop("fold"), prepared.routes, prepared.problem_type)
         held = model.transform(held.drop("fold"))
         sides.append(

@@ -189,6 +189,24 @@ def test_split_is_exact_disjoint_and_stable(spark):
     assert sorted(marked.collect()) == sorted(again.collect())
 
 
+def test_split_in_place_marks_the_same_rows(spark):
+    y = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 != 0, (F.col("id") % 7).cast("string"))
+    df = spark.range(1000).select("id", y.alias("y"), F.lit("text").alias("_other"))
+    df = df.unionByName(spark.createDataFrame([(2000, "alone", "text"), (2001, "two", "t"), (2002, "two", "t")], df.schema))
+    for by in ("y", None):
+        whole = split.split(df, 0.25, ["id"], by).select("id", "y", "_other", "is_test", "position")
+        for rows in (None, 10**9):
+            marked = split.split_in_place(df, 0.25, ["id"], by, rows=rows)
+            assert sorted(map(repr, marked.drop("_split_key").collect())) == sorted(map(repr, whole.drop("position").collect()))
+            for side in (True, False):
+                held = split.places(marked.where(F.col("is_test") == side), "_split_key", [by] if by else [], 10**7)
+                wanted = whole.where(F.col("is_test") == side).select("id", "position")
+                assert sorted(held.select("id", "position").collect()) == sorted(wanted.collect())
+    assert split.split_in_place(df.limit(0), 0.25, ["id"], "y").count() == 0
+    copies = spark.range(300).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("x"))
+    assert split.split_in_place(copies, 0.2).where("is_test").count() == 60
+
+
 def test_split_spreads_copies(spark):
     """A third of the rows are one and the same; none is lost and the sizes are exact."""
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("x"))

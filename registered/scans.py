@@ -158,12 +158,26 @@ def p05(spark, sf):
     return FittedSelection.of(removed=dropped).transform(v.table(spark, sf, "part"))
 
 
-@register("s10_row_records", "SELECT n_nationkey, n_name, CASE WHEN n_regionkey > 0 THEN n_regionkey END AS n_regionkey FROM nation")
+@register(
+    "s10_row_records",
+    """SELECT o_orderkey, o_orderpriority, CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS o_custkey,
+        CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS o_totalprice FROM orders""",
+)
 def s10(spark, sf):
-    """Rows as a request would bring them; a field that a row leaves out is null."""
-    rows = [r.asDict() for r in v.table(spark, sf, "nation").collect()]  # 25 rows at every scale
-    held = [{k: x for k, x in r.items() if k != "n_regionkey" or x > 0} for r in rows]
-    return readers.from_records(spark, held, "n_nationkey int, n_name string, n_regionkey int")
+    """Orders as requests would bring them, a JSON text each; a field that a text leaves out is null."""
+    orders = v.table(spark, sf, "orders")
+    sent = orders.select(
+        F.to_json(
+            F.struct(
+                "o_orderpriority", "o_orderkey",
+                F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("o_custkey"),
+                F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice")).alias("o_totalprice"),
+                F.col("o_orderstatus").alias("not_asked_for"),
+            )
+        ).alias("body")
+    )
+    asked = ("o_orderkey", "o_orderpriority", "o_custkey", "o_totalprice")
+    return readers.read_records(sent, "body", ", ".join(f"{n} {orders.schema[n].dataType.simpleString()}" for n in asked))
 
 
 @register("s01_csv_documents", "SELECT doc_id, text, lang, source, n_chars FROM documents")

@@ -14,12 +14,13 @@ from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.boosting import EVEN, LEAF, LEVEL, Booster, Growth
 from tabulon.operators.inference import CLASSIFICATION, REGRESSION
+from tabulon.operators.least_squares import LeastSquares
 from tabulon.operators.margins import FEATURES, STEPS, KernelMachine
 from tabulon.operators.metrics import (
     classification_metrics,
@@ -83,7 +84,7 @@ def candidates(
         }
     else:
         makers = {
-            "Linear Regression": lambda *_: LinearRegression(solver="normal"),
+            "Linear Regression": lambda *_: LeastSquares(),
             "Random Forest": lambda *_: RandomForestRegressor(numTrees=forest_trees, maxDepth=forest_depth, seed=SEED),
             **boosted,
             SVM: lambda *_: KernelMachine(0, svm_features, svm_steps),

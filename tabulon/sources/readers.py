@@ -135,3 +135,17 @@ def from_records(spark: SparkSession, rows: Iterable[Mapping], schema: str | T.S
         return spark.createDataFrame(held, schema)
     names = list(dict.fromkeys(n for r in held for n in r))
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in held], names)
+
+
+def read_records(df: DataFrame, column: str, schema: str | T.StructType) -> DataFrame:
+    """Rows that a column holds as JSON objects, a text each, by ``schema``; parsed where they lie.
+
+    Fields that an object leaves out are null, other fields are passed over, and a field of
+    another type is null.  A text that is no object is refused; a null is a row of nulls.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    parsed = F.from_json(quoted(column), kind, {"mode": "PERMISSIVE"})
+    whole = F.startswith(F.ltrim(quoted(column)), F.lit("{")) & F.try_parse_json(quoted(column)).isNotNull()
+    refused = F.raise_error(F.concat(F.lit("no JSON object: "), F.substring(quoted(column), 1, 100)))
+    held = df.select(F.when(quoted(column).isNull() | whole, parsed).otherwise(refused.cast(kind)).alias("_record"))
+    return held.select(*[F.col("_record")[n].alias(n) for n in kind.fieldNames()])

@@ -161,3 +161,13 @@ def test_csv_reading(spark, tmp_path):
     assert readers.read_csv(spark, str(bad)).first()[0] == "café"
     with pytest.raises(ValueError):
         readers.read_table(spark, str(tmp_path / "t.xlsx"))
+
+
+def test_records_from_json_texts(spark):
+    texts = ['{"a": 1, "b": "x"}', '{"b": null, "c": 3}', ' {"a": "word", "b": "\\"q"}', "{}", None]
+    df = spark.createDataFrame([(t, 1) for t in texts], "body string, a int")
+    rows = readers.read_records(df, "body", "a int, b string").collect()
+    assert [tuple(r) for r in rows] == [(1, "x"), (None, None), (None, '"q'), (None, None), (None, None)]
+    for bad in ("[1]", '{"a": ', "word", ""):
+        with pytest.raises(Exception, match="no JSON object"):
+            readers.read_records(spark.createDataFrame([(bad,)], "body string"), "body", "a int").collect()

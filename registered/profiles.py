@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registered import views as v
 from registered.base import registrar
 from tabulon.functions.coercion import first_of_each
-from tabulon.operators import cells, eda, inference, profile, quantiles
+from tabulon.operators import cells, correlation, eda, inference, profile, quantiles
 from tabulon.plans.exploration import shown_columns, shown_values
 from tabulon.plans.training import target_extent
 from tabulon.session import small_table
@@ -265,7 +265,7 @@ def _corr_sql(source, columns):
 
 @register("a20_correlation_matrix", _corr_sql("lineitem", _CORR))
 def a20(spark, sf):
-    return rounded(eda.correlation_matrix(v.table(spark, sf, "lineitem"), _CORR))
+    return rounded(correlation.correlation_matrix(v.table(spark, sf, "lineitem"), _CORR))
 
 
 _LINKED = """(SELECT p_partkey, p_size, p_retailprice, p_retailprice * 2 + p_size AS gross, p_partkey * p_size AS volume FROM part)"""
@@ -288,7 +288,7 @@ _LINKED_COLUMNS = ["p_partkey", "p_size", "p_retailprice", "gross", "volume"]
     f"SELECT * FROM ({_corr_sql(_LINKED, _LINKED_COLUMNS)}) WHERE i < j AND abs(correlation) > 0.7",
 )
 def a21(spark, sf):
-    return rounded(eda.strong_pairs(eda.correlations(_linked(spark, sf), _LINKED_COLUMNS)))
+    return rounded(eda.strong_pairs(correlation.correlations(_linked(spark, sf), _LINKED_COLUMNS)))
 
 
 _ROW_MISSING = """SELECT (value IS NULL)::INT + (event_type IS NULL)::INT + (user_id IS NULL)::INT + (event_id IS NULL)::INT AS k FROM """

@@ -1,12 +1,9 @@
-"""Exploration tables: correlation, missing patterns, histograms, chart data."""
+"""Exploration tables: strong pairs, missing patterns, histograms, chart data."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,85 +11,10 @@ from tabulon.functions.coercion import number_of
 from tabulon.functions.grading import share
 from tabulon.operators.cells import top_values
 from tabulon.operators.profile import per_column, row_missing
-from tabulon.session import settle, small_table
 
-FAN_IN = 16
-ROUNDING = 1e-10
 STRONG = 0.7
 HISTOGRAM_BINS = 30
 
-_PACKED = "part long, sums binary"
-_PAIRS = "i int, j int, col1 string, col2 string, correlation double"
-
-
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair i < j over pairwise-complete rows; null for a constant side.
-
-    Values are shifted by the column means, so that columns far from zero lose no
-    digits.  Every task adds up its products of all pairs in matrices and hands on one
-    row; these are written out and added up ``FAN_IN`` at a time, so no task holds more than that many.
-    """
-    if len(columns) < 2:
-        return small_table(df.sparkSession, [], _PAIRS)
-    values = df.select(*[number_of(df, c).alias(f"x{k}") for k, c in enumerate(columns)])
-    means = np.array([m or 0.0 for m in values.agg(*[F.avg(c) for c in values.columns]).first()])
-    upper = np.triu_indices(len(means), 1)
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((6, len(upper[0])))
-        for batch in batches:
-            x = batch.to_numpy(dtype=float) - means
-            held = ~np.isnan(x)
-            x[~held] = 0.0
-            seen = held.astype(float)
-            squares = (x * x).T @ seen
-            plain = x.T @ seen
-            for k, product in enumerate((seen.T @ seen, plain, plain.T, squares, squares.T, x.T @ x)):
-                total[k] += product[upper]
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [total.tobytes()]})
-
-    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in parts["sums"])
-        return pd.DataFrame({"part": [key[0]], "sums": [total.tobytes()]})
-
-    sums = settle(values.mapInPandas(add_up, _PACKED))  # the parts stay as they were written, however later jobs are planned
-    parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
-    while parts > 1:
-        sums = sums.groupBy(F.expr(f"part div {FAN_IN}")).applyInPandas(merge, _PACKED)
-        parts = -(-parts // FAN_IN)
-    packed = sums.first()  # one row, of six numbers per pair
-    if packed is None:
-        n = sx = sy = sxx = syy = sxy = np.zeros(len(upper[0]))
-    else:
-        n, sx, sy, sxx, syy, sxy = np.frombuffer(packed["sums"]).reshape(6, -1)
-
-    def spread_of(squares: np.ndarray, plain: np.ndarray) -> np.ndarray:
-        """n^2 times the variance, 0 where it is rounding noise of a constant."""
-        spread = n * squares - plain * plain
-        return np.where(spread > ROUNDING * n * squares, spread, 0.0)
-
-    spread = np.sqrt(spread_of(sxx, sx) * spread_of(syy, sy))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        found = np.clip((n * sxy - sx * sy) / spread, -1.0, 1.0)
-    rows = [
-        (int(i), int(j), columns[i], columns[j], float(r) if s else None) for i, j, r, s in zip(*upper, found, spread)
-    ]
-    return small_table(df.sparkSession, rows, _PAIRS)
-
-
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The full matrix in long form, both triangles and the diagonal."""
-    upper = correlations(df, columns)
-    mirrored = upper.select(
-        F.col("j").alias("i"), F.col("i").alias("j"),
-        F.col("col2").alias("col1"), F.col("col1").alias("col2"), "correlation",
-    )
-    diagonal = small_table(
-        df.sparkSession,
-        [(k, k, c, c, 1.0) for k, c in enumerate(columns)] if len(columns) > 1 else [], _PAIRS
-    )
-    return upper.unionByName(mirrored).unionByName(diagonal)
-
 
 def strong_pairs(pairs: DataFrame, limit: float = STRONG) -> DataFrame:
     return pairs.where(F.abs("correlation") > limit)

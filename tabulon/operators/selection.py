@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.coercion import number_of, quoted
-from tabulon.operators.eda import correlations
+from tabulon.operators.correlation import correlations
 from tabulon.operators.inference import CLASSIFICATION
 from tabulon.operators.stages import ColumnStage, FittedColumns, declare
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.coercion import is_temporal, missing_to_null
-from tabulon.operators import cells, eda, inference, profile
+from tabulon.operators import cells, correlation, eda, inference, profile
 
 
 # How many columns, and how many values of a list, a reader is shown.
@@ -61,8 +61,9 @@ def explore(df: DataFrame, catalog: Sequence[Mapping] | None = None) -> dict[str
         report["numerical"] = profile.numeric_profile(source, numerical)
         report["histograms"] = eda.histograms(source, numerical)
     if len(numerical) > 1:
-        report["correlation_matrix"] = eda.correlation_matrix(source, numerical)
-        report["correlated_pairs"] = eda.strong_pairs(eda.correlations(source, numerical))
+        pairs = correlation.correlations(source, numerical)
+        report["correlation_matrix"] = correlation.correlation_matrix(source, numerical, pairs)
+        report["correlated_pairs"] = eda.strong_pairs(pairs)
     if categorical:
         report["categorical"] = cells.top_values(source, categorical, counts=counts)
         report["category_chart"] = eda.category_chart(source, categorical, counts=counts)

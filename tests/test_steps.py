@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from tabulon.operators import eda, metrics, quantiles, selection, split
+from tabulon.operators import correlation, metrics, quantiles, selection, split
 from tabulon.operators.encoders import CategoryEncoder, HashEncoder, hash_names
 from tabulon.operators.engineering import FeatureEngineer
 from tabulon.operators.imputers import ConstantImputer, MedianImputer
@@ -167,15 +167,15 @@ def test_correlations_agree_with_pandas_and_with_any_fan_in(spark):
     ]
     df = spark.createDataFrame(rows, "a double, b double, c double, flat double").repartition(3)
     held = df.toPandas()
-    found = {(r["col1"], r["col2"]): r["correlation"] for r in eda.correlations(df, df.columns).collect()}
+    found = {(r["col1"], r["col2"]): r["correlation"] for r in correlation.correlations(df, df.columns).collect()}
     for (x, y), r in found.items():
         want = held[x].corr(held[y])
         assert (r is None) == (want != want or "flat" in (x, y)) and (r is None or r == pytest.approx(want, abs=1e-9))
-    fan, eda.FAN_IN = eda.FAN_IN, 2
+    fan, correlation.FAN_IN = correlation.FAN_IN, 2
     try:
-        again = {(r["col1"], r["col2"]): r["correlation"] for r in eda.correlations(df, df.columns).collect()}
+        again = {(r["col1"], r["col2"]): r["correlation"] for r in correlation.correlations(df, df.columns).collect()}
     finally:
-        eda.FAN_IN = fan
+        correlation.FAN_IN = fan
     assert again.keys() == found.keys() and all(again[k] == pytest.approx(r, abs=1e-12) for k, r in found.items() if r is not None)
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from registered import features, models
 from registered import views as v
-from tabulon.operators import eda
+from tabulon.operators import correlation
 from tabulon.plans import training
 from tabulon.plans.preparation import prepare
 
@@ -28,7 +28,7 @@ def test_correlations_add_up_every_part_however_the_plan_was_counted(spark, monk
     df = spark.range(0, 300, 1, 3).selectExpr("cast(id as double) a", "cast(id * id % 101 as double) b")
     held = df.toPandas()
     monkeypatch.setattr(type(df), "rdd", property(lambda _: SimpleNamespace(getNumPartitions=lambda: 1)))
-    [row] = eda.correlations(df, ["a", "b"]).collect()
+    [row] = correlation.correlations(df, ["a", "b"]).collect()
     assert row["correlation"] == pytest.approx(held["a"].corr(held["b"]), abs=1e-9)
 
 

@@ -10,13 +10,14 @@ from registered.base import registrar
 from tabulon.operators.encoders import CategoryEncoder, FittedCategories
 from tabulon.operators.inference import column_types, column_verdicts
 from tabulon.operators.outliers import iqr_frame
-from tabulon.operators.profile import missing_by_column, profile
+from tabulon.operators.profile import distinct_counts, missing_by_column, per_column, profile
 from tabulon.operators.selection import FittedSelection
 from tabulon.plans.preparation import class_labels, index_classes, route_columns, separate
 from tabulon.plans.quality import high_missing
 from tabulon.plans.training import candidates
 from tabulon.session import scratch_path, small_table
 from tabulon.sources import readers, registry
+from tabulon.sources.profiles import DISTINCT_ERROR, QUANTILE_ERROR
 
 REGISTERED, register = registrar()
 
@@ -105,6 +106,46 @@ def s05(spark, sf):
     return registry.load_dataset(spark, held, root)[0]
 
 
+_EVENT_COLUMNS = ["event_id", "user_id", "event_type", "ts", "value", "props"]
+
+
+def _stored_profile_sql():
+    def of(k, c):
+        x = f"CAST({c} AS DOUBLE)" if c in ("event_id", "user_id", "value") else "CAST(NULL AS DOUBLE)"
+        return (
+            f"""SELECT CAST({k} AS INTEGER) AS ordinal, '{c}' AS "column", count(*) AS "rows", count(*) - count({c}) AS missing_count,
+            min({x}) AS low, max({x}) AS high, round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std,
+            count(DISTINCT {c}) AS distinct_count, TRUE AS distinct_near, TRUE AS median_near FROM events"""
+        )
+
+    return "\nUNION ALL\n".join(of(k, c) for k, c in enumerate(_EVENT_COLUMNS))
+
+
+@register("s04_appended_dataset", _stored_profile_sql())
+def s04_appended(spark, sf):
+    """Events stored in two parts; the profile of both is put together from theirs and held against exact counts."""
+    events = v.table(spark, sf, "events").select(*_EVENT_COLUMNS)
+    root, late = scratch_path(spark, "sets"), F.col("user_id") % 3 == 0
+    held, _ = registry.register_dataset(events.where(~late | late.isNull()), "events", root)
+    registry.append_dataset(events.where(late), held, root)
+    found = registry.dataset_profile(spark, held, root)
+    middles = {r["column"]: r["median"] for r in found.where("median is not null").select("column", "median").collect()}
+    below = per_column(
+        events,
+        {
+            n: [("below", F.avg((F.col(n) < m).cast("double"))), ("upto", F.avg((F.col(n) <= m).cast("double")))]
+            for n, m in middles.items()
+        },
+    ).drop("ordinal")
+    exact = distinct_counts(events).drop("ordinal")
+    near = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= 4 * DISTINCT_ERROR * F.col("distinct_count") + 0.5
+    middle = (F.col("below") <= 0.5 + QUANTILE_ERROR) & (F.col("upto") >= 0.5 - QUANTILE_ERROR)
+    return found.join(F.broadcast(exact), "column").join(F.broadcast(below), "column", "left").select(  # a row per column
+        "ordinal", "column", "rows", "missing_count", "low", "high", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
+        "distinct_count", near.alias("distinct_near"), F.coalesce(middle, F.lit(True)).alias("median_near"),
+    )
+
+
 @register(
     "p01_target_separation",
     """SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority, o_totalprice AS label FROM orders""",

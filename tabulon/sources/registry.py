@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.operators.inference import DATASET_INFO, dataset_info
+from tabulon.sources import profiles
 from tabulon.session import small_table
 
 PERFORMANCE = T.StructType(
@@ -57,19 +58,49 @@ def _read(spark: SparkSession, path: str, missing: str, schema: T.StructType) ->
 
 
 def register_dataset(df: DataFrame, name: str, root: str) -> tuple[str, DataFrame]:
-    """Store a table with its description; returns the id and the one-row description."""
+    """Store a table with its description and its profile; returns the id and the one-row description."""
     dataset_id = str(uuid.uuid4())
-    df.write.parquet(f"{root}/{dataset_id}/data")
-    stored = df.sparkSession.read.parquet(f"{root}/{dataset_id}/data")
+    stored = _keep_part(df, f"{root}/{dataset_id}")
     info = dataset_info(stored, name)
     info.write.json(f"{root}/{dataset_id}/info")
     return dataset_id, info
 
 
+def append_dataset(df: DataFrame, dataset_id: str, root: str) -> DataFrame:
+    """Add rows to a stored table; only they are read and profiled. Returns the stored part.
+
+    The columns and their types have to be those of the stored table.  The description
+    stays that of the first part.  An append that breaks off between rows and profile leaves
+    rows that the profile does not count.
+    """
+    held, _ = load_dataset(df.sparkSession, dataset_id, root)
+    if [(f.name, f.dataType) for f in held.schema] != [(f.name, f.dataType) for f in df.schema]:
+        raise ValueError(f"columns differ from those of dataset {dataset_id}")
+    return _keep_part(df, f"{root}/{dataset_id}")
+
+
+def _keep_part(df: DataFrame, place: str) -> DataFrame:
+    """Write rows and their profile as a new part; the profile reads the written rows."""
+    part = uuid.uuid4().hex
+    df.write.parquet(f"{place}/data/{part}")
+    stored = df.sparkSession.read.parquet(f"{place}/data/{part}")
+    profiles.partial_profile(stored).write.parquet(f"{place}/profile/{part}")
+    return stored
+
+
+def dataset_profile(spark: SparkSession, dataset_id: str, root: str) -> DataFrame:
+    """The profile of a stored table from the profiles of its parts; no row of the table is read."""
+    try:
+        parts = spark.read.schema(profiles.PARTIAL).option("recursiveFileLookup", "true").parquet(f"{root}/{dataset_id}/profile")
+    except AnalysisException as error:
+        raise ValueError(f"dataset {dataset_id} not found") from error
+    return profiles.spelled_out(parts)
+
+
 def load_dataset(spark: SparkSession, dataset_id: str, root: str) -> tuple[DataFrame, DataFrame]:
-    """The stored table and its description; an unknown id is refused."""
+    """The stored table, all its parts, and its description; an unknown id is refused."""
     info = _read(spark, f"{root}/{dataset_id}/info", f"dataset {dataset_id} not found", DATASET_INFO)
-    return spark.read.parquet(f"{root}/{dataset_id}/data"), info
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{dataset_id}/data"), info
 
 
 def save_model(

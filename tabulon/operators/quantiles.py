@@ -6,17 +6,24 @@ then either one of the two values or in a much smaller open interval.  A value t
 many rows share is met as an end point and settles its ranks at once, so intervals
 never stay large because of it.  What is left in an interval of few rows is counted
 value by value.
+
+The source is read three times, whatever its size: for the first sketch, for the first
+counts, and for the values inside the intervals left by then, a few in ten thousand
+rows.  Where some of these are still large, they are written out, and every later round
+reads that table only.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.session import settle
+
 BRACKET_ROWS = 20_000
 """Rows an interval may hold to be counted value by value, in one task per interval."""
 
@@ -33,6 +40,12 @@ class _Bracket:
     below: int  # rows up to and including ``low``
     inside: int
     ranks: tuple[int, ...]
+    home: int | None = None  # the interval it is written out under
+    base: int = 0  # rows up to the lower end of that one
+
+    def value(self, slot: Mapping[str, str]) -> Column:
+        """The column's value in the source, null in written rows of other intervals."""
+        return F.col(slot[self.name]) if self.home is None else F.when(F.col("k") == self.home, F.col("x"))
 
     def holds(self, x: Column) -> Column:
         kept = x.isNotNull()
@@ -65,10 +78,14 @@ def quantiles(
     ]
     small = [b for b in open_ones if b.inside <= BRACKET_ROWS]
     large = [_Bracket(b.name, None, None, 0, b.inside, p) for b in open_ones if b.inside > BRACKET_ROWS for p in _near(b.ranks)]
+    written = False
     while large:
         narrowed = _narrow(source, slot, large, found)
         small += [b for b in narrowed if b.inside <= BRACKET_ROWS]
         large = [b for b in narrowed if b.inside > BRACKET_ROWS]
+        if large and not written:
+            source, small, large = _write_out(source, slot, small, large)
+            written = True
     _settle(source, slot, small, found)
     return {n: [_between(found[n], at) for at in held] if held else [None] * len(probs) for n, held in places.items()}
 
@@ -90,18 +107,36 @@ def _between(found: Mapping[int, float], at: float) -> float:
     return a if a == b else (1 - part) * a + part * b
 
 
+def _picked(source: DataFrame, slot, brackets: Sequence[_Bracket]) -> DataFrame:
+    """The values inside each interval as rows ``(k, x)``, ``k`` its place in the list."""
+    picks = [
+        F.when(b.holds(x), F.struct(F.lit(k).alias("k"), x.alias("x")))
+        for k, b in enumerate(brackets)
+        for x in [b.value(slot)]
+    ]
+    return source.select(F.inline(F.array_compact(F.array(*picks))))
+
+
+def _write_out(source: DataFrame, slot, small: Sequence[_Bracket], large: Sequence[_Bracket]):
+    """The values inside all intervals as a table of its own, and the intervals over that table."""
+    brackets = [*small, *large]
+    table = settle(_picked(source, slot, brackets))
+    moved = [replace(b, home=k, base=b.below) for k, b in enumerate(brackets)]
+    return table, moved[: len(small)], moved[len(small) :]
+
+
 def _narrow(source: DataFrame, slot, brackets: Sequence[_Bracket], found) -> list[_Bracket]:
     """One sketch pass and one counting pass; every interval loses its two marks at least."""
     margin = 2.0 / SKETCH_ACCURACY
     sketches = []
     for k, b in enumerate(brackets):
-        x, span = F.col(slot[b.name]), max(b.inside - 1, 1)
+        x, span = b.value(slot), max(b.inside - 1, 1)
         marks = [max((b.ranks[0] - b.below) / span - margin, 0.0), min((b.ranks[-1] - b.below) / span + margin, 1.0)]
         sketches.append(F.percentile_approx(F.when(b.holds(x), x), marks, SKETCH_ACCURACY).alias(f"b{k}"))
     drawn = source.agg(*sketches).first()
     tallies = []
     for k, b in enumerate(brackets):
-        x, (low, high) = F.col(slot[b.name]), drawn[k]
+        x, (low, high) = b.value(slot), drawn[k]
         tallies += [
             F.count_if(test).alias(f"{label}{k}")
             for label, test in (("a", x < low), ("b", x <= low), ("c", x < high), ("d", x <= high))
@@ -110,33 +145,29 @@ def _narrow(source: DataFrame, slot, brackets: Sequence[_Bracket], found) -> lis
     out: dict[tuple, list[int]] = {}
     for k, b in enumerate(brackets):
         low, high = drawn[k]
-        under, upto, before, through = (tally[f"{label}{k}"] for label in "abcd")
+        under, upto, before, through = (b.base + tally[f"{label}{k}"] for label in "abcd")
         for r in b.ranks:
             if r < under:
-                place = (b.name, b.low, low, b.below, under - b.below)
+                place = (b.name, b.low, low, b.below, under - b.below, b.home, b.base)
             elif r < upto:
                 found[b.name][r] = low
                 continue
             elif r < before:
-                place = (b.name, low, high, upto, before - upto)
+                place = (b.name, low, high, upto, before - upto, b.home, b.base)
             elif r < through:
                 found[b.name][r] = high
                 continue
             else:
-                place = (b.name, high, b.high, through, b.below + b.inside - through)
+                place = (b.name, high, b.high, through, b.below + b.inside - through, b.home, b.base)
             out.setdefault(place, []).append(r)
-    return [_Bracket(*place, tuple(ranks)) for place, ranks in out.items()]
+    return [_Bracket(*place[:5], tuple(ranks), *place[5:]) for place, ranks in out.items()]
 
 
 def _settle(source: DataFrame, slot, brackets: Sequence[_Bracket], found) -> None:
     """Count the values inside small intervals and read the ranks off."""
     if not brackets:
         return
-    picks = [
-        F.when(b.holds(F.col(slot[b.name])), F.struct(F.lit(k).alias("k"), F.col(slot[b.name]).alias("x")))
-        for k, b in enumerate(brackets)
-    ]
-    counted = source.select(F.inline(F.array_compact(F.array(*picks)))).groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
+    counted = _picked(source, slot, brackets).groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)  # BRACKET_ROWS at most
     wanted = F.array(*[F.array(*[F.lit(r - b.below) for r in b.ranks]) for b in brackets])
     upto, n = F.col("upto"), F.col("n")

@@ -32,6 +32,19 @@ def test_narrowing_is_exact(spark, values):
     assert np.allclose(got, np.quantile(values, probs), rtol=1e-12, atol=1e-9)
 
 
+def test_quantiles_read_the_source_three_times_at_most(spark, monkeypatch):
+    reads, real = [], quantiles._narrow
+    monkeypatch.setattr(quantiles, "BRACKET_ROWS", 20)
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 20)
+    monkeypatch.setattr(quantiles, "_narrow", lambda source, *more: reads.append(source.columns) or real(source, *more))
+    df = spark.range(0, 20_000, 1, 4).select(((F.col("id") * 7919) % 20_011).cast("double").alias("x"), F.col("id").alias("y"))
+    held = df.toPandas()
+    got = quantiles.quantiles(df, {"x": F.col("x"), "y": F.col("y")}, (0.25, 0.5, 0.751))
+    for n, found in got.items():
+        assert found == pytest.approx([held[n].quantile(p) for p in (0.25, 0.5, 0.751)], rel=1e-13)
+    assert reads[0] == ["x0", "x1"] and len(reads) > 2 and all(r == ["k", "x"] for r in reads[1:])
+
+
 def test_narrowing_with_a_hot_value_and_nulls(spark):
     df = spark.range(9000).select(
         F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 11 != 0, F.col("id").cast("double")).alias("x"),

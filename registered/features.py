@@ -13,6 +13,7 @@ from tabulon.operators import selection, split
 from tabulon.operators.encoders import CategoryEncoder, HashEncoder, category_counts, encoding_routes
 from tabulon.operators.engineering import FeatureEngineer
 from tabulon.operators.imputers import ConstantImputer, MedianImputer
+from tabulon.operators.normality import normality
 from tabulon.operators.outliers import OutlierClipper
 from tabulon.operators.scalers import MINMAX, ROBUST, STANDARD, AutoScaler, scaling_report
 from tabulon.plans.preparation import prepare
@@ -108,6 +109,60 @@ def m04_events(spark, sf):
     return rounded(scaling_report(v.table(spark, sf, "events"), ["value", "user_id"]), 4)
 
 
+def _rank_sql(source, columns):
+    """Every row ranked by itself, and its score from a rational approximation of the normal quantile."""
+    def quantile(p):
+        tail = lambda q: (
+            f"(((((-7.784894002430293e-03*{q}-3.223964580411365e-01)*{q}-2.400758277161838)*{q}-2.549732539343734)*{q}"
+            f"+4.374664141464968)*{q}+2.938163982698783)/((((7.784695709041462e-03*{q}+3.224671290700398e-01)*{q}"
+            f"+2.445134137142996)*{q}+3.754408661907416)*{q}+1)"
+        )
+        r = f"(({p}-0.5)*({p}-0.5))"
+        return (
+            f"CASE WHEN {p} < 0.02425 THEN {tail(f'sqrt(-2*ln({p}))')} WHEN {p} > 0.97575 THEN -{tail(f'sqrt(-2*ln(1-{p}))')} ELSE "
+            f"({p}-0.5)*(((((-39.69683028665376*{r}+220.9460984245205)*{r}-275.9285104469687)*{r}+138.3577518672690)*{r}"
+            f"-30.66479806614716)*{r}+2.506628277459239)/(((((-54.47609879822406*{r}+161.5858368580409)*{r}-155.6989798598866)*{r}"
+            f"+66.80131188771972)*{r}-13.28068155288572)*{r}+1) END"
+        )
+
+    def of(k, c):
+        return f"""SELECT CAST({k} AS INTEGER) AS ordinal, '{c}' AS "column", max(n) AS n,
+            round(pow(sum((x - mean) * z), 2) / (max(n) * max(v) * sum(z * z)), 4) AS statistic,
+            pow(sum((x - mean) * z), 2) / (max(n) * max(v) * sum(z * z)) >= 1 - exp(-1.2725 + 1.0521 * (max(b) - max(a))
+                + 1.6448536269514722 * (1.0308 - 0.26758 * (max(b) + 2 / max(a)))) AS normal
+            FROM (SELECT x, mean, v, n, a, ln(a) AS b, {quantile('p')} AS z
+                FROM (SELECT x, mean, v, n, ln(least(n, 5000)) AS a, (r - 0.375) / (n + 0.25) AS p
+                    FROM (SELECT CAST({c} AS DOUBLE) AS x, row_number() OVER (ORDER BY {c}) AS r, avg({c}) OVER () AS mean,
+                        var_pop({c}) OVER () AS v, count(*) OVER () AS n FROM {source} WHERE {c} IS NOT NULL)))"""
+
+    return "\nUNION ALL\n".join(of(k, c) for k, c in columns)
+
+
+def _peaks(spark, sf):
+    """Beside real columns, a sum of twelve digests (near normal) and the same with its halves pushed apart."""
+    near = sum((F.conv(F.substring(F.md5(F.col("l_rowid")), 2 * k + 1, 2), 16, 10).cast("double") for k in range(12)), F.lit(0.0))
+    rows = v.table(spark, sf, "lineitem").withColumn(
+        "l_rowid", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    )
+    return rows.select("l_quantity", "l_extendedprice", near.alias("near")).withColumn(
+        "peaks", F.when(F.col("near") > 1530, F.col("near") + 1000).otherwise(F.col("near") - 1000)
+    )
+
+
+_SQL_PEAKS = (
+    "(SELECT *, CASE WHEN near > 1530 THEN near + 1000 ELSE near - 1000 END AS peaks FROM (SELECT l_quantity, l_extendedprice, "
+    + " + ".join(f"CAST(('0x' || substr(h, {2 * k + 1}, 2))::INTEGER AS DOUBLE)" for k in range(12))
+    + " AS near FROM (SELECT *, md5(concat_ws('-', l_orderkey, l_partkey, l_suppkey, CAST(l_quantity AS VARCHAR))) AS h FROM lineitem)))"
+)
+_PEAK_COLUMNS = list(enumerate(["l_quantity", "l_extendedprice", "near", "peaks"]))
+
+
+@register("m04_normality_by_ranks", _rank_sql(_SQL_PEAKS, _PEAK_COLUMNS))
+def m04_ranks(spark, sf):
+    found = normality(_peaks(spark, sf), [n for _, n in _PEAK_COLUMNS])
+    return found.select("ordinal", "column", "n", F.round("statistic", 4).alias("statistic"), "normal")
+
+
 def _scaled(spark, sf, method):
     df = v.table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.lit(3.0).alias("same"))
     return rounded(AutoScaler(inputCols=["c_acctbal", "same"], method=method).fit(df).transform(df))

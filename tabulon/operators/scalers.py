@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.coercion import number_of, outside
+from tabulon.operators.normality import normal_limit, rank_statistics
 from tabulon.operators.quantiles import quantiles
 from tabulon.operators.stages import ColumnStage, FittedColumns, declare
 from tabulon.session import small_table
 
 STANDARD, MINMAX, ROBUST = "StandardScaler", "MinMaxScaler", "RobustScaler"
 
+SKEWNESS, RANKS = "skewness", "ranks"
+"""How a column counts as normal: by its skewness alone, or by its ordered values as well."""
+
 NORMAL_SKEW = 1.0
 """A column counts as normal, whatever its size, if its skewness is smaller than this."""
 
@@ -32,11 +36,16 @@ def _choose(n: int, outlier_pct: float, low: float, high: float, normal: bool) -
     return STANDARD if normal else ROBUST
 
 
-def scaling_table(df: DataFrame, columns: Sequence[str], method: str | None = None) -> list[dict]:
+def scaling_table(
+    df: DataFrame, columns: Sequence[str], method: str | None = None, normality: str = SKEWNESS
+) -> list[dict]:
     """Method, centre and scale per column; ``method`` forces one for all.
 
-    Deviations are population ones, and a spread of zero counts as one.
+    Deviations are population ones, and a spread of zero counts as one.  With ``normality``
+    set to ``ranks``, columns that their skewness lets pass are ranked, if it matters to the choice.
     """
+    if normality not in (SKEWNESS, RANKS):
+        raise ValueError(f"normality is {SKEWNESS} or {RANKS}, not {normality}")
     values = {n: number_of(df, n) for n in columns}
     if not values:
         return []
@@ -55,6 +64,17 @@ def scaling_table(df: DataFrame, columns: Sequence[str], method: str | None = No
         ],
     ).first().asDict()
     normal = {n: (skew := facts[f"skewness{k}"]) is not None and abs(skew) < NORMAL_SKEW for k, n in enumerate(values)}
+    if normality == RANKS and not method:
+        known = {n: (facts[f"count{k}"], facts[f"avg{k}"], facts[f"stddev_pop{k}"]) for k, n in enumerate(values)}
+        asked = {
+            n: x
+            for k, (n, x) in enumerate(values.items())
+            if normal[n]
+            and _choose(known[n][0], beyond.get(f"o{k}", 0) / known[n][0] * 100, facts[f"min{k}"], facts[f"max{k}"], False)
+            != _choose(known[n][0], beyond.get(f"o{k}", 0) / known[n][0] * 100, facts[f"min{k}"], facts[f"max{k}"], True)
+        }
+        for n, w in rank_statistics(df, asked, known).items():
+            normal[n] = w is not None and w >= normal_limit(known[n][0])
     out = []
     for k, n in enumerate(values):
         count, low, high = facts[f"count{k}"], facts[f"min{k}"], facts[f"max{k}"]
@@ -74,8 +94,10 @@ def scaling_table(df: DataFrame, columns: Sequence[str], method: str | None = No
     return out
 
 
-def scaling_report(df: DataFrame, columns: Sequence[str], method: str | None = None) -> DataFrame:
-    return small_table(df.sparkSession, scaling_table(df, columns, method), SCALING_SCHEMA)
+def scaling_report(
+    df: DataFrame, columns: Sequence[str], method: str | None = None, normality: str = SKEWNESS
+) -> DataFrame:
+    return small_table(df.sparkSession, scaling_table(df, columns, method, normality), SCALING_SCHEMA)
 
 
 class FittedScaler(FittedColumns):
@@ -92,12 +114,14 @@ class AutoScaler(ColumnStage, Estimator):
     """Standard, min-max or robust scaling, picked per column unless ``method`` is set."""
 
     method = declare("method", "force one method, empty to choose per column")
+    normality = declare("normality", "skewness or ranks: how a column counts as normal")
 
     @keyword_only
-    def __init__(self, *, inputCols=None, method=""):
+    def __init__(self, *, inputCols=None, method="", normality=SKEWNESS):
         super().__init__()
-        self._setDefault(method="")
+        self._setDefault(method="", normality=SKEWNESS)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> FittedScaler:
-        return FittedScaler.of(records=scaling_table(df, self.columns(), self.getOrDefault("method") or None))
+        chosen, rule = self.getOrDefault("method") or None, self.getOrDefault("normality")
+        return FittedScaler.of(records=scaling_table(df, self.columns(), chosen, rule))

@@ -114,3 +114,41 @@ def test_stored_trees_score_the_same(spark, tmp_path):
     model.write().overwrite().save(str(tmp_path / "m"))
     again = boosting.FittedBooster.load(str(tmp_path / "m"))
     assert [r["prediction"] for r in again.transform(df).collect()] == [r["prediction"] for r in model.transform(df).collect()]
+
+
+@pytest.mark.parametrize("kind", [LEVEL, LEAF, EVEN])
+def test_the_rows_of_a_model_give_the_trees_of_plain_sums(kind):
+    draw = np.random.default_rng(5)
+    cells = np.array([draw.integers(0, n, 500) for n in (40, 2, 2, 3, 1, 12)]).astype(np.uint8)
+    borders = [np.arange(n - 1.0) for n in (40, 2, 2, 3, 1, 12)]
+    labels = (cells[0] > 20) * 2.0 + (cells[1] == cells[2]) + cells[5] / 7
+    growth = Growth(kind=kind, depth=4, leaves=9, ridge=1.0, step=0.5)
+    mine, line = np.zeros((1, 500)), np.zeros(500)
+    part = boosting._Rows(labels, np.zeros(500, np.int8), cells, mine, borders)
+    for turn in range(4):
+        tree = boosting.Tree(growth)
+        while wanted := tree.wanted():
+            total = np.zeros((len(wanted), 6, growth.bins, 3))
+            boosting._add_rows(total, tree.shape(), wanted, cells, line - labels, np.ones(500))
+            for node, cut in zip(wanted, best_cuts(total, growth)):
+                tree.learn(node, dict(zip(boosting._CUT_NAMES, cut)))
+        done = tree.finish()
+        line += done["value"][boosting._route((done["feature"], None, done["left"], done["right"]), cells, done["bin"])]
+        [row] = part.turn(turn, 0, 0, boosting.REGRESSION, growth)
+        got = {n: np.frombuffer(row[3 + k], t) for k, (n, t) in enumerate(boosting._ARRAYS.items())}
+        for n in ("feature", "bin", "left", "right"):
+            assert got[n].tolist() == done[n].tolist()
+        assert got["value"] == pytest.approx(done["value"])
+        assert mine[0] == pytest.approx(line)
+
+
+def test_models_of_one_block_are_tasks_of_their_own(spark):
+    """They met in one task before, as their rows are few."""
+    df = _table(spark, _rows(90, lambda v: v[0] * 2 - v[1]))
+    booster = Booster(Growth(rounds=2))
+    held = df.select("label", "fold", F.col("features").alias("f"))
+    made = []
+    gathered = booster._gathered
+    booster._gathered = lambda grown, models: made.append(grown.rdd.getNumPartitions()) or gathered(grown, models)
+    assert len(booster.fit_folds(held.withColumnRenamed("f", "features"), 3)) == 4
+    assert made == [4]

@@ -18,6 +18,7 @@ replaced.
 
 from __future__ import annotations
 
+import copy
 import functools
 import json
 from array import array
@@ -35,10 +36,13 @@ from tabulon.llm.common import extend
 # Fixed value: the published pattern that splits a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 MEMO_LENGTH = 64
 PAIR_ENTRIES = 500_000
 
+JOINED_IDS = 1 << 16
+"""Ids decoded at once; a byte of text takes some 30 bytes meanwhile."""
+
 
 def byte_letters() -> dict[str, int]:
     """The printable stand-in of each byte in a byte-level vocabulary."""
@@ -81,7 +85,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Exact encoder over one vocabulary; holds bounded memos, so one serves a task."""
+    """Exact encoder over one vocabulary; holds bounded memos, so one serves a task (``for_task``)."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.tokens = vocabulary.tokens
@@ -103,6 +107,12 @@ class Encoder:
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
+    def for_task(self) -> Encoder:
+        """The same tables with memos of their own, which go when the task ends; idle workers keep no texts."""
+        own = copy.copy(self)
+        own.inner, own.first = {}, {}
+        return own
+
     def fits(self, a: int, b: int) -> bool:
         """Whether the two tokens, side by side, are what their bytes encode to."""
         known = self.pairs.get(a << 20 | b)
@@ -221,8 +231,13 @@ class Decoder:
         safe = np.where(known, ids, 0)
         lengths = np.where(known, self.offsets[safe + 1] - self.offsets[safe], 0)
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        take = np.repeat(self.offsets[safe] - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.bytes[take], ends[rows]
+        joined = np.empty(ends[-1], np.uint8)
+        for k in range(0, len(ids), JOINED_IDS):
+            some = slice(k, k + JOINED_IDS)
+            first, last = ends[k], ends[min(k + JOINED_IDS, len(ids))]
+            take = np.repeat(self.offsets[safe[some]] - ends[:-1][some], lengths[some]) + np.arange(first, last)
+            joined[first:last] = self.bytes[take]
+        return joined, ends[rows]
 
 
 _HELD: dict = {}
@@ -284,7 +299,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     shared = broadcast_vocabulary(df, path)
 
     def begin():
-        encoder = _held(Encoder, shared)
+        encoder = _held(Encoder, shared).for_task()
         return lambda column: [_lists(*_encoded(encoder, column))]
 
     return extend(df, T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), begin, [text])
@@ -295,7 +310,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     shared = broadcast_vocabulary(df, path)
 
     def begin():
-        encoder, decoder = _held(Encoder, shared), _held(Decoder, shared)
+        encoder, decoder = _held(Encoder, shared).for_task(), _held(Decoder, shared)
 
         def work(column):
             made, rows = _encoded(encoder, column)
@@ -312,7 +327,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", tokens: str = "n_
     shared = broadcast_vocabulary(df, path)
 
     def begin():
-        encoder = _held(Encoder, shared)
+        encoder = _held(Encoder, shared).for_task()
         return lambda column: [pa.array([len(encoder.packed(x)) // 4 for x in _texts(column)], pa.int64())]
 
     return extend(df, T.StructType([T.StructField(tokens, T.LongType())]), begin, [text])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import pytest
 from helpers import AWKWARD, components, hits, plain, secrets
@@ -47,6 +48,24 @@ def test_memo_overflow_changes_nothing(encoder, reference, monkeypatch):
     assert ids_of(encoder, text) == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_a_task_has_memos_of_its_own(encoder, reference):
+    before, text = (len(encoder.inner), len(encoder.first)), "memos of finished tasks stay in no idle worker"
+    assert ids_of(own := encoder.for_task(), text) == reference.encode(text, add_special_tokens=False).ids
+    assert own.inner and (len(encoder.inner), len(encoder.first)) == before and own.automaton is encoder.automaton
+
+
+def test_decoding_holds_little_beside_the_texts(encoder):
+    decoder = bpe.Decoder(bpe.Vocabulary(vocabulary()))
+    ids = bpe.np.tile(bpe.np.arange(1000, 2000), 1000)
+    tracemalloc.start()
+    joined, places = decoder.join(ids, bpe.np.array([0, 300_000, len(ids)]))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    some, _ = decoder.join(ids[:1000], bpe.np.array([0, 1000]))
+    assert joined.tobytes() == some.tobytes() * 1000 and places.tolist() == [0, 300 * len(some), len(joined)]
+    assert most < 60 * len(ids)
+
+
 def test_encode_and_decode_awkward_rows(spark, reference):
     docs = spark.createDataFrame([(d, t, "kept", 7) for d, t in AWKWARD + AWKWARD[:5]], SCHEMA + ", IDS string, other int")
     out = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary()).collect()

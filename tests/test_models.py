@@ -1,11 +1,14 @@
 """Preparation, training, stored models, prediction and streaming."""
 
+import threading
+
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from registered import views as v
+from tabulon.operators.least_squares import LeastSquares
 from tabulon.plans import mixed, prediction, training
 from tabulon.plans.preparation import class_labels, numeric_label, prepare
 from tabulon.plans.quality import quality_report
@@ -86,6 +89,19 @@ def test_importance(spark, trained):
     assert {r["feature"] for r in unnamed} == {f"feature_{k}" for k in range(len(table))}
 
 
+def test_candidates_are_fitted_side_by_side_and_keep_their_order(trained):
+    made, _ = trained
+    met = threading.Barrier(2)
+
+    def waiting(*_):
+        met.wait(60)  # the other candidate has begun, too
+        return LeastSquares()
+
+    done = training.train_models(made, 3, makers={"b": waiting, "a": waiting})
+    assert [r["model_name"] for r in done.leaderboard.collect()] == ["b", "a"] and done.errors.count() == 0
+    assert done.best_name == "b"
+
+
 def test_classes_come_back_as_text(spark, parts):
     made = prepare(parts.withColumn("kind", F.when(F.col("p_size") > 25, "large").otherwise("small")), "kind", key=["p_partkey"])
     assert made.problem_type == "classification" and made.labels == ["large", "small"]

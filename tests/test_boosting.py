@@ -69,6 +69,18 @@ def test_shapes_learn_and_blocks_agree(spark, monkeypatch, kind, classes):
     assert top[0] + top[1] > 0.5 and top[3] < 0.05 and abs(top.sum() - 1) < 1e-9
 
 
+def test_a_few_blocks_are_grown_by_a_task_per_model(spark, monkeypatch):
+    df = _table(spark, _rows(300, lambda v: v[0] - v[1]))
+    growth = Growth(rounds=3)
+    whole = Booster(growth).fit_folds(df, 3)
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 400)  # 1,200 cells, in several partitions
+    monkeypatch.setattr(Booster, "_level_by_level", None)
+    again = Booster(growth).fit_folds(df.repartition(4), 3)
+    for a, b in zip(whole, again):
+        got = [[r["prediction"] for r in m.transform(df).select("prediction").collect()] for m in (a, b)]
+        assert got[0] == pytest.approx(got[1])
+
+
 def test_best_leaf_growth_equals_a_search_one_by_one():
     draw = np.random.default_rng(2)
     cells = draw.integers(0, 16, (5, 400)).astype(np.uint8)

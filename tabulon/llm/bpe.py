@@ -21,6 +21,7 @@ from __future__ import annotations
 import copy
 import functools
 import json
+import pickle
 from array import array
 from collections.abc import Callable, Iterable
 
@@ -31,12 +32,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tabulon.llm.common import extend
+from tabulon.llm.common import binaries, extend, numbers
 
 # Fixed value: the published pattern that splits a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 MEMO_LENGTH = 64
 PAIR_ENTRIES = 500_000
 
@@ -85,7 +86,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Exact encoder over one vocabulary; holds bounded memos, so one serves a task (``for_task``)."""
+    """Exact encoder over one vocabulary; holds bounded memos, so one serves a task."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.tokens = vocabulary.tokens
@@ -108,7 +109,7 @@ class Encoder:
         self.first: dict[str, bytes] = {}
 
     def for_task(self) -> Encoder:
-        """The same tables with memos of their own, which go when the task ends; idle workers keep no texts."""
+        """The same tables with memos of their own, for who keeps tables between tasks."""
         own = copy.copy(self)
         own.inner, own.first = {}, {}
         return own
@@ -240,26 +241,20 @@ class Decoder:
         return joined, ends[rows]
 
 
-_HELD: dict = {}
-
-
-def _held(kind: type, shared) -> Encoder | Decoder:
-    """One table per worker process and vocabulary, kept between tasks."""
-    key = (kind.__name__, shared.value.origin)
-    if key not in _HELD:
-        _HELD[key] = kind(shared.value)
-    return _HELD[key]
+def _tables(shared, *kinds: type) -> list[Encoder | Decoder]:
+    """Tables for one task, which go with it: idle workers wait beside busy ones, and building them takes a tenth of a second."""
+    vocabulary = pickle.loads(shared.value)
+    return [kind(vocabulary) for kind in kinds]
 
 
 @functools.lru_cache(maxsize=1)
-def read_vocabulary(path: str) -> Vocabulary:
-    vocabulary = Vocabulary(path)
-    vocabulary.origin = path
-    return vocabulary
+def packed_vocabulary(path: str) -> bytes:
+    """Pickled, 1.3 MB: a worker keeps what is broadcast, and the vocabulary itself is many times as large."""
+    return pickle.dumps(Vocabulary(path))
 
 
 def broadcast_vocabulary(df: DataFrame, path: str):
-    return df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    return df.sparkSession.sparkContext.broadcast(packed_vocabulary(path))
 
 
 def _texts(column: pa.Array) -> Iterable[str]:
@@ -277,7 +272,7 @@ def _encoded(encoder: Encoder, column: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 
 def _lists(ids: np.ndarray, rows: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))
+    return pa.ListArray.from_arrays(numbers(rows, np.int32), numbers(ids, np.int32))
 
 
 def _decoded(decoder: Decoder, ids: np.ndarray, rows: np.ndarray) -> pa.Array:
@@ -288,9 +283,8 @@ def _decoded(decoder: Decoder, ids: np.ndarray, rows: np.ndarray) -> pa.Array:
     try:
         held.validate(full=True)
     except pa.ArrowInvalid:
-        return pa.array(
-            [joined[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(places, places[1:])], pa.string()
-        )
+        texts = [joined[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(places, places[1:])]
+        return binaries([x.encode() for x in texts], pa.string())
     return held
 
 
@@ -299,7 +293,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     shared = broadcast_vocabulary(df, path)
 
     def begin():
-        encoder = _held(Encoder, shared).for_task()
+        [encoder] = _tables(shared, Encoder)
         return lambda column: [_lists(*_encoded(encoder, column))]
 
     return extend(df, T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), begin, [text])
@@ -310,7 +304,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     shared = broadcast_vocabulary(df, path)
 
     def begin():
-        encoder, decoder = _held(Encoder, shared).for_task(), _held(Decoder, shared)
+        encoder, decoder = _tables(shared, Encoder, Decoder)
 
         def work(column):
             made, rows = _encoded(encoder, column)
@@ -327,8 +321,8 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", tokens: str = "n_
     shared = broadcast_vocabulary(df, path)
 
     def begin():
-        encoder = _held(Encoder, shared).for_task()
-        return lambda column: [pa.array([len(encoder.packed(x)) // 4 for x in _texts(column)], pa.int64())]
+        [encoder] = _tables(shared, Encoder)
+        return lambda column: [numbers([len(encoder.packed(x)) // 4 for x in _texts(column)])]
 
     return extend(df, T.StructType([T.StructField(tokens, T.LongType())]), begin, [text])
 
@@ -338,7 +332,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     shared = broadcast_vocabulary(df, path)
 
     def begin():
-        decoder = _held(Decoder, shared)
+        [decoder] = _tables(shared, Decoder)
 
         def work(column):
             lists = column.fill_null([]) if column.null_count else column

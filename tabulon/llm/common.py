@@ -69,6 +69,39 @@ def _place(df: DataFrame, name: str) -> int:
     raise ValueError(f"no column {name}; there are {', '.join(df.columns)}")
 
 
+# Arrow arrays from buffers: ``pa.array`` loads pandas, some 25 MB in every worker of every executor.
+
+
+def numbers(values: Sequence | np.ndarray, kind: type = np.int64) -> pa.Array:
+    """An array of numbers without nulls."""
+    held = np.ascontiguousarray(values, kind)
+    return pa.Array.from_buffers(pa.from_numpy_dtype(held.dtype), len(held), [None, pa.py_buffer(held)])
+
+
+def binaries(values: Sequence[bytes | None], kind: pa.DataType = pa.binary()) -> pa.Array:
+    """An array of bytes, or of texts given as UTF-8; None is null."""
+    ends = _ends([len(x or b"") for x in values])
+    joined = b"".join([x or b"" for x in values])
+    return pa.Array.from_buffers(kind, len(values), [_valid([x is not None for x in values]), ends, pa.py_buffer(joined)])
+
+
+def lists(lengths: Sequence[int | None], values: pa.Array) -> pa.Array:
+    """An array of lists of so many values each; None is null."""
+    ends, valid = _ends([n or 0 for n in lengths]), _valid([n is not None for n in lengths])
+    return pa.Array.from_buffers(pa.list_(values.type), len(lengths), [valid, ends], children=[values])
+
+
+def _ends(lengths: Sequence[int]) -> pa.Buffer:
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise ValueError("the values of one batch take more than 2 GB")
+    return pa.py_buffer(ends.astype(np.int32))
+
+
+def _valid(known: Sequence[bool]) -> pa.Buffer | None:
+    return None if all(known) else pa.py_buffer(np.packbits(np.array(known, bool), bitorder="little"))
+
+
 def content_keys(text: str) -> list[Column]:
     """Two hashes, ``k1`` and ``k2``, that name a content; null reads as empty."""
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import byte_classes, extend, texts_of
+from tabulon.llm.common import binaries, byte_classes, extend, lists, numbers, texts_of
 from tabulon.session import settle
 
 WIDTH = 13
@@ -212,12 +212,13 @@ def _one_pass(docs: DataFrame, automaton: ItemAutomaton, text: str, more: bool)
                     marked = _union(marked + [(s["start"], s["end"]) for s in spans_before[k]])
                     names |= set(items_before[k])
                 counts.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in marked])
+                spans.append(marked)
                 items.append(sorted(names))
+            borders = [[span[k] for x in spans for span in x] for k in (0, 1)]
             return [
-                pa.array(counts, pa.int64()),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array(items, pa.list_(pa.string())),
+                numbers(counts),
+                lists([len(x) for x in spans], pa.StructArray.from_arrays([numbers(side) for side in borders], names=["start", "end"])),
+                lists([len(x) for x in items], binaries([n.encode() for x in items for n in x], pa.string())),
             ]
 
         return work
@@ -258,7 +259,7 @@ def without_spans(docs: DataFrame, text: str = "text", longest: int = 1) -> Data
             for x, marked in zip(column.cast(pa.binary()).to_pylist(), spans.to_pylist()):
                 marked = [s for s in marked or [] if s["end"] - s["start"] >= longest]
                 out.append(x if x is None or not marked else _cut(x, marked))
-            return [pa.array(out, pa.binary()).cast(pa.string())]
+            return [binaries(out).cast(pa.string())]
 
         return work
 

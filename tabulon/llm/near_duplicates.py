@@ -35,7 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import content_keys, extend, likely, marked_likely, mixed, shingle_set, texts_of, word_hashes
+from tabulon.llm.common import (
+    binaries,
+    content_keys,
+    extend,
+    likely,
+    lists,
+    marked_likely,
+    mixed,
+    numbers,
+    shingle_set,
+    texts_of,
+    word_hashes,
+)
 from tabulon.llm.graph import components
 from tabulon.session import settle
 
@@ -91,6 +103,7 @@ def signatures(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
 
     def begin():
         factors, shifts = permutations(PERMUTATIONS)
+        none = np.zeros(0, np.int64)
 
         def work(column):
             sizes, digests, bands, signed = [], [], [], []
@@ -106,10 +119,10 @@ def signatures(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
                 bands.append(band_keys(made, BAND).view(np.int64))
                 signed.append(mixed(made).astype(np.uint8).tobytes())
             return [
-                pa.array(sizes, pa.int64()),
-                pa.array(digests, pa.binary()),
-                pa.array(bands, pa.list_(pa.int64())),
-                pa.array(signed, pa.binary()),
+                numbers(sizes),
+                binaries(digests),
+                lists([None if b is None else len(b) for b in bands], numbers(np.concatenate([none, *[b for b in bands if b is not None]]))),
+                binaries(signed),
             ]
 
         return work
@@ -144,8 +157,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
             for c in ("left", "right")
         )
-        good = pa.array((left == right).mean(axis=1) >= SIGNATURE_SHARE)
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], names=["a", "b"])
+        good = numbers(np.flatnonzero((left == right).mean(axis=1) >= SIGNATURE_SHARE))
+        yield pa.RecordBatch.from_arrays([b.column("a").take(good), b.column("b").take(good)], names=["a", "b"])
 
 
 def confirmed_links(texts: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -175,7 +188,7 @@ def confirmed_links(texts: DataFrame, clusters: DataFrame) -> DataFrame:
 def _sets():
     def work(column):
         sets = [shingle_set(word_hashes(x, "spaced"), SHINGLE).tobytes() for x in texts_of(column)]
-        return [pa.array(sets, pa.binary()), pa.array([_digest(s) for s in sets], pa.binary())]
+        return [binaries(sets), binaries([_digest(s) for s in sets])]
 
     return work
 
@@ -222,7 +235,7 @@ def _compare(group: pa.Table) -> pa.Table:
             if x != y:
                 root[x] = y
                 links.append((ids[i], ids[j]))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+    return pa.Table.from_arrays([numbers([x for x, _ in links]), numbers([y for _, y in links])], names=["a", "b"])
 
 
 def judged(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

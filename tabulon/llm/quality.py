@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import extend, mixed, texts_of, word_hashes
+from tabulon.llm.common import binaries, extend, mixed, numbers, texts_of, word_hashes
 
 SAMPLE_DOCS = 3000
 BUCKETS = 1 << 16
@@ -129,8 +129,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -
         def work(column):
             made = [np.unique(buckets_of(x), return_counts=True) for x in texts_of(column)]
             return [
-                pa.array([r.astype(np.int32).tobytes() for r, _ in made], pa.binary()),
-                pa.array([c.astype(np.float32).tobytes() for _, c in made], pa.binary()),
+                binaries([r.astype(np.int32).tobytes() for r, _ in made]),
+                binaries([c.astype(np.float32).tobytes() for _, c in made]),
             ]
 
         return work
@@ -149,7 +149,7 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ]
     examples.sort(key=lambda e: (e[0], e[3], len(e[1])))
     model = fit_embeddings([e[1:] for e in examples])
-    yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "constant": [model.constant]})
+    yield pa.RecordBatch.from_arrays([binaries([model.weights.tobytes()]), numbers([model.constant], np.float64)], names=["weights", "constant"])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
@@ -158,6 +158,6 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> D
 
     def begin():
         fitted = shared.value
-        return lambda column: [pa.array([fitted.score(x) for x in texts_of(column)], pa.float64())]
+        return lambda column: [numbers([fitted.score(x) for x in texts_of(column)], np.float64)]
 
     return extend(docs, T.StructType([T.StructField("score", T.DoubleType())]), begin, [text])

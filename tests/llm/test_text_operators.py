@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 import tracemalloc
+import weakref
+from types import SimpleNamespace
 
 import pytest
 from helpers import AWKWARD, components, hits, plain, secrets
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import tabulon
 from tabulon.llm import bpe, decontamination, lengths, near_duplicates, secret_scan
 from tabulon.llm.registered import vocabulary
 
@@ -66,6 +71,40 @@ def test_decoding_holds_little_beside_the_texts(encoder):
     assert most < 60 * len(ids)
 
 
+def test_tables_go_with_their_task(reference):
+    shared = SimpleNamespace(value=bpe.packed_vocabulary(vocabulary()))
+    encoder, decoder = bpe._tables(shared, bpe.Encoder, bpe.Decoder)
+    text = "what a task has built is freed with it"
+    assert ids_of(encoder, text) == reference.encode(text, add_special_tokens=False).ids
+    left = [weakref.ref(encoder), weakref.ref(decoder)]
+    del encoder, decoder
+    assert [x() for x in left] == [None, None] and len(shared.value) < 2 << 20
+
+
+def test_a_text_worker_loads_no_more_than_it_needs():
+    code = "import sys, tabulon.llm.bpe, tabulon.llm.near_duplicates, tabulon.llm.quality; print(*sys.modules)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=60)
+    assert not {"pandas", "pyspark.ml", "tabulon.plans"} & set(out.stdout.split())
+    assert all(callable(getattr(tabulon, n)) for n in tabulon.__all__) and not hasattr(tabulon, "no_such_name")
+
+
+def test_pipeline_workers_load_no_pandas():
+    code = """if True:
+        import sys
+        from tabulon.llm.common import binaries, lists, np, numbers, pa
+        made = [
+            numbers([]), numbers([1, 2]), numbers([0.5], np.float64), binaries([]), binaries([b"a", None, b""]),
+            binaries(["\u00e9".encode()], pa.string()), lists([], numbers([])), lists([2, None, 0, 1], numbers([7, 8, 9])),
+        ]
+        for x in made:
+            x.validate(full=True)
+        assert "pandas" not in sys.modules
+        print([x.to_pylist() for x in made])
+    """
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60)
+    assert out.stdout.strip() == "[[], [1, 2], [0.5], [], [b'a', None, b''], ['é'], [], [[7, 8], None, [], [9]]]", out.stderr
+
+
 def test_encode_and_decode_awkward_rows(spark, reference):
     docs = spark.createDataFrame([(d, t, "kept", 7) for d, t in AWKWARD + AWKWARD[:5]], SCHEMA + ", IDS string, other int")
     out = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary()).collect()

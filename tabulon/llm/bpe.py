@@ -37,7 +37,7 @@ from tabulon.llm.common import binaries, extend, numbers
 # Fixed value: the published pattern that splits a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 50_000
 MEMO_LENGTH = 64
 PAIR_ENTRIES = 500_000
 

@@ -50,7 +50,7 @@ def remainder(n: int) -> F.Column:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count, and digests of its ids and of the text decoded from them."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(documents, vocabulary()).drop("text"), vocabulary())
+    decoded = bpe.round_trip(documents, vocabulary())
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import tabulon
 from tabulon.llm import bpe, decontamination, lengths, near_duplicates, secret_scan
-from tabulon.llm.registered import vocabulary
+from tabulon.llm.registered import op1_bpe, vocabulary
 
 SCHEMA = "doc_id long, text string"
 
@@ -146,6 +146,11 @@ def test_encode_and_decode_awkward_rows(spark, reference):
     assert bpe.encode(docs.where("false"), vocabulary()).count() == 0
 
 
+def test_op1_passes_ids_between_no_workers(spark, sf):
+    plan = op1_bpe(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_decoding_what_is_no_text(spark):
     docs = spark.createDataFrame([(1, [-1, 64, 99999]), (2, None), (3, [160])], "doc_id long, ids array<int>")
     out = {r["doc_id"]: r["decoded"] for r in bpe.decode(docs, vocabulary()).collect()}

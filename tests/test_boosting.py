@@ -164,3 +164,46 @@ def test_models_of_one_block_are_tasks_of_their_own(spark):
     booster._gathered = lambda grown, models: made.append(grown.rdd.getNumPartitions()) or gathered(grown, models)
     assert len(booster.fit_folds(held.withColumnRenamed("f", "features"), 3)) == 4
     assert made == [4]
+
+
+def test_several_blocks_meet_in_the_task_of_a_model(spark, monkeypatch):
+    """They were one block before, packed by one task, and of half as many rows at most."""
+    df = _table(spark, _rows(3000, lambda v: v[0] - v[1]))
+    growth = Growth(rounds=3, kind=EVEN)
+    whole = Booster(growth).fit_folds(df, 3)
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 2100)  # 2,022 by their bytes, but 6 blocks of rows
+    monkeypatch.setattr(Booster, "_level_by_level", None)
+    again = Booster(growth).fit_folds(df.repartition(4), 3)
+    for a, b in zip(whole, again):
+        got = [[r["prediction"] for r in m.transform(df).select("prediction").collect()] for m in (a, b)]
+        assert got[0] == pytest.approx(got[1])
+
+
+def test_rounding_is_no_gain():
+    """Every row of a node had the same derivatives; what was left of the difference was taken for a gain, and the node cut."""
+    n = np.array([3e6, 7e6, 1.1e7, 5e6])
+    sums = np.stack([n * 0.7, n * 0.1, n], axis=1)[None, None]
+    parts = sums[0, 0]
+    sums[0, 0] = np.nextafter(parts, np.inf)
+    cut = best_cuts(sums, Growth(kind=LEAF, ridge=0.0))[0]
+    assert cut[0] == 0.0
+
+
+@pytest.mark.parametrize("kind", [LEVEL, LEAF, EVEN])
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_scores_are_the_sums_of_the_leaves(spark, monkeypatch, kind, most):
+    monkeypatch.setattr(boosting, "TABLE_CELLS", most)
+    df = _table(spark, _rows(400, lambda v: v[0] * v[1] - v[2]))
+    model = Booster(Growth(rounds=6, kind=kind, depth=4, leaves=9)).fit(df)
+    odd = [[float("nan"), 1.0, 2.0, 3.0], [-1.0, float("inf"), 5.5, 0.0], *[x for _, x in _rows(50, lambda v: 0)]]
+    want = []
+    for x in odd:
+        total = model.state["base"][0]
+        for t in model.trees()[0]:
+            n = 0
+            while t["left"][n] >= 0:
+                n = t["left"][n] if x[t["feature"][n]] <= t["border"][n] else t["right"][n]
+            total += t["value"][n]
+        want.append(total)
+    got = model.transform(_table(spark, [(0.0, x) for x in odd]))
+    assert [r["prediction"] for r in got.collect()] == pytest.approx(want)

@@ -179,6 +179,31 @@ def test_several_blocks_meet_in_the_task_of_a_model(spark, monkeypatch):
         assert got[0] == pytest.approx(got[1])
 
 
+@pytest.mark.parametrize("growth", [Growth(8, 0.3, LEVEL, least_hessian=1.0), Growth(8, 0.1, LEAF, ridge=0.0, least_rows=5), Growth(8, 0.3, EVEN)])
+@pytest.mark.parametrize("classes", [2, 3])
+def test_cells_that_few_cuts_make_give_the_trees_of_the_rows(spark, monkeypatch, growth, classes):
+    df = _table(spark, _rows(900, lambda v: (v[0] > 3) + (v[0] > 8 and classes == 3))).cache()
+    rows = Booster(growth, classes).fit_folds(df, 3)
+    monkeypatch.setattr(boosting, "MANY_ROWS", 100)
+    monkeypatch.setattr(Booster, "_in_one_block", None)
+    cells = Booster(growth, classes).fit_folds(df.repartition(3), 3)
+    for a, b in zip(rows, cells):
+        for one, other in zip(sum(a.trees(), []), sum(b.trees(), [])):
+            assert one["feature"].tolist() == other["feature"].tolist() and one["border"].tolist() == other["border"].tolist()
+            assert one["value"] == pytest.approx(other["value"])
+
+
+def test_too_many_cells_are_grown_from_rows(spark, monkeypatch):
+    df = _table(spark, _rows(600, lambda v: int(v[0] + v[1] + v[2]) % 3))
+    growth = Growth(4, 0.3, LEAF, leaves=8)
+    rows = Booster(growth, 3).fit_folds(df, 3)
+    monkeypatch.setattr(boosting, "MANY_ROWS", 100)
+    monkeypatch.setattr(boosting, "MOST_COUNTS", 5_000)
+    again = Booster(growth, 3).fit_folds(df, 3)
+    got = [[r["prediction"] for r in m.transform(df).select("prediction").collect()] for m in (rows[3], again[3])]
+    assert got[0] == got[1]
+
+
 def test_rounding_is_no_gain():
     """Every row of a node had the same derivatives; what was left of the difference was taken for a gain, and the node cut."""
     n = np.array([3e6, 7e6, 1.1e7, 5e6])
